@@ -110,22 +110,23 @@ class Tiles(NamedTuple):
     tile: np.ndarray  # hash of all units of the tile
 
 
-def tiles(units: np.ndarray, first: np.ndarray, size: int, k: int, most: int) -> Tiles:
-    """Cut every text's windows of size units into runs that share their least k-gram hash (at most `most` windows a run).
+def tiles(units: np.ndarray, first: np.ndarray, size: int, k: int) -> Tiles:
+    """Cut every text's windows of size units into runs that share one place of their least k-gram hash, the leftmost.
 
-    Equal windows have equal anchors, so all places of a window lie in tiles of one anchor.
+    Equal windows have equal anchors, so all places of a window lie in tiles of one anchor; and as that place lies alike
+    in equal windows, no two of a tile are equal.
     """
     start, doc = window_starts(first, size)
     if not len(start):
         none = np.zeros(0, np.int64)
         return Tiles(none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     sums = Sums(units)
-    key = sliding_min(sums.windows(k), size - k + 1)[start]
+    grams = sums.windows(k)
+    key = sliding_min(grams, size - k + 1)[start]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    # a window that begins with its anchor is the last that has it at this place
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (grams[start[:-1]] == key[:-1])
     begin = np.flatnonzero(new)
-    since = np.arange(len(key)) - np.repeat(begin, np.diff(np.r_[begin, len(key)]))
-    begin = np.flatnonzero(since % most == 0)
     n = np.diff(np.r_[begin, len(key)])
     return Tiles(doc[begin], start[begin] - first[doc[begin]], n, key[begin], sums.of(start[begin], start[begin] + n + size - 1))
 
