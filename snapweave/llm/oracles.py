@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import BUCKET_DOCS, EPOCHS, SEED, SHARE, WEIGHTS
 from .quality import RULES, STOP_WORDS
 
 WHITE = r"[ \t\n\x0B\f\r]"
@@ -33,6 +34,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND {" AND ".join(map(bound, RULES))} AS kept FROM b"""
 
 
+def _mix() -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '{WHITE}+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, sum(source_size) OVER () AS total FROM s),
+w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(place - 1) % {len(WEIGHTS)} + 1] AS weight FROM r),
+l AS (SELECT *, ({SHARE} * CAST(total AS DOUBLE) - coalesce(sum(source_size * {EPOCHS}) OVER (ORDER BY source_size * {EPOCHS} / CAST(weight AS DOUBLE), place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / CAST(sum(weight) OVER (ORDER BY source_size * {EPOCHS} / CAST(weight AS DOUBLE), place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS own_level FROM w),
+t AS (SELECT source, source_size, docs, least(max(own_level) OVER () * weight, CAST(source_size * {EPOCHS} AS DOUBLE)) AS target FROM l),
+k AS (SELECT d.*, t.source_size, t.docs, t.target, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
+  CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, CAST('0x' || substr(key, 25, 8) AS BIGINT) % CAST(ceil(docs / {BUCKET_DOCS}.0) AS BIGINT) AS bucket FROM k),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, bucket ORDER BY key, doc_id, size, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY source, bucket) AS every FROM b)
+SELECT doc_id, size, source_size, target,
+  CAST(floor(ratio) * size + least(greatest(floor((ratio - floor(ratio)) * every + 0.5) - before, 0), size) AS BIGINT) AS taken FROM c"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_mix": _mix(),
     "op6_quality": _quality(),
 }

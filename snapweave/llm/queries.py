@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, substring, suffix, tokens
+from . import mixing, quality, substring, suffix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": tokens.op1_token_output,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op3_mix": mixing.op3_mix,
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
 }
