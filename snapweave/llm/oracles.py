@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import SHINGLE, THRESHOLD
 from .mixing import BUCKET_DOCS, EPOCHS, SEED, SHARE, WEIGHTS
 from .quality import RULES, STOP_WORDS
 
@@ -51,7 +52,21 @@ SELECT doc_id, size, source_size, target,
   CAST(floor(ratio) * size + least(greatest(floor((ratio - floor(ratio)) * every + 0.5) - before, 0), size) AS BIGINT) AS taken FROM c"""
 
 
+def _leaks() -> str:
+    """Of items of five words or more."""
+    listed = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')"
+    return f"""
+WITH dw AS (SELECT row_number() OVER () AS rn, doc_id, {listed} AS w FROM documents),
+iw AS (SELECT item_id, {listed} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+d AS (SELECT DISTINCT rn, doc_id, list_slice(w, i, i + {SHINGLE - 1}) AS g FROM (SELECT rn, doc_id, w, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS i FROM dw WHERE len(w) >= {SHINGLE})),
+b AS (SELECT DISTINCT item_id, list_slice(w, i, i + {SHINGLE - 1}) AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS i FROM iw WHERE len(w) >= {SHINGLE})),
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
+s AS (SELECT rn, doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_shared, CAST(n_shared AS DOUBLE) / n_shingles AS containment FROM s JOIN n USING (item_id) WHERE n_shared >= {THRESHOLD} * n_shingles"""
+
+
 ORACLES: dict[str, str] = {
     "op3_mix": _mix(),
+    "op10_decontaminate": _leaks(),
     "op6_quality": _quality(),
 }
