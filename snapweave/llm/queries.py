@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, substring, suffix, tokens
+from . import decontam, mixing, pii, quality, substring, suffix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": tokens.op1_token_output,
@@ -14,5 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": mixing.op3_mix,
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
+    "op7_pii": pii.op7_pii,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
