@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality, substring, suffix, tokens
+from . import decontam, mixing, near, pii, quality, substring, suffix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": tokens.op1_token_output,
@@ -15,5 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
     "op7_pii": pii.op7_pii,
+    "op8_near_dedup": near.op8_near_dedup,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
