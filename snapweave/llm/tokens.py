@@ -19,6 +19,7 @@ key gives all of them. An empty table has no shards.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +33,11 @@ from .kernels import mixed
 
 SHARD_TOKENS = 1 << 21
 SHARD_DOCS = 1 << 15
-#: Pieces of text whose ids a Python worker remembers; then it starts anew.
-REMEMBERED = 700_000
+#: Bytes of text encoded at a time.
+STEP_BYTES = 1 << 21
+#: Pieces of text whose ids a Python worker remembers: the first it meets, and so the frequent ones.
+REMEMBERED = 600_000
+_SPACES = re.compile(r"\s ")
 _LEVEL = 0x9E3779B97F4A7C15
 _MARK = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -114,82 +118,94 @@ class Encoder:
         self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
         for name, i in names.items():
             self.bytes_of[i] = len(name.encode()) if name in special else len(name)
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
-        self.start, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-
-    def _keep(self, ids: np.ndarray, ends: np.ndarray) -> int:
-        """Remember pieces whose ids end at ends; the number of the first."""
-        n = len(self.code) + len(self.heads)
-        while n + len(ends) > len(self.start):
+        self.code: dict = {}  # numbers of pieces that are remembered; (text,) for the first piece of a text
+        self.kept = self.used = self.n = 0
+        self.start, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def _add(self, ids: np.ndarray, ends: np.ndarray) -> int:
+        """Put pieces whose ids end at ends into the pool; the number of the first."""
+        first = self.n
+        while first + len(ends) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.used : self.used + len(ids)] = ids
         begins = np.r_[0, ends[:-1]]
-        self.start[n : n + len(ends)], self.size[n : n + len(ends)] = self.used + begins, ends - begins
+        self.start[first : first + len(ends)], self.size[first : first + len(ends)] = self.used + begins, ends - begins
         self.used += len(ids)
-        return n
-
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            groups = [" " + " ".join(some[i : i + 256]) for i in range(0, len(some), 256)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+        self.n += len(ends)
+        return first
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(ids), np.cumsum([len(x) for x in ids])
+
+    def _learn(self, pieces: list, texts: list[str]) -> dict:
+        """Encode pieces and some whole texts; their numbers. Pieces are remembered if there is room."""
+        spaced, others = [p for p in pieces if isinstance(p, str)], [p for p in pieces if not isinstance(p, str)]
+        found: dict = {}
+        for at in range(0, len(spaced), 4096):
+            some = spaced[at : at + 4096]
+            ids, _ = self._each([" " + " ".join(some[i : i + 256]) for i in range(0, len(some), 256)])
             reach, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum([1 + len(p.encode()) for p in some])
             ends = np.searchsorted(reach, wanted)
-            if len(ids) <= ends[-1] or (reach[ends] != wanted).any():
-                each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
-                ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each]) - 1
-            n = self._keep(ids, ends + 1)
-            self.code.update(zip(some, range(n, n + len(some)), strict=True))
+            if ends[-1] >= len(ids) or (reach[ends] != wanted).any():
+                ids, ends = self._each([" " + p for p in some])
+                ends = ends - 1
+            n = self._add(ids, ends + 1)
+            found.update(zip(some, range(n, n + len(some)), strict=True))
+        if others:
+            n = self._add(*self._each([p[0] for p in others]))
+            found.update(zip(others, range(n, n + len(others)), strict=True))
+        if len(self.code) + len(found) <= REMEMBERED:
+            self.code.update(found)
+            self.kept = (self.n, self.used)
+        if texts:
+            n = self._add(*self._each(texts))
+            found.update(((None, i), n + i) for i in range(len(texts)))
+        return found
 
     @staticmethod
     def _plain(text: str) -> bool:
         """Each space follows a character that is no white space, and the last character is none."""
-        if text[-1:].isspace():
+        if text[-1:].isspace() or "  " in text:
             return False
         if text.isascii():
-            return not any(x in text for x in ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f "))
-        return not any(p and p[-1].isspace() for p in text.split(" ")) and "  " not in text
+            return not any(x in text for x in ("\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f "))
+        return _SPACES.search(text) is None
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with `end` after each text, and how many each text has."""
-        if len(self.code) + len(self.heads) > REMEMBERED:
-            self.forget()
-        parts, whole, wanted = [], {}, set()
-        known = self.code
-        for i, text in enumerate(texts):
+        if not self.n:
+            self._add(np.array([end], np.uint32), np.array([1]))
+            self.kept = (self.n, self.used)
+        get, codes, lengths, open_, wanted, whole = self.code.get, [], [], [], set(), []
+        for text in texts:
+            pieces: list = text.split(" ")
             if self._plain(text):
-                pieces = text.split(" ")
-                parts.append(pieces)
-                wanted.update(p for p in pieces[1:] if p not in known)
-            else:
-                parts.append(None)
-                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if wanted:
-            self._learn(sorted(wanted))
-        heads = {p[0] for p in parts if p is not None} - self.heads.keys()
-        if heads:
-            found = [(p, np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32)) for p in sorted(heads)]
-            n = self._keep(np.concatenate([x for _, x in found]), np.cumsum([len(x) for _, x in found]))
-            self.heads.update((p, n + i) for i, (p, _) in enumerate(found))
-        out, counts = [], np.zeros(len(texts), np.int64)
-        for i, pieces in enumerate(parts):
-            if pieces is None:
-                ids = whole[i]
+                pieces[0] = (pieces[0],)
             else:
-                code = np.fromiter(map(known.__getitem__, pieces[1:]), np.int64, len(pieces) - 1) if len(pieces) > 1 else np.zeros(0, np.int64)
-                code = np.r_[self.heads[pieces[0]], code]
-                size = self.size[code]
-                reach = np.cumsum(size)
-                ids = self.pool[np.repeat(self.start[code] - reach + size, size) + np.arange(reach[-1])]
-            out += [ids, np.array([end], np.uint32)]
-            counts[i] = len(ids) + 1
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
+                pieces = [(None, len(whole))]
+                whole.append(text)
+            own = list(map(get, pieces))
+            if None in own:
+                wanted.update(p for p, c in zip(pieces, own, strict=True) if c is None)
+                open_.append((len(codes), pieces, own))
+            own.append(0)
+            codes += own
+            lengths.append(len(own))
+        if open_:
+            wanted.difference_update([(None, i) for i in range(len(whole))])
+            found = self._learn(list(wanted), whole)
+            for at, pieces, own in open_:
+                codes[at : at + len(pieces)] = [found[p] if c is None else c for p, c in zip(pieces, own[: len(pieces)], strict=True)]
+        code = np.array(codes, np.int64)
+        size = self.size[code]
+        reach = np.cumsum(size)
+        ids = self.pool[np.repeat(self.start[code] - reach + size, size) + np.arange(reach[-1])] if len(code) else np.zeros(0, np.uint32)
+        ends = reach[np.cumsum(lengths) - 1] if lengths else np.zeros(0, np.int64)
+        self.n, self.used = self.kept  # what isn't remembered goes
+        return ids, np.diff(np.r_[0, ends])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -224,7 +240,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None
         enc = encoder(tokenizer)
         number = TaskContext.get().partitionId() << 24
         keys, counts, ids, held, n = [], [], [], 0, 0
-        for batch, _, _ in steps(batches):
+        for batch, _, _ in steps(batches, limit=STEP_BYTES):
             got, each = enc.encode(batch.column("text").to_pylist(), end)
             keys.append(batch.column("did").to_numpy(zero_copy_only=False).astype(np.int64))
             counts.append(each)
