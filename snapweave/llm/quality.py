@@ -99,7 +99,10 @@ def base_failed() -> Column:
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `m`, base_failed and kept."""
-    return measured(docs, text).select("*", base_failed().alias("base_failed")).select("*", (~F.col("base_failed") & verdict()).alias("kept"))
+    # a filter on kept must not be pushed below the measures, where it would hold each of them many times over;
+    # a row number, which isn't deterministic, keeps it above
+    rows = measured(docs, text).select("*", F.monotonically_increasing_id().alias("_row"))
+    return rows.select("*", base_failed().alias("base_failed")).select("*", (~F.col("base_failed") & verdict() & (F.col("_row") >= 0)).alias("kept")).drop("_row")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
