@@ -29,7 +29,7 @@ from .common import cut, partitions, steps
 from .kernels import Sums, byte_units, tiles, words
 
 #: Different tiles of one anchor that an index takes together.
-HOT = 1024
+HOT = 4096
 #: Units that one index takes, but for a last anchor that goes on.
 INDEX_UNITS = 400_000
 
@@ -71,16 +71,17 @@ def repeated_tiles(docs: DataFrame, kind: Kind, repeats: Callable[[str, str, str
     """(did, rid, anchor, tile, at, n) of all tiles whose anchor repeats: repeats(count, least did, greatest did) says when."""
     lists = cut(tile_lists(docs, kind))
     anchors = lists.select("did", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("c"), F.min("did").alias("lo"), F.max("did").alias("hi"))
-    again = anchors.where(repeats("c", "lo", "hi")).select("anchor")
+    # written down, it has an exchange of its own in the join, and Spark can split hot anchors there
+    again = cut(anchors.where(repeats("c", "lo", "hi")).select("anchor"))
     flat = lists.select("did", "rid", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("tiles").alias("tile"), "at", "n")).alias("t")).select("did", "rid", "t.*")
     return cut(flat.join(again, "anchor", "left_semi"))
 
 
 def distinct_tiles(tiles_: DataFrame) -> DataFrame:
     """One row of each (anchor, tile): its first copy (did, rid, at, n), copies, hi (greatest did), and tiles of the anchor."""
-    one = tiles_.groupBy("anchor", "tile").agg(F.min(F.struct("did", "rid", "at", "n")).alias("first"), F.count("*").alias("copies"), F.max("did").alias("hi"))
-    per = one.groupBy("anchor").agg(F.count("*").alias("tiles"))
-    return cut(one.join(per, "anchor").select("anchor", "tile", "first.*", "copies", "hi", "tiles"))
+    one = cut(tiles_.groupBy("anchor", "tile").agg(F.min(F.struct("did", "rid", "at", "n")).alias("first"), F.count("*").alias("copies"), F.max("did").alias("hi")))
+    several = cut(one.groupBy("anchor").agg(F.count("*").alias("tiles")).where("tiles > 1"))
+    return one.join(several, "anchor", "left").select("anchor", "tile", "first.*", "copies", "hi", F.coalesce("tiles", F.lit(1)).alias("tiles"))
 
 
 def _wanted(tiles_: DataFrame, docs: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def single_windows(tiles_: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
             did = batch.column("did").to_numpy(zero_copy_only=False)[text]
             yield pa.RecordBatch.from_arrays([pa.array(own.of(begin, begin + kind.window).view(np.int64)), pa.array(wish["anchor"][row]), pa.array(wish["tile"][row]), pa.array(at.astype(np.int32)), pa.array(did[row]), pa.array(wish["copies"][row])], names=["win", "anchor", "tile", "off", "lo", "copies"])
 
-    return _wanted(tiles_, docs).mapInArrow(reading, "win long, anchor long, tile long, off int, lo long, copies long").dropDuplicates(["win", "anchor", "tile", "off"])
+    return _wanted(tiles_, docs).mapInArrow(reading, "win long, anchor long, tile long, off int, lo long, copies long")
 
 
 class Shard(NamedTuple):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, doc_id, identified, steps
+from .common import doc_id, identified, steps
 from .kernels import unions
 from .repeats import HOT, Kind, Shard, contents, covered, covers, distinct_tiles, repeated_tiles, shards, single_windows
 
@@ -154,8 +154,9 @@ def repeats(docs: DataFrame, window: int = WORDS, hot: int = HOT) -> tuple[DataF
             yield pa.RecordBatch.from_arrays([pa.array(shard.anchor[row]), pa.array(shard.tile[row]), pa.array(off.astype(np.int32)), pa.array((n + window - 1).astype(np.int32)), pa.array(own)], names=["anchor", "tile", "off", "len", "own"])
 
     found = contents(distinct.where(F.col("tiles") <= hot), docs, k).mapInArrow(search, "anchor long, tile long, off int, len int, own long")
-    if not distinct.where(F.col("tiles") > hot).isEmpty():
-        single = cut(single_windows(distinct.where(F.col("tiles") > hot), docs, k))
+    crowded = distinct.where(F.col("tiles") > hot)
+    if not crowded.isEmpty():
+        single = single_windows(crowded, docs, k)
         least = single.groupBy("win").agg(F.min("lo").alias("own"))
         found = found.unionByName(single.join(least, "win").select("anchor", "tile", "off", F.lit(window).alias("len"), "own"))
     return tiles_, found

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, doc_id, identified, steps
+from .common import doc_id, identified, steps
 from .kernels import unions
 from .repeats import HOT, Kind, Shard, contents, covered, covers, distinct_tiles, repeated_tiles, shards, single_windows
 
@@ -28,7 +28,7 @@ _FIRST = 7  # symbols of 9 bits in one 64-bit key
 
 
 def kind(window: int = BYTES) -> Kind:
-    return Kind(window, max(1, min(32, window // 3)), False)
+    return Kind(window, max(1, window // 3), False)
 
 
 class SuffixArray:
@@ -141,8 +141,9 @@ def repeats(docs: DataFrame, window: int = BYTES, hot: int = HOT) -> tuple[DataF
     whole = distinct.where("copies > 1").select("anchor", "tile", F.lit(0).alias("off"), (F.col("n") + window - 1).alias("len"))
     several = distinct.where((F.col("tiles") <= hot) & (F.col("tiles") > 1))
     found = whole.unionByName(contents(several, docs, k).mapInArrow(scan, "anchor long, tile long, off int, len int"))
-    if not distinct.where(F.col("tiles") > hot).isEmpty():
-        single = cut(single_windows(distinct.where(F.col("tiles") > hot), docs, k))
+    crowded = distinct.where(F.col("tiles") > hot)
+    if not crowded.isEmpty():
+        single = single_windows(crowded, docs, k)
         again = single.groupBy("win").agg(F.sum("copies").alias("c")).where("c > 1")
         found = found.unionByName(single.join(again, "win").select("anchor", "tile", "off", F.lit(window).alias("len")))
     return tiles_, found
