@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,33 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapweave.functions.lineage import cut, new_folder, shared_folder
+
+__all__ = ["NULL_ID", "cut", "doc_id", "identified", "new_folder", "partitions", "shared_folder", "steps", "utf8"]
+
 #: Stands for a null doc_id inside joins, and so counts as the smallest id.
 NULL_ID = -(2**63)
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext._jsc.sc()
-        found = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="snapweave-")
-    return found
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; a lost executor costs nothing that lies before."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
