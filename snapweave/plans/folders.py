@@ -1,0 +1,254 @@
+"""Queries of rules, detection, content and transfer planning, with DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from snapweave.functions import text as T
+from snapweave.operators import content, detect, rules, transfer
+from snapweave.sources.shapes import SHAPES, contents, files, snapshot
+
+WITH = f"WITH RECURSIVE {SHAPES}"
+IGNORE = """
+# rules of the driver's folders
+*.log
+fr/
+!fr/src3/
+/en/src1
+de/**/*.py
+*/src5/[0-9]*.png
+!1*.log
+es/src?/*.bin
+"""
+_RULES = rules.parse(IGNORE)
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(path: str, folder: bool) -> str:
+    cases = [f"WHEN regexp_matches({path if r.whole else f'string_split({path}, {_q("/")})[-1]'}, {_q(r.regex)}) THEN {r.number}" for r in reversed(_RULES) if folder or not r.folders_only]
+    return f"CASE {' '.join(cases)} END"
+
+
+_EXCLUDING = ", ".join(str(r.number) for r in _RULES if not r.negated)
+_ANCESTORS = "parts AS (SELECT path, size, string_split(path, '/') AS p FROM base), up AS (SELECT path, size, d AS depth, array_to_string(p[1:d], '/') AS folder FROM (SELECT *, unnest(generate_series(1, len(p) - 1)) AS d FROM parts))"
+_DECIDED = f"""{_ANCESTORS}, shut AS (SELECT DISTINCT folder, {_matches("folder", True)} AS rule FROM (SELECT DISTINCT folder FROM up) WHERE {_matches("folder", True)} IN ({_EXCLUDING})),
+above AS (SELECT path, arg_min(rule, depth) AS rule FROM up JOIN shut USING (folder) GROUP BY path),
+decided AS (SELECT b.path, b.size, coalesce(a.rule, {_matches("b.path", False)}) AS rule FROM base b LEFT JOIN above a USING (path))"""
+
+
+def rule_decisions(spark, d):
+    return rules.decide(snapshot(spark, d, "base").select("path"), IGNORE)
+
+
+def rule_costs(spark, d):
+    return rules.evaluate(snapshot(spark, d, "base"), IGNORE)
+
+
+def folder_tree(spark, d):
+    return rules.tree(snapshot(spark, d, "base"))
+
+
+def paths_under(spark, d):
+    names = spark.createDataFrame([("fr/src3",), ("en",), ("de/src4/4.bin",)], "name string")
+    return rules.under(snapshot(spark, d, "base").select("path"), names)
+
+
+def path_collisions(spark, d):
+    tree = snapshot(spark, d, "base")
+    return rules.collisions(tree.select("path").unionByName(tree.where("size % 5 = 0").select(F.upper("path").alias("path"))))
+
+
+def unsafe_paths(spark, d):
+    odd = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("../"), "path")).when(F.col("doc_id") % 6 == 1, F.concat(F.lit("/"), "path")).when(F.col("doc_id") % 6 == 2, F.concat("path", F.lit("/.git/x"))).when(F.col("doc_id") % 6 == 3, F.concat(F.lit("aux/"), "path")).otherwise(F.col("path"))
+    return files(spark, d).select(odd.alias("path")).select("path", rules.unsafe("path").alias("why"))
+
+
+def bulky_folders(spark, d):
+    return detect.bulky_folders(snapshot(spark, d, "base").where("path like 'en/%' or path like '%.log'").where("path not like '%.py' and path not like '%.md'"), 100, 0.5, 100_000)
+
+
+def suggested_exclusions(spark, d):
+    return detect.suggestions(snapshot(spark, d, "base"), {"logs": r"\.log$", "weights": r"\.gguf$", "french": "^fr/", "images": r"\.png$"})
+
+
+def credential_files(spark, d):
+    return snapshot(spark, d, "base").where(detect.credential_path("path")).select("path")
+
+
+def redacted_output(spark, d):
+    line = F.concat(F.lit("GET https://me:pw"), "doc_id", F.lit("@host/x?token=t"), "doc_id", F.lit("&a=1 Authorization: Bearer abc"), "doc_id", F.lit(" npm_aaaaaaaaaabbbbbbbbbb"), "doc_id", F.lit(" key hunter2 done"))
+    return files(spark, d).select("doc_id", detect.redacted(line, ("hunter2",)).alias("line"))
+
+
+def conflict_files(spark, d):
+    marked = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("<<<<<<< ours\n"), "text", F.lit("\n=======\n"), "text", F.lit("\n>>>>>>> theirs"))).otherwise(F.concat(F.lit("========\n"), "text"))
+    return files(spark, d).select("path", marked.alias("text")).where(detect.conflict_markers("text")).select("path")
+
+
+MARKERS = {"mit": "released under the mit license", "apache": "apache license, version 2.0", "gpl": "gnu general public license", "cc": "cc by-nc 4.0"}
+
+
+def licence_lines(spark, d):
+    return detect.licence_of(files(spark, d).select("doc_id", "text"), MARKERS).where("licence is not null").select("doc_id", "licence")
+
+
+def mentioned(spark, d):
+    body = F.concat(F.lit("ok @"), F.when(F.col("turn") % 3 == 0, "Ann").when(F.col("turn") % 3 == 1, "annette").otherwise("ann-b"), F.lit(", see"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", body.alias("body"))
+    return rows.where(detect.mentions(F.col("body"), ("ann",))).select("conv_id", "turn")
+
+
+SMALL = content.Profile(64, 256, 1024, 0x1FF, 0x7F)
+
+
+def _pieces(spark, d):
+    return content.chunks(files(spark, d).select("path", F.encode("text", "UTF-8").alias("content")), SMALL)
+
+
+def chunk_accounting(spark, d):
+    return content.dedup_statistics(_pieces(spark, d))
+
+
+def reassembled(spark, d):
+    """Chunks put together again have the bytes and the digest of their file."""
+    whole = content.reassemble(_pieces(spark, d))
+    return whole.select("path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+def pack_layout(spark, d):
+    rows = snapshot(spark, d, "base").select("path", "size", F.regexp_extract("path", "^([^/]+/[^/]+)/", 1).alias("pack"), detect.extension("path").alias("ext"))
+    return content.pack_offsets(rows, "pack", ["ext", "path"], "size").select("pack", "path", "offset", "size")
+
+
+def damaged_objects(spark, d):
+    rows = contents(spark, d, "base").join(snapshot(spark, d, "base"), "path")
+    bad = F.when(F.col("size") % 11 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return content.damaged(rows.select(F.col("sha256").alias("name"), F.encode(bad, "UTF-8").alias("raw")).distinct())
+
+
+def publish_names(spark, d):
+    return content.publish_name(snapshot(spark, d, "base").select("path", "sha256", F.regexp_extract("path", "^([^/]+/[^/]+)/", 1).alias("project")), "project")
+
+
+def size_bands(spark, d):
+    return transfer.survey(snapshot(spark, d, "base"), (("packable", 1000), ("ordinary", 4000), ("chunked", 9000)))
+
+
+def spread_folders(spark, d):
+    rows = snapshot(spark, d, "base").select("path", F.regexp_extract("path", "^(.*)/", 1).alias("folder"))
+    return transfer.spread(rows, "folder", "path").select("path", "turn")
+
+
+def planned_sections(spark, d):
+    rows = snapshot(spark, d, "base").select("path", "size", F.regexp_extract("path", "^([^/]+)/", 1).alias("top"))
+    return transfer.sections(rows, "top", "path", 20_000, 8).select("path", "section")
+
+
+def nearest_base(spark, d):
+    return transfer.nearest(snapshot(spark, d, "ours"), snapshot(spark, d, "base"))
+
+
+def price_as_of(spark, d):
+    """Each event with the value of the user's last purchase-like event up to then."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts", "event_type", "value")
+    first = events.where("event_id % 3 = 0").groupBy("user_id", "ts").agg(F.max("value").alias("seen"))
+    return transfer.as_of(events.where("event_id % 3 <> 0").select("event_id", "user_id", "ts"), first, "user_id", "ts", "seen").select("event_id", "seen")
+
+
+def piece_overlaps(spark, d):
+    rows = content.pack_offsets(snapshot(spark, d, "base").select("path", "size", F.regexp_extract("path", "^([^/]+/[^/]+)/", 1).alias("key")), "key", ["path"], "size").where("size > 0")
+    old = rows.select("key", F.col("offset").alias("start"), (F.col("offset") + F.col("size")).alias("end"))
+    new = rows.where("size % 3 = 1").select("key", (F.col("offset") + 17).alias("start"), (F.col("offset") + F.col("size")).alias("end")).where("start < end")
+    return transfer.overlaps(new, old, 500, 4096)
+
+
+def transfer_rates(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("bytes"))
+    one = rows.groupBy("user_id", "at_ms").agg(F.max("bytes").alias("bytes"))
+    return transfer.trailing_rate(one, "user_id", "at_ms", "bytes", 3_600_000, 250).select("user_id", "at_ms", F.round("rate", 3).alias("rate"))
+
+
+def slugs(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", T.slug(F.concat(F.lit(" "), "c_name", F.lit("/"), "c_mktsegment", F.lit("!"))).alias("slug"))
+
+
+def shown_sizes(spark, d):
+    return snapshot(spark, d, "base").select("path", T.bytes_shown(F.col("size") * F.col("size")).alias("shown"))
+
+
+def url_shapes(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", *T.url_parts("url"))
+
+
+def line_names(spark, d):
+    name = F.concat(F.when(F.col("doc_id") % 4 == 0, "-").when(F.col("doc_id") % 4 == 1, "a b/").otherwise("x/"), "lang", F.when(F.col("doc_id") % 3 == 0, "..").otherwise(""))
+    return files(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").select("doc_id", T.line_name_problem(name).alias("problem"))
+
+
+_FOLDER = "regexp_extract(path, '^(.*)/', 1)"
+_PACK = "regexp_extract(path, '^([^/]+/[^/]+)/', 1)"
+_EXT = r"lower(regexp_extract(path, '[^/](\.[^./]*)$', 1))"
+_LIST = lambda names: ", ".join(map(_q, names))
+_PIECES = f"o AS (SELECT path, size, {_PACK} AS key, coalesce(sum(size) OVER (PARTITION BY {_PACK} ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM base)"
+
+QUERIES = {
+    "rule_decisions": (rule_decisions, f"{WITH}, {_DECIDED} SELECT path, rule, coalesce(rule IN ({_EXCLUDING}), false) AS excluded FROM decided"),
+    "rule_costs": (rule_costs, f"{WITH}, {_DECIDED} SELECT coalesce(rule, -1) AS rule, coalesce(rule IN ({_EXCLUDING}), false) AS excluded, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM decided GROUP BY 1, 2"),
+    "folder_tree": (folder_tree, f"{WITH}, {_ANCESTORS} SELECT folder, depth, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT folder, depth, size FROM up UNION ALL SELECT '', 0, size FROM base) GROUP BY 1, 2"),
+    "paths_under": (paths_under, f"{WITH} SELECT path FROM base WHERE path LIKE 'fr/src3/%' OR path LIKE 'en/%' OR path = 'de/src4/4.bin'"),
+    "path_collisions": (path_collisions, f"{WITH} SELECT lower(path) AS folded, count(*) AS paths FROM (SELECT path FROM base UNION ALL SELECT upper(path) FROM base WHERE size % 5 = 0) GROUP BY 1 HAVING count(*) > 1"),
+    "unsafe_paths": (unsafe_paths, f"{WITH}, odd AS (SELECT doc_id % 6 AS k, path FROM files) SELECT CASE k WHEN 0 THEN '../' || path WHEN 1 THEN '/' || path WHEN 2 THEN path || '/.git/x' WHEN 3 THEN 'aux/' || path ELSE path END AS path, CASE k WHEN 0 THEN 'outside' WHEN 1 THEN 'absolute' WHEN 2 THEN 'history' WHEN 3 THEN 'device' END AS why FROM odd"),
+    "bulky_folders": (
+        bulky_folders,
+        f"""{WITH}, f AS (SELECT regexp_extract(path, '^([^/]+)/', 1) AS top, size, {_EXT} AS ext FROM base WHERE (path LIKE 'en/%' OR path LIKE '%.log') AND path NOT LIKE '%.py' AND path NOT LIKE '%.md'),
+g AS (SELECT top, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (ext IN ({_LIST(detect.SOURCE)})) AS source, coalesce(sum(size) FILTER (ext IN ({_LIST(detect.AUTHORED)})), 0) AS authored FROM f GROUP BY top),
+h AS (SELECT *, bytes >= 100000 AND bytes / sum(bytes) OVER () >= 0.5 AND authored / bytes < 0.5 AS large, sum(files) OVER () >= 100 AND files >= 100 AND files / sum(files) OVER () >= 0.5 AS many FROM g)
+SELECT top || '/' AS pattern, files, bytes, CASE WHEN large THEN 'bytes' ELSE 'files' END AS "by" FROM h WHERE source / files < 0.1 AND (large OR many)""",
+    ),
+    "suggested_exclusions": (suggested_exclusions, f"{WITH} SELECT CASE WHEN path LIKE '%.log' THEN 'logs' WHEN path LIKE '%.gguf' THEN 'weights' WHEN path LIKE 'fr/%' THEN 'french' WHEN path LIKE '%.png' THEN 'images' END AS pattern, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM base GROUP BY 1 HAVING pattern IS NOT NULL"),
+    "credential_files": (credential_files, f"{WITH} SELECT path FROM base WHERE path LIKE '%.env'"),
+    "redacted_output": (redacted_output, f"{WITH} SELECT doc_id, 'GET https://***@host/x?token=***&a=1 Authorization: *** *** key *** done' AS line FROM files"),
+    "conflict_files": (conflict_files, f"{WITH} SELECT path FROM files WHERE doc_id % 9 = 4"),
+    "licence_lines": (licence_lines, f"{WITH}, t AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM files) SELECT doc_id, CASE {' '.join(f'WHEN contains(t, {_q(m)}) THEN {_q(n)}' for n, m in MARKERS.items())} END AS licence FROM t WHERE licence IS NOT NULL"),
+    "mentioned": (mentioned, "SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0"),
+    "chunk_accounting": (chunk_accounting, None),
+    "reassembled": (reassembled, f"{WITH} SELECT path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM files WHERE text <> ''"),
+    "pack_layout": (pack_layout, f"{WITH} SELECT {_PACK} AS pack, path, CAST(coalesce(sum(size) OVER (PARTITION BY {_PACK} ORDER BY {_EXT}, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", size FROM base"),
+    "damaged_objects": (damaged_objects, f"{WITH} SELECT DISTINCT sha256 AS name FROM base WHERE size % 11 = 3"),
+    "publish_names": (publish_names, f"{WITH} SELECT {_PACK} AS project, left(sha256(string_agg(path || ':' || sha256, chr(10) ORDER BY path || ':' || sha256)), 40) AS name FROM base GROUP BY 1"),
+    "size_bands": (size_bands, f"{WITH} SELECT CASE WHEN size <= 1000 THEN 'packable' WHEN size <= 4000 THEN 'ordinary' WHEN size <= 9000 THEN 'chunked' ELSE 'multipart' END AS band, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM base GROUP BY 1"),
+    "spread_folders": (spread_folders, f"{WITH} SELECT path, row_number() OVER (PARTITION BY {_FOLDER} ORDER BY path) AS turn FROM base"),
+    "planned_sections": (
+        planned_sections,
+        f"""{WITH}, n AS (SELECT path, size, regexp_extract(path, '^([^/]+)/', 1) AS top, row_number() OVER (PARTITION BY regexp_extract(path, '^([^/]+)/', 1) ORDER BY path) AS i FROM base),
+f(top, i, section, held, n) AS (SELECT top, i, CAST(0 AS BIGINT), size, 1 FROM n WHERE i = 1
+ UNION ALL SELECT n.top, n.i, CASE WHEN x THEN section + 1 ELSE section END, CASE WHEN x THEN size ELSE held + size END, CASE WHEN x THEN 1 ELSE cnt + 1 END
+ FROM (SELECT n.top, n.i, f.section, f.held, f.n AS cnt, n.size, n.size >= 20000 OR f.held + n.size > 20000 OR f.n >= 8 OR f.held >= 20000 AS x FROM f JOIN n ON n.top = f.top AND n.i = f.i + 1) n)
+SELECT path, section FROM f JOIN n USING (top, i)""",
+    ),
+    "nearest_base": (
+        nearest_base,
+        f"""{WITH}, k AS (SELECT path AS base, size AS bs, {_FOLDER} AS folder, regexp_extract(path, '(\\.[^./]*)$', 1) AS ext FROM base)
+SELECT o.path AS path, arg_min(k.base, struct_pack(d := abs(o.size - bs), b := k.base)) AS base FROM ours o JOIN k ON k.folder = regexp_extract(o.path, '^(.*)/', 1) AND k.ext = regexp_extract(o.path, '(\\.[^./]*)$', 1)
+ AND o.path <> k.base AND bs <= 2 * o.size AND o.size <= 2 * bs GROUP BY o.path""",
+    ),
+    "price_as_of": (price_as_of, "SELECT a.event_id AS event_id, b.seen AS seen FROM (SELECT event_id, user_id, ts FROM events WHERE event_id % 3 <> 0) a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS seen FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.ts"),
+    "piece_overlaps": (piece_overlaps, f"{WITH}, {_PIECES} SELECT a.key AS key, CAST(a.start + 17 AS BIGINT) AS start, CAST(b.start AS BIGINT) AS old_start FROM o a JOIN o b USING (key) WHERE a.size > 17 AND a.size % 3 = 1 AND b.size > 0 AND b.start < a.start + a.size + 500 AND b.start + b.size > greatest(a.start + 17 - 500, 0)"),
+    "transfer_rates": (
+        transfer_rates,
+        """WITH s AS (SELECT user_id, CAST(epoch_ms(ts) AS BIGINT) AS at_ms, max(event_id) AS bytes FROM events GROUP BY 1, 2),
+w AS (SELECT *, first_value(at_ms) OVER x AS fa, first_value(bytes) OVER x AS fb FROM s WINDOW x AS (PARTITION BY user_id ORDER BY at_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW))
+SELECT user_id, at_ms, round(CASE WHEN at_ms - fa >= 250 THEN (bytes - fb) * 1000 / CAST(at_ms - fa AS DOUBLE) ELSE 0 END, 3) AS rate FROM w""",
+    ),
+    "slugs": (slugs, "SELECT c_custkey, trim(regexp_replace(lower(' ' || c_name || '/' || c_mktsegment || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer"),
+    "shown_sizes": (
+        shown_sizes,
+        f"""{WITH}, s AS (SELECT path, size * size AS s FROM base) SELECT path, CASE WHEN s >= 1073741824 THEN printf('%.1f GB', floor(s * 10 / 1073741824 + 0.5) / 10) WHEN s >= 1048576 THEN printf('%.1f MB', floor(s * 10 / 1048576 + 0.5) / 10)
+ WHEN s >= 1024 THEN printf('%.1f KB', floor(s * 10 / 1024 + 0.5) / 10) ELSE s || ' B' END AS shown FROM s""",
+    ),
+    "url_shapes": (url_shapes, r"SELECT page_id, lower(split_part(split_part(url, '://', 2), '/', 1)) AS host, regexp_extract(url, '^[a-z+]+://[^/]+/([^/?#]+)', 1) AS owner, regexp_replace(regexp_extract(url, '^[a-z+]+://[^/]+/[^/?#]+/([^/?#]+)', 1), '\.git$', '') AS name FROM pages"),
+    "line_names": (line_names, "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'characters' WHEN doc_id % 4 = 0 OR doc_id % 3 = 0 THEN 'shape' END AS problem FROM documents"),
+}
