@@ -99,6 +99,6 @@ SHAPES = (
     + """, saves AS (SELECT DISTINCT conv_id, turn, concat(conv_id, '/', turn) AS id FROM conversations),
 edges AS (SELECT a.id AS child, b.id AS parent, 0 AS nth FROM saves a JOIN saves b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
   UNION ALL SELECT a.id, b.id, 1 FROM saves a JOIN saves b ON b.conv_id = a.conv_id - 1 AND b.turn = a.turn - 1 WHERE a.turn % 3 = 0 AND a.turn > 0),
-versions AS (SELECT o_custkey AS project, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sequence, o_orderkey AS version, o_orderdate AS at,
+versions AS (SELECT o_custkey AS project, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sequence, o_orderkey AS version, o_orderdate AS day_at,
   coalesce(files, 0) AS files, CAST(coalesce(source, 0) AS BIGINT) AS source FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS files, sum(CAST(l_quantity AS BIGINT)) AS source FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
 )
