@@ -36,7 +36,7 @@ SHARD_DOCS = 1 << 15
 #: Bytes of text encoded at a time.
 STEP_BYTES = 1 << 21
 #: Pieces of text whose ids a Python worker remembers: the first it meets, and so the frequent ones.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 _SPACES = re.compile(r"\s ")
 _LEVEL = 0x9E3779B97F4A7C15
 _MARK = np.uint64(0xC2B2AE3D27D4EB4F)
