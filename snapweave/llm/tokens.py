@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ SHARD_DOCS = 1 << 15
 #: Bytes of text encoded at a time.
 STEP_BYTES = 1 << 21
 #: Pieces of text whose ids a Python worker remembers: the first it meets, and so the frequent ones.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 _SPACES = re.compile(r"\s ")
 _LEVEL = 0x9E3779B97F4A7C15
 _MARK = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -179,27 +180,24 @@ class Encoder:
         if not self.n:
             self._add(np.array([end], np.uint32), np.array([1]))
             self.kept = (self.n, self.used)
-        get, codes, lengths, open_, wanted, whole = self.code.get, [], [], [], set(), []
+            self.code[()] = 0  # the end of a text
+        pieces, lengths, whole = [], [], []
         for text in texts:
-            pieces: list = text.split(" ")
+            before = len(pieces)
             if self._plain(text):
-                pieces[0] = (pieces[0],)
+                pieces += text.split(" ")
+                pieces[before] = (pieces[before],)
             else:
-                pieces = [(None, len(whole))]
+                pieces.append((None, len(whole)))
                 whole.append(text)
-            own = list(map(get, pieces))
-            if None in own:
-                wanted.update(p for p, c in zip(pieces, own, strict=True) if c is None)
-                open_.append((len(codes), pieces, own))
-            own.append(0)
-            codes += own
-            lengths.append(len(own))
-        if open_:
-            wanted.difference_update([(None, i) for i in range(len(whole))])
-            found = self._learn(list(wanted), whole)
-            for at, pieces, own in open_:
-                codes[at : at + len(pieces)] = [found[p] if c is None else c for p, c in zip(pieces, own[: len(pieces)], strict=True)]
-        code = np.array(codes, np.int64)
+            pieces.append(())
+            lengths.append(len(pieces) - before)
+        code = np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            open_ = [pieces[i] for i in new.tolist()]
+            found = self._learn(list(set(open_).difference((None, i) for i in range(len(whole)))), whole)
+            code[new] = [found[p] for p in open_]
         size = self.size[code]
         reach = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[code] - reach + size, size) + np.arange(reach[-1])] if len(code) else np.zeros(0, np.uint32)
