@@ -1,0 +1,130 @@
+"""Deltas between versions of a file, frames and solid packs.
+
+A delta is an array of steps: a copy from the base, or bytes of its own. Finding the copies needs code over bytes (one Arrow
+function); applying a delta, and the choice between delta and whole, are built-in expressions.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Bytes of a block of the base that is looked up, and how many places of one block are tried (fixed values).
+BLOCK, TRIED = 16, 16
+#: A delta must save this many bytes, and be under half of the whole, to be kept (fixed values).
+SAVED = 96
+STEP = "array<struct<at: bigint, length: bigint, own: binary>>"
+
+
+def steps(base: bytes, target: bytes) -> list[tuple[int | None, int, bytes | None]]:
+    """(at, length, None) for copies and (None, length, bytes) for the rest: the longest of the copies tried at each place."""
+    where: dict[bytes, list[int]] = {}
+    for i in range(0, len(base) - BLOCK + 1, BLOCK):
+        places = where.setdefault(base[i : i + BLOCK], [])
+        if len(places) < TRIED:
+            places.append(i)
+    out: list = []
+    at = free = 0
+    while at + BLOCK <= len(target):
+        best = (0, 0, 0)
+        for place in where.get(target[at : at + BLOCK], ()):
+            back = 0
+            while at - back > free and place > back and target[at - back - 1] == base[place - back - 1]:
+                back += 1
+            n = BLOCK
+            while at + n < len(target) and place + n < len(base) and target[at + n] == base[place + n]:
+                n += 1
+            best = max(best, (n + back, -(place - back), back))
+        if best[0]:
+            n, place, back = best[0], -best[1], best[2]
+            if at - back > free:
+                out.append((None, at - back - free, target[free : at - back]))
+            out.append((place, n, None))
+            at = free = at - back + n
+        else:
+            at += 1
+    if free < len(target):
+        out.append((None, len(target) - free, target[free:]))
+    return out
+
+
+def deltas(pairs: DataFrame) -> DataFrame:
+    """pairs (path, base, target) to (path, steps)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64()), ("own", pa.binary())]))
+        for batch in batches:
+            found = [[{"at": a, "length": n, "own": own} for a, n, own in steps(b or b"", t or b"")] for b, t in zip(batch.column("base").to_pylist(), batch.column("target").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, kind)], names=["path", "steps"])
+
+    return pairs.select("path", "base", "target").mapInArrow(run, f"path string, steps {STEP}")
+
+
+def applied(base: str, steps: str) -> Column:
+    """The target that a delta gives with its base."""
+    return F.expr(f"aggregate({steps}, cast('' as binary), (a, s) -> concat(a, if(s.own is null, substring({base}, cast(s.at + 1 as int), cast(s.length as int)), s.own)))")
+
+
+def delta_size(steps: str) -> Column:
+    """Bytes of a delta: nine for each step, and its own bytes."""
+    return F.expr(f"aggregate({steps}, 0L, (a, s) -> a + 9 + if(s.own is null, 0L, s.length))")
+
+
+def kept_as(delta: Column, whole: Column, depth: Column, cap: int = 12) -> Column:
+    """delta or whole: a delta is worth it if it is small, saves enough, and its chain isn't too long."""
+    return F.when((delta * 2 < whole) & (delta + SAVED <= whole) & (depth < cap), "delta").otherwise("whole")
+
+
+def frames(objects: DataFrame) -> DataFrame:
+    """objects (name, raw) to (name, raw_size, codec, body): compressed where that leaves 98 % at most (codec 1), else as it is (0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            raw = [x or b"" for x in batch.column("raw").to_pylist()]
+            small = [pack.compress(x) for x in raw]
+            codec = [int(len(s) * 100 <= len(x) * 98) for s, x in zip(small, raw, strict=True)]
+            body = [s if c else x for s, x, c in zip(small, raw, codec, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(map(len, raw), pa.int64()), pa.array(codec, pa.int32()), pa.array(body, pa.binary())], names=["name", "raw_size", "codec", "body"])
+
+    return objects.select("name", "raw").mapInArrow(run, "name string, raw_size long, codec int, body binary")
+
+
+def opened(framed: DataFrame) -> DataFrame:
+    """frames() undone: (name, raw, problem); problem is size or digest where the content isn't what it is named by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in batches:
+            raw = [open_.decompress(b) if c and b else b for b, c in zip(batch.column("body").to_pylist(), batch.column("codec").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("raw_size"), pa.array(raw, pa.binary())], names=["name", "raw_size", "raw"])
+
+    rows = framed.mapInArrow(run, "name string, raw_size long, raw binary")
+    problem = F.when(F.octet_length("raw") != F.col("raw_size"), "size").when(F.sha2("raw", 256) != F.col("name"), "digest")
+    return rows.select("name", "raw", problem.alias("problem"))
+
+
+def solid_packs(members: DataFrame, most: int) -> DataFrame:
+    """members (pack, path, raw) to (pack, part, members, raw_size, stored_size, worth): content packed together in order of path.
+
+    A pack is dealt into parts by the running size, so no row holds more than `most` bytes and one member. Worth: two
+    members at least, and 5 % saved.
+    """
+    w = Window.partitionBy("pack").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum(F.octet_length("raw")).over(w), F.lit(0)) / most)
+    joined = members.select("pack", "path", "raw", part.alias("part")).groupBy("pack", "part").agg(F.array_sort(F.collect_list(F.struct("path", "raw"))).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            whole = [b"".join(m["raw"] or b"" for m in r["m"]) for r in rows]
+            sizes = [len(zlib.compress(x, 6)) for x in whole]
+            yield pa.RecordBatch.from_arrays([batch.column("pack"), batch.column("part"), pa.array([len(r["m"]) for r in rows], pa.int64()), pa.array(map(len, whole), pa.int64()), pa.array(sizes, pa.int64())], names=["pack", "part", "members", "raw_size", "stored_size"])
+
+    packed = joined.mapInArrow(run, "pack string, part long, members long, raw_size long, stored_size long")
+    return packed.select("*", ((F.col("members") >= 2) & (F.col("stored_size") * 100 <= F.col("raw_size") * 95)).alias("worth"))

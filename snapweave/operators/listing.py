@@ -1,0 +1,170 @@
+"""Listings of folders, versions and projects: layered rules, caches, differences, references and names."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from snapweave.operators.rules import last_match, parse
+
+
+def layered(paths: DataFrame, layers: dict[str, str]) -> DataFrame:
+    """paths (path) with layer and excluded: of nested rule files (folder to text; '' is the root) the deepest that says anything about a file decides.
+
+    A layer's patterns are matched against the path below its folder. Rule files are small texts on the driver; they become
+    one projection.
+    """
+    found = []
+    for base in sorted(layers, key=lambda b: (-len(b), b)):
+        rules = parse(layers[base])
+        inside = F.col("path").startswith(f"{base}/") if base else F.lit(True)
+        below = F.col("path").substr(F.lit(len(base) + 2 if base else 1), F.char_length("path"))
+        found.append((base, rules, inside, below))
+    rows = paths.select("*", *(below.alias(f"_p{i}") for i, (_, _, _, below) in enumerate(found)))
+    numbers = [F.when(inside, last_match(rules, f"_p{i}", False)) for i, (_, rules, inside, _) in enumerate(found)]
+    layer = F.coalesce(*(F.when(n.isNotNull(), F.lit(base)) for n, (base, _, _, _) in zip(numbers, found, strict=True)))
+    shut = F.coalesce(*(F.when(n.isNotNull(), n.isin([r.number for r in rules if not r.negated])) for n, (_, rules, _, _) in zip(numbers, found, strict=True)), F.lit(False))
+    return rows.select(*paths.columns, layer.alias("layer"), shut.alias("excluded"))
+
+
+def cached(listing: DataFrame, index: DataFrame) -> DataFrame:
+    """(path, sha256): the index's digest where size and time of change are as it has them; null where the file must be read."""
+    known = index.select("path", F.col("size").alias("was"), F.col("mtime").alias("then"), "sha256")
+    hit = (F.col("size") == F.col("was")) & (F.col("mtime") == F.col("then"))
+    return listing.select("path", "size", "mtime").join(known, "path", "left").select("path", F.when(hit, F.col("sha256")).alias("sha256"))
+
+
+def changes_only(base: DataFrame, tree: DataFrame) -> DataFrame:
+    """(path, sha256, removed): entries of tree that are new or other than base's, and those that base has besides."""
+    entry = lambda t, name: t.select("path", F.struct("sha256", "executable").alias(name))
+    rows = entry(base, "b").join(entry(tree, "t"), "path", "full_outer").where(~F.col("b").eqNullSafe(F.col("t")))
+    return rows.select("path", F.col("t.sha256").alias("sha256"), F.col("t").isNull().alias("removed"))
+
+
+def status(manifest: DataFrame, local: DataFrame, disk: DataFrame) -> DataFrame:
+    """(path, state): absent (in the manifest, not on disk), behind (the manifest moved on), edited (disk isn't what was received)."""
+    side = lambda t, name: t.select("path", F.col("sha256").alias(name))
+    rows = side(manifest, "m").join(side(local, "l"), "path", "full_outer").join(side(disk, "d"), "path", "full_outer")
+    state = F.when(F.col("m").isNotNull() & F.col("d").isNull(), "absent").when(~F.col("m").eqNullSafe(F.col("l")) & F.col("d").eqNullSafe(F.col("l")), "behind").when(~F.col("d").eqNullSafe(F.col("l")), "edited")
+    return rows.select("path", state.alias("state")).where("state is not null")
+
+
+def released(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, verdict) of files against a release's entries: whole, size, digest, missing or unlisted."""
+    rows = entries.select("path", F.struct("size", "sha256").alias("e")).join(files.select("path", F.struct("size", "sha256").alias("f")), "path", "full_outer")
+    verdict = F.when(F.col("f").isNull(), "missing").when(F.col("e").isNull(), "unlisted").when(F.col("e.size") != F.col("f.size"), "size").when(F.col("e.sha256") != F.col("f.sha256"), "digest").otherwise("whole")
+    return rows.select("path", verdict.alias("verdict"))
+
+
+def by_prefix(objects: DataFrame, asked: DataFrame) -> DataFrame:
+    """(prefix, matches, name) of asked (prefix, at least 4 characters): the one name that starts so; null if there are none or several.
+
+    An equi-join on the first four characters, then the rest of the prefix.
+    """
+    names = objects.select("name").distinct().select("name", F.substring("name", 1, 4).alias("head"))
+    rows = asked.where(F.char_length("prefix") >= 4).select("prefix", F.substring("prefix", 1, 4).alias("head"))
+    hits = rows.join(names, "head", "left").select("prefix", F.when(F.col("name").startswith(F.col("prefix")), F.col("name")).alias("name"))
+    found = hits.groupBy("prefix").agg(F.count("name").alias("matches"), F.min("name").alias("name"))
+    return found.select("prefix", "matches", F.when(F.col("matches") == 1, F.col("name")).alias("name"))
+
+
+def alike_projects(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """(slug, project): projects whose slug equals an asked one, or starts or is started by it word by word.
+
+    Each slug is spread into its prefixes of whole words, so both directions are equi-joins.
+    """
+    spread = lambda t, own: t.select(F.col("slug").alias(own), F.split("slug", "-").alias("w")).select(own, F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.array_join(F.slice("w", 1, n), "-"))).alias("prefix"))
+    whole = lambda t, own: t.select(F.col("slug").alias(own), F.col("slug").alias("prefix"))
+    down = whole(asked, "slug").join(spread(names, "project"), "prefix")
+    up = spread(asked, "slug").join(whole(names, "project"), "prefix")
+    return down.select("slug", "project").unionByName(up.select("slug", "project")).distinct()
+
+
+def largest(files: DataFrame, most: int) -> DataFrame:
+    """(path, size, truncated): the greatest files, at most so many, and whether there are more. A report's limit."""
+    top = files.select("path", "size").orderBy(F.desc("size"), "path").limit(most + 1)
+    n = F.row_number().over(Window.orderBy(F.desc("size"), "path"))
+    rows = top.select("*", n.alias("n"), F.count("*").over(Window.partitionBy()).alias("all"))
+    return rows.where(F.col("n") <= most).select("path", "size", (F.col("all") > most).alias("truncated"))
+
+
+def push_rank(ref: Column) -> Column:
+    """HEAD, then main, master, other branches, and tags last."""
+    return F.when(ref == "HEAD", 0).when(ref == "refs/heads/main", 1).when(ref == "refs/heads/master", 2).when(ref.startswith("refs/tags/"), 4).otherwise(3)
+
+
+def marked(refs: DataFrame, marks: DataFrame) -> DataFrame:
+    """refs (ref, target) with the mark of their target (mark, target), or why there is none."""
+    return refs.join(marks, "target", "left").select("ref", "mark", F.when(F.col("mark").isNull(), "not exported").alias("problem"))
+
+
+def nearest_command(asked: DataFrame, commands: tuple[str, ...]) -> DataFrame:
+    """asked (word) with the command at the least edit distance, if that is at most a third of the longer name."""
+    scored = [F.struct(F.levenshtein("word", F.lit(c)).alias("d"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(commands)]
+    best = F.least(*scored) if len(scored) > 1 else scored[0]
+    rows = asked.select("word", best.alias("b"))
+    near = F.col("b.d") * 3 <= F.greatest(F.char_length("word"), F.char_length(F.col("b.c")))
+    return rows.select("word", F.when(near, F.col("b.c")).alias("command"))
+
+
+def paragraphs(lines: DataFrame, key: str = "path") -> DataFrame:
+    """(key, paragraph, first, lines) of lines (key, number, text): runs of lines that aren't blank, numbered from 0."""
+    w = Window.partitionBy(key).orderBy("number")
+    blank = F.trim("text") == ""
+    rows = lines.select(key, "number", blank.alias("blank"), F.sum(blank.cast("int")).over(w).alias("island")).where("not blank")
+    runs = rows.groupBy(key, "island").agg(F.min("number").alias("first"), F.count("*").alias("lines"))
+    return runs.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("first")) - 1).alias("paragraph"), "first", "lines")
+
+
+#: Names of files at a project's root and the kind that they tell, first match first (fixed values).
+KINDS = (("unity", "ProjectSettings"), ("godot", "project.godot"), ("node", "package.json"), ("rust", "Cargo.toml"), ("python", "pyproject.toml"), ("go", "go.mod"), ("make", "Makefile"))
+
+
+def project_kinds(entries: DataFrame, kinds: tuple[tuple[str, str], ...] = KINDS) -> DataFrame:
+    """(project, kind) of entries (project, name) at the root: the first kind whose file is there, else none."""
+    number = F.coalesce(*(F.when(F.col("name") == name, i) for i, (_, name) in enumerate(kinds)))
+    found = entries.groupBy("project").agg(F.min(number).alias("n"))
+    return found.select("project", F.coalesce(*(F.when(F.col("n") == i, kind) for i, (kind, _) in enumerate(kinds)), F.lit("none")).alias("kind"))
+
+
+def commit_of(message: Column) -> Column:
+    """The commit that the last marker line of a message names; null without one."""
+    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(message, F.lit(r"(?m)^Git-commit: ([0-9a-f]{40})$"), F.lit(1))), -1)
+
+
+def without_marker(message: Column, most: int = 240) -> Column:
+    """A message without its marker lines, at most so many characters."""
+    return F.substring(F.rtrim(F.regexp_replace(message, r"(?m)\n*^Git-commit: [0-9a-f]{40}$", "")), 1, most)
+
+
+#: Extensions whose content is compressed already (fixed values).
+COMPRESSED = (".7z", ".br", ".gif", ".gz", ".jpeg", ".jpg", ".m4a", ".mkv", ".mov", ".mp3", ".mp4", ".ogg", ".png", ".rar", ".webm", ".webp", ".woff2", ".xz", ".zip", ".zst")
+#: Media types by extension (fixed values).
+MEDIA = {".css": "text/css", ".html": "text/html", ".jpg": "image/jpeg", ".js": "text/javascript", ".json": "application/json", ".md": "text/markdown", ".pdf": "application/pdf", ".png": "image/png", ".svg": "image/svg+xml", ".txt": "text/plain", ".wasm": "application/wasm", ".xml": "application/xml", ".zip": "application/zip"}
+
+
+def compression(extension: Column, size: Column) -> Column:
+    """How to try to compress a file: stored as it is, sampled first, or whole."""
+    return F.when(extension.isin(*COMPRESSED) | (size < 4096), "store").when(size >= 2 << 20, "sample").otherwise("try")
+
+
+def media_type(extension: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in MEDIA.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, extension), F.lit("application/octet-stream"))
+
+
+def took_side(conflicts: DataFrame, ours: DataFrame, theirs: DataFrame, side: str) -> DataFrame:
+    """(path, sha256): conflicts (path) settled by one side's entry; null where that side has none, so the path goes."""
+    chosen = (ours if side == "ours" else theirs).select("path", "sha256")
+    return conflicts.select("path").join(chosen, "path", "left").select("path", "sha256")
+
+
+def unpaired(chain: DataFrame, published: DataFrame) -> DataFrame:
+    """(id, depth) of a chain (id, depth) up to, and without, its first published save."""
+    stop = chain.join(published.select("id"), "id", "left_semi").agg(F.min("depth").alias("stop"))
+    return chain.join(F.broadcast(stop), F.col("stop").isNull() | (F.col("depth") < F.col("stop"))).select("id", "depth")  # one row
+
+
+def reach(scanned: DataFrame, most: int) -> DataFrame:
+    """(scanned, of, complete) of a scan (path) that looks at so many files in order of path."""
+    return scanned.agg(F.least(F.count("*"), F.lit(most)).alias("scanned"), F.count("*").alias("of"), (F.count("*") <= most).alias("complete"))

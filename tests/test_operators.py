@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapweave.functions import text as T
-from snapweave.operators import content, detect, graph, rules, snapshots, text, transfer
+from snapweave.operators import content, delta, detect, graph, rules, snapshots, text, transfer
+from snapweave.sources import folder
 
 
 def decided(spark, ignore, paths):
@@ -165,6 +166,30 @@ def test_text_functions(spark):
     assert tuple(got) == ("hello-world", "1.5 KB", "\"'=a\"\"b\"", 67)
 
 
+def test_folders_and_stores(spark, tmp_path):
+    for name, body in (("a/x.txt", "hi"), ("a/.git/y", "no"), ("a/rules.ignore", "*.log\n"), ("z", "")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    got = {r.path: (r.size, r.sha256) for r in folder.entries(spark, str(tmp_path)).collect()}
+    assert got["a/x.txt"] == (2, hashlib.sha256(b"hi").hexdigest()) and set(got) == {"a/x.txt", "a/rules.ignore", "z"}
+    assert folder.rule_files(spark, str(tmp_path)) == {"a": "*.log\n"}
+    objects = spark.createDataFrame([("ab12", bytearray(b"x")), ("ab12", bytearray(b"x")), ("cd34", bytearray(b"y"))], "name string, raw binary")
+    for _ in range(2):
+        folder.put(objects, str(tmp_path / "store"))
+    assert sorted(r.name for r in folder.get(spark, str(tmp_path / "store")).collect()) == ["ab12", "cd34"]
+
+
+def test_deltas():
+    rnd = random.Random(5)
+    for _ in range(60):
+        base = bytes(rnd.choice(b"abcdefgh") for _ in range(rnd.randint(0, 400)))
+        cut = rnd.randint(0, len(base))
+        target = base[cut:] + bytes(rnd.randrange(256) for _ in range(rnd.randint(0, 30))) + base[:cut]
+        out = b"".join(own if own is not None else base[at : at + n] for at, n, own in delta.steps(base, target))
+        assert out == target
+    assert delta.steps(b"x" * 64, b"") == [] and delta.steps(b"0123456789abcdef" * 4, b"0123456789abcdef" * 4)[0] == (0, 64, None)
+
+
 def test_nothing_outside_imports_llm():
     from pathlib import Path
 

@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from snapweave.plans import folders, history, reports
+from snapweave.plans import folders, history, listing, reports
 
 DATA = "/root/testdata/sf0.001"
-CASES = [(name, fn, sql) for plan in (history, folders, reports) for name, (fn, sql) in plan.QUERIES.items()]
+CASES = [(name, fn, sql) for plan in (history, folders, reports, listing) for name, (fn, sql) in plan.QUERIES.items()]
 
 
 @pytest.fixture(scope="module")
