@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from snapweave.functions.lineage import cut, new_folder, shared_folder
 
-__all__ = ["NULL_ID", "cut", "doc_id", "identified", "new_folder", "partitions", "shared_folder", "steps", "utf8"]
+__all__ = ["NULL_ID", "cut", "doc_id", "forget", "identified", "kept", "new_folder", "partitions", "shared_folder", "steps", "utf8"]
 
 #: Stands for a null doc_id inside joins, and so counts as the smallest id.
 NULL_ID = -(2**63)
@@ -19,6 +19,21 @@ NULL_ID = -(2**63)
 STEP_BYTES = 1 << 20
 
 
+#: What a Python worker keeps from task to task: one thing, until another operator's task needs the room.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

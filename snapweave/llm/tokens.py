@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_id, identified, new_folder, partitions, steps
+from .common import doc_id, identified, kept, new_folder, partitions, steps
 from .kernels import mixed
 
 SHARD_TOKENS = 1 << 21
@@ -121,7 +121,7 @@ class Encoder:
             self.bytes_of[i] = len(name.encode()) if name in special else len(name)
         self.code: dict = {}  # numbers of pieces that are remembered; (text,) for the first piece of a text
         self.kept = self.used = self.n = 0
-        self.start, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.start, self.size, self.pool = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
 
     def _add(self, ids: np.ndarray, ends: np.ndarray) -> int:
         """Put pieces whose ids end at ends into the pool; the number of the first."""
@@ -198,7 +198,7 @@ class Encoder:
             open_ = [pieces[i] for i in new.tolist()]
             found = self._learn(list(set(open_).difference((None, i) for i in range(len(whole)))), whole)
             code[new] = [found[p] for p in open_]
-        size = self.size[code]
+        size = self.size[code].astype(np.int64)
         reach = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[code] - reach + size, size) + np.arange(reach[-1])] if len(code) else np.zeros(0, np.uint32)
         ends = reach[np.cumsum(lengths) - 1] if lengths else np.zeros(0, np.int64)
@@ -206,14 +206,9 @@ class Encoder:
         return ids, np.diff(np.r_[0, ends])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each Python worker, with what it remembers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def _shard(number: int, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, width: int) -> pa.RecordBatch:
