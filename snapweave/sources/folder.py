@@ -12,7 +12,7 @@ UNCOUNTED = (".git", ".hg", ".svn", ".cbx")
 def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """(path, size, mtime[, content]) of every file below root; without content, no file is opened.
 
-    Spark's readers pass over names that begin with a dot or an underscore, so these aren't listed.
+    Spark's readers pass over names that begin with a dot or an underscore, and over empty files, so these aren't listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.expr(f"substring(path, instr(path, '{root.rstrip('/')}/') + {len(root.rstrip('/')) + 1})")
