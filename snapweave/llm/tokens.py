@@ -109,9 +109,10 @@ class Encoder:
     """Ids of texts. Text is cut where a single space follows a character that is no white space: byte-level
     pre-tokenizers always cut there, so pieces are encoded once and remembered. Other texts are encoded whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int | None = None):
         from tokenizers import Tokenizer
 
+        self.room = REMEMBERED if room is None else room
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         names = self.tokenizer.get_vocab()
@@ -158,7 +159,7 @@ class Encoder:
         if others:
             n = self._add(*self._each([p[0] for p in others]))
             found.update(zip(others, range(n, n + len(others)), strict=True))
-        if len(self.code) + len(found) <= REMEMBERED:
+        if len(self.code) + len(found) <= self.room:
             self.code.update(found)
             self.kept = (self.n, self.used)
         if texts:
@@ -206,9 +207,9 @@ class Encoder:
         return ids, np.diff(np.r_[0, ends])
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, room: int) -> Encoder:
     """One for each Python worker, with what it remembers."""
-    return kept(("encoder", path), lambda: Encoder(path))
+    return kept(("encoder", path, room), lambda: Encoder(path, room))
 
 
 def _shard(number: int, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, width: int) -> pa.RecordBatch:
@@ -223,14 +224,14 @@ def _shard(number: int, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, w
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, room: int = REMEMBERED) -> None:
     """Encode the text of docs and write shards to folder (a place that Spark can write)."""
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, room)
         number = TaskContext.get().partitionId() << 24
         keys, counts, ids, held, n = [], [], [], 0, 0
         for batch, _, _ in steps(batches, limit=STEP_BYTES):
@@ -303,11 +304,11 @@ def production_tokenizer() -> tuple[str, int]:
     return public_tokenizers.path("byte_bpe_50k.json"), 2
 
 
-def written(docs: DataFrame) -> DataFrame:
-    """Write shards of docs to a new folder beside the checkpoints, and read them back."""
+def written(docs: DataFrame, room: int = REMEMBERED) -> DataFrame:
+    """Write shards of docs to a new folder beside the checkpoints, and read them back. Workers remember `room` pieces."""
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
-    write_shards(docs, folder, *production_tokenizer())
+    write_shards(docs, folder, *production_tokenizer(), room)
     return read_documents(spark, folder)
 
 
