@@ -13,6 +13,10 @@ from snapweave.llm import decontam, mixing, near, quality, tokens
 from snapweave.llm.common import new_folder
 
 
+#: Pieces that a worker of the token stage remembers: fewer than by itself, as executors hold what the stages before left.
+PIECES = 200_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.filtered(docs)
@@ -35,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all rows in shards with an index, and what they hold by document."""
-    return tokens.written(docs)
+    return tokens.written(docs, PIECES)
 
 
 STAGES = [
