@@ -10,7 +10,10 @@
 3. Candidates that sizes or one bit of each signature value rule out are dropped (a true link with probability 2e-8).
 4. Links are confirmed on full sets: first each node with its least candidate, which makes stars; then, of what is left, pairs
    of nodes that aren't in one component yet.
-5. Components grow by hooking to the least neighbour and pointer jumping, with lineage cut after each round.
+5. Nodes in runs too long for all their pairs to be candidates (or cut by a task's border) are crowded. They are joined exactly: two
+   sets alike enough share a shingle among the rarest of each, so each node is listed by those, and nodes of one list that sizes
+   and places in the order don't rule out are confirmed too, unless they are in one component by now. Lists are split by HOT.
+6. Components grow by hooking to the least neighbour and pointer jumping, with lineage cut after each round.
 
 A pair at the threshold is missed by all trees with a probability of (1 - t ** shallow) ** TREES: 7e-6 at 0.85, 1e-5 at 0.8.
 Defined cases: without words (or null) a document is linked with nothing; with fewer words than a shingle, its whole
@@ -28,13 +31,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, forget, identified, partitions, steps
+from .common import NULL_ID, STEP_BYTES, cut, forget, identified, partitions, steps
 from .kernels import BY_SPACE, LOWER, Sums, mixed, words
 
 TREES = 16
 DEPTH = 6
 NEIGHBOURS = 4
 REGION = 32
+#: Buckets by which shingles of crowded nodes are counted; any count gives an order that is right, a good one short lists.
+BUCKETS = 1 << 20
+#: Rows of a shingle that one task pairs with all others of it.
+HOT = 1000
 SHINGLE = 5
 PERCENT = 80
 _RNG = np.random.Generator(np.random.PCG64(8))
@@ -114,8 +121,8 @@ def _planted(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
         )
 
 
-def _pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the candidates among rows of trees, sorted by key, v1, v2 and did."""
+def _pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the candidates among rows of trees, sorted by key, v1, v2 and did, and which rows are crowded."""
     m = len(rows["key"])
     left, right = [], []
     here = np.arange(m)
@@ -128,6 +135,7 @@ def _pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         size = np.diff(np.r_[start, m])
         if not depth:
             sizes = size[run]
+            crowded = (sizes > NEIGHBOURS + 1) | (run == run[0]) | (run == run[-1])
             for step in range(1, NEIGHBOURS + 1):
                 if m > step:
                     same = np.flatnonzero(run[step:] == run[:-step])
@@ -139,11 +147,11 @@ def _pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         star = (size[run] > 1) & (hub != here) & ((depth == 0) | (sizes > REGION))
         left.append(hub[star])
         right.append(here[star])
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate(left), np.concatenate(right), crowded
 
 
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a < b, of nodes (did, n, signature); each pair once."""
+    """(a, b): a < b, of nodes (did, n, signature), each pair once; and (a, a) of crowded nodes."""
     t = percent / 100
     p = (1 + t) / 2
     enough = int(np.floor(TREES * DEPTH * (p - 5.5 * np.sqrt(p * (1 - p) / (TREES * DEPTH)))))
@@ -155,11 +163,12 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         if not held:
             return
         rows = {c: np.concatenate([h[c] for h in held]) for c in names}
-        left, right = _pairs(rows)
+        left, right, crowded = _pairs(rows)
         small, large = np.minimum(rows["n"][left], rows["n"][right]).astype(np.int64), np.maximum(rows["n"][left], rows["n"][right]).astype(np.int64)
         unlike = np.bitwise_count((rows["s1"][left] ^ rows["s1"][right]).view(np.uint64)).astype(int) + np.bitwise_count((rows["s2"][left] ^ rows["s2"][right]).view(np.uint64))
         good = (100 * small >= percent * large) & (TREES * DEPTH - unlike >= enough) & (rows["did"][left] != rows["did"][right])
-        a, b = rows["did"][left[good]], rows["did"][right[good]]
+        alone = np.unique(rows["did"][crowded])
+        a, b = np.r_[rows["did"][left[good]], alone], np.r_[rows["did"][right[good]], alone]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         for i in range(0, pairs.shape[1], 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0, i : i + 50_000]), pa.array(pairs[1, i : i + 50_000])], names=["a", "b"])
@@ -195,6 +204,67 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.select("a", "b", "blob_a", "blob_b").mapInArrow(compare, "a long, b long")
 
 
+def _opened(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with a blob, with shingle_sets() of their texts."""
+    open_ = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at, held, size = 0, [], 0
+        for i, blob in enumerate(batch.column("blob").to_pylist()):
+            held.append(open_.decompress(blob))
+            size += len(held[-1])
+            if size >= STEP_BYTES or i + 1 == batch.num_rows:
+                off = np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int64)
+                yield batch.slice(at, i + 1 - at), *shingle_sets(np.frombuffer(b"".join(held), np.uint8), off, k)
+                at, held, size = i + 1, [], 0
+
+
+def rarest(crowd: DataFrame, k: int, percent: int) -> DataFrame:
+    """(shingle, did, component, n, at, small) of crowd (did, component, blob): the first shingles of each set, rarest first.
+
+    An overlap of percent * (n + m) / (100 + percent) leaves no set that shares none of them; small ones suffice in the smaller set.
+    """
+    mask = np.uint64(BUCKETS - 1)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for _, grams, _ in _opened(batches, k):
+            np.add.at(total, (grams & mask).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "rows"])
+
+    sums = crowd.mapInArrow(counted, "bucket long, rows long").groupBy("bucket").agg(F.sum("rows").alias("rows")).toArrow()
+    common = np.zeros(BUCKETS, np.int64)
+    common[sums.column("bucket").to_numpy()] = sums.column("rows").to_numpy()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, grams, first in _opened(batches, k):
+            n = np.diff(first)
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((grams, common[(grams & mask).astype(np.int64)], doc))
+            at = np.arange(len(doc)) - first[:-1][doc]
+            size = n[doc]
+            keep = at <= size + -percent * size // 100
+            grams, doc, at, size = grams[order][keep], doc[keep], at[keep], size[keep]
+            small = at <= size + -2 * percent * size // (100 + percent)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), batch.column("did").take(take), batch.column("component").take(take), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(small)], names=["shingle", "did", "component", "n", "at", "small"])
+
+    return crowd.mapInArrow(listed, "shingle long, did long, component long, n int, at int, small boolean")
+
+
+def crowded_pairs(crowd: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): a < b, of crowd (did, component, blob): every pair alike enough of two components, and a few that aren't."""
+    rows = cut(rarest(crowd, k, percent))
+    lists = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if("small").alias("smalls"))
+    lists = lists.where("low < high and smalls > 0").select("shingle", F.ceil(F.col("smalls") / HOT).cast("int").alias("parts"))
+    rows = cut(rows.join(lists, "shingle"))
+    x = rows.where("small").select("shingle", F.pmod(F.xxhash64("did"), "parts").cast("int").alias("part"), *(F.col(c).alias(f"{c}_x") for c in ("did", "component", "n", "at")))
+    y = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_y") for c in ("did", "component", "n", "at")))
+    both = x.join(y, ["shingle", "part"]).where("component_x <> component_y and (n_x < n_y or n_x = n_y and did_x < did_y)")
+    both = both.where(f"100L * n_x >= {percent}L * n_y and {100 + percent}L * least(n_x - at_x, n_y - at_y) >= {percent}L * (n_x + n_y)")
+    return both.select(F.least("did_x", "did_y").alias("a"), F.greatest("did_x", "did_y").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of edges (a, b) can reach."""
     edges, labels = cut(edges.select("a", "b").where("a <> b").distinct()), None
@@ -224,7 +294,8 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     every = cut(signed(docs, k))
     own = every.where("n > 0").groupBy("set1", "set2").agg(F.min(F.struct("did", "n", "signature")).alias("first"))
     nodes = cut(own.select("set1", "set2", "first.*"))
-    pairs = cut(candidates(nodes, percent))
+    met = cut(candidates(nodes, percent))
+    pairs, crowd = met.where("a < b"), met.where("a = b").select(F.col("a").alias("did"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -232,7 +303,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array([pack.compress(raw[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["did", "blob"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct()
+    wanted = met.select(F.explode(F.array("a", "b")).alias("did")).distinct()
     texts = cut(docs.mapInArrow(packed, "did long, blob binary").join(wanted, "did", "left_semi"))
     stars = cut(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, k, percent))
     first = cut(components(stars))
@@ -240,8 +311,14 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     x, y = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     tried = pairs.groupBy("b").agg(F.min("a").alias("a"))
     apart = pairs.join(tried, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = confirmed(apart, texts, k, percent)
-    labels = components(stars.unionByName(more))
+    links = cut(stars.unionByName(confirmed(apart, texts, k, percent)))
+    labels = cut(components(links))
+    if not crowd.isEmpty():
+        crowd = crowd.join(labels, crowd["did"] == labels["node"], "left").select("did", F.coalesce("component", "did").alias("component"))
+        others = crowded_pairs(texts.join(crowd, "did").select("did", "component", "blob"), k, percent).join(pairs, ["a", "b"], "left_anti")
+        others = cut(confirmed(others, texts, k, percent))
+        if not others.isEmpty():
+            labels = components(links.unionByName(others))
     roots = cut(nodes.join(labels, nodes["did"] == labels["node"], "left").select("set1", "set2", F.coalesce("component", "did").alias("component")))
     return every.join(roots, ["set1", "set2"], "left").select("did", F.col("n").cast("long").alias("n"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component"))
 

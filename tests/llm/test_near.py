@@ -75,3 +75,16 @@ def test_paths_and_empty(spark):
     same = spark.createDataFrame([(3, "a b c d e f", 1), (3, "a b c d e f", 2), (None, "x y", 3), (4, None, 4)], "doc_id long, text string, did int")
     kept = near.deduplicated(same).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["3", "4", "None"] and set(kept[0].asDict()) == {"doc_id", "text", "did"}
+
+
+def test_crowd(spark):
+    """Near copies far apart among thousands of mates on one template, whose likeness is just under the threshold."""
+    rnd = random.Random(3)
+    template = [f"t{i}" for i in range(110)]
+    rows = [(doc, " ".join(template + [f"u{doc}x{i}" for i in range(10)])) for doc in range(700)]
+    # one more word in common than mates: 109 of 127 shingles, where mates have 108 of 128
+    rows += [(10**6 + 7919 * i % 10**5, " ".join(template + [f"u{i}x0"] + [f"v{i}x{j}" for j in range(9)])) for i in range(100)]
+    rnd.shuffle(rows)
+    got = near.linked(identified(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), 3, 85).collect()
+    assert sorted((r.did, r.n, r.component) for r in got) == brute(rows, 3, 85)
+    assert sum(r.did != r.component for r in got) == 100
