@@ -17,8 +17,8 @@
 
 A pair at the threshold is missed by all trees with a probability of (1 - t ** shallow) ** TREES: 7e-6 at 0.85, 1e-5 at 0.8.
 Defined cases: without words (or null) a document is linked with nothing; with fewer words than a shingle, its whole
-sequence is one shingle; rows with one doc_id are one document for links if their texts are the first of their sets; a null
-doc_id is less than all others. An empty table gives an empty result.
+sequence is one shingle; rows with one doc_id (or none) and different texts are documents of their own, the least hash of doc_id
+and text first; rows equal in both are one. A null doc_id is less than all others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(did, n, set1, set2, signature) of identified() rows; the signature is null where n is 0."""
+    """(did, rid, n, set1, set2, signature) of identified() rows; the signature is null where n is 0."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -94,9 +94,9 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             blobs: list = [None] * len(n)
             for i, row in zip(full.tolist(), values, strict=True):
                 blobs[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(n.astype(np.int32)), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), pa.array(blobs, pa.binary())], names=["did", "n", "set1", "set2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(n.astype(np.int32)), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), pa.array(blobs, pa.binary())], names=["did", "rid", "n", "set1", "set2", "signature"])
 
-    return docs.mapInArrow(sign, "did long, n int, set1 long, set2 long, signature binary")
+    return docs.mapInArrow(sign, "did long, rid long, n int, set1 long, set2 long, signature binary")
 
 
 def _planted(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -290,10 +290,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(did, n, component) of every row of identified() docs."""
+    """(did, rid, n, component, first) of every row of identified() docs; component and first are the did and rid of its least row.
+
+    Inside, did of a node is a number of its own: a doc_id may stand for several sets.
+    """
     every = cut(signed(docs, k))
-    own = every.where("n > 0").groupBy("set1", "set2").agg(F.min(F.struct("did", "n", "signature")).alias("first"))
-    nodes = cut(own.select("set1", "set2", "first.*"))
+    own = every.where("n > 0").groupBy("set1", "set2").agg(F.min(F.struct("did", "rid", "n", "signature")).alias("first"))
+    numbered = cut(cut(own).select("set1", "set2", F.col("first.did").alias("id"), F.col("first.rid").alias("rid"), F.monotonically_increasing_id().alias("did"), "first.n", "first.signature"))
+    nodes = numbered.select("did", "n", "signature")
     met = cut(candidates(nodes, percent))
     pairs, crowd = met.where("a < b"), met.where("a = b").select(F.col("a").alias("did"))
 
@@ -301,10 +305,11 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         pack = zstandard.ZstdCompressor(level=3)
         for batch, data, off in steps(batches):
             raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array([pack.compress(raw[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["did", "blob"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array([pack.compress(raw[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["id", "rid", "blob"])
 
-    wanted = met.select(F.explode(F.array("a", "b")).alias("did")).distinct()
-    texts = cut(docs.mapInArrow(packed, "did long, blob binary").join(wanted, "did", "left_semi"))
+    wanted = numbered.select("id", "rid", "did").join(met.select(F.explode(F.array("a", "b")).alias("did")).distinct(), "did", "left_semi")
+    blobs = docs.mapInArrow(packed, "id long, rid long, blob binary").join(wanted, ["id", "rid"])
+    texts = cut(blobs.groupBy("id", "rid", "did").agg(F.first("blob").alias("blob")).select("did", "blob"))
     stars = cut(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, k, percent))
     first = cut(components(stars))
     # what is left: pairs between components, and not tried yet
@@ -319,18 +324,22 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         others = cut(confirmed(others, texts, k, percent))
         if not others.isEmpty():
             labels = components(links.unionByName(others))
-    roots = cut(nodes.join(labels, nodes["did"] == labels["node"], "left").select("set1", "set2", F.coalesce("component", "did").alias("component")))
-    return every.join(roots, ["set1", "set2"], "left").select("did", F.col("n").cast("long").alias("n"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component"))
+    grouped = cut(numbered.join(labels, numbered["did"] == labels["node"], "left").select("set1", "set2", "id", "rid", F.coalesce("component", "did").alias("component")))
+    least = grouped.groupBy("component").agg(F.min(F.struct("id", "rid")).alias("least"))
+    roots = cut(grouped.join(least, "component").select("set1", "set2", "least"))
+    alone = F.struct(F.col("did").alias("id"), "rid")
+    rows = every.join(roots, ["set1", "set2"], "left").select("did", "rid", F.col("n").cast("long").alias("n"), F.when(F.col("n") > 0, F.col("least")).otherwise(alone).alias("least"))
+    return rows.select("did", "rid", "n", F.col("least.id").alias("component"), F.col("least.rid").alias("first"))
 
 
 def deduplicated(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component; of rows with one doc_id, the one with the least hash of its text."""
-    kept = linked(identified(docs), k, percent).where("did = component").select("did").distinct()
-    rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_did")).join(kept.withColumnRenamed("did", "_did"), "_did", "left_semi")
-    several = cut(docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_did")).count().where("count > 1").select("_did"))
-    if not several.isEmpty():
-        first = Window.partitionBy("_did").orderBy(F.xxhash64("text"))
-        rows = rows.select("*", F.row_number().over(first).alias("_n")).where("_n = 1")
+    """The rows of docs that are the least of their component by doc_id and hash; of rows equal in doc_id and text one, if it has words."""
+    roots = linked(identified(docs), k, percent).where("did = component and rid = first")
+    kept = cut(roots.groupBy(F.col("did").alias("_did"), F.col("rid").alias("_rid")).agg((F.max("n") > 0).alias("_words"), F.count("*").alias("_rows")).select("_did", "_rid", F.expr("_words and _rows > 1").alias("_again")))
+    named = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_did"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_rid"))
+    rows = named.join(kept, ["_did", "_rid"])
+    if not kept.where("_again").isEmpty():
+        rows = rows.where("not _again").unionByName(rows.where("_again").dropDuplicates(["_did", "_rid"]))
     return rows.select(*docs.columns)
 
 
@@ -338,4 +347,4 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = linked(identified(docs), 3, 85)
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return rows.select(null("did").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
+    return rows.select(null("did").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"), F.expr("did = component and rid = first").alias("kept"))

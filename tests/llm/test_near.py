@@ -88,3 +88,12 @@ def test_crowd(spark):
     got = near.linked(identified(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), 3, 85).collect()
     assert sorted((r.did, r.n, r.component) for r in got) == brute(rows, 3, 85)
     assert sum(r.did != r.component for r in got) == 100
+
+
+def test_ids_that_are_null_or_repeated(spark):
+    """Only rows with an equal or linked set go, whatever their ids are."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (7, text("d")), (7, text("e")), (3, text("e")), (3, text("f")), (9, text("a") + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((str(r.doc_id), r.text[0]) for r in near.deduplicated(docs).collect())
+    assert kept == [("3", "e"), ("3", "f"), ("7", "d"), ("None", "a"), ("None", "b"), ("None", "c")]
