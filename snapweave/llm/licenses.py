@@ -1,10 +1,11 @@
 """Licence scans by a positional index of rare words.
 
 Templates (notices and key sentences of licences, and the base phrases) are indexed by word and position. A word weighs its
-inverse document frequency, counted over all documents. A file looks up its heaviest licence words: each place p of a word that
-a template has at q votes for the alignment p - q. The alignment with most weight is compared word by word (a word may stand
-SLACK places off), and gives the score: the weight of the template's words found in place over that of all. A template
-counts if its score reaches ACCEPT and each of its mandatory key phrases stands in the file. A base phrase counts wherever its
+inverse document frequency, counted over all documents. Each template looks for its own heaviest words, so many that what is left of it
+weighs less than ACCEPT: a place p of one that the template has at q gives the alignments from p - q - SLACK to p - q + SLACK, and no
+other can be accepted. Each is compared word by word (a word may stand SLACK places off), and the best gives the score: the weight of
+the template's words found in place over that of all. A template counts if its score reaches ACCEPT and each of its mandatory
+key phrases stands in the file. A base phrase counts wherever its
 words stand in a row.
 
 Defined cases: a null or empty text has no words, no labels and score 0; rows are judged one by one; an empty table gives
@@ -48,8 +49,6 @@ TEMPLATES = (
     ("cc-by-nd-4.0", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
 )
 
-#: Heaviest distinct licence words that a file looks up.
-RARE = 12
 SLACK = 2
 ACCEPT = 0.7
 #: Words too common in any text to be looked up (fixed values); they still count in a comparison.
@@ -77,29 +76,39 @@ def templates() -> list[Template]:
 
 
 class Index:
-    """Postings of the templates' words: (template, position), and weights."""
+    """The templates with the weights of their words, and the positions that each is looked for by."""
 
     def __init__(self, found: dict[bytes, int], documents: int):
         self.templates = templates()
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for i, t in enumerate(self.templates):
+        for t in self.templates:
             for words in (t.words, *t.keys):
                 assert any(w not in COMMON for w in words), words
-            for q, w in enumerate(t.words):
-                self.postings[w].append((i, q))
-        self.weight = {w: math.log((documents + 1) / (found.get(w, 0) + 0.5)) + 1 for w in self.postings}
+        vocabulary = {w for t in self.templates for w in t.words}
+        self.weight = {w: math.log((documents + 1) / (found.get(w, 0) + 0.5)) + 1 for w in vocabulary}
         self.weight = {w: max(x, 0.1) for w, x in self.weight.items()}
-        self.rare = frozenset(self.postings) - COMMON
+        self.rare = frozenset(vocabulary) - COMMON
         self.total = [sum(self.weight[w] for w in t.words) for t in self.templates]
+        self.pivots = [self.heaviest(t, total) for t, total in zip(self.templates, self.total, strict=True)]
+        self.rare |= {t.words[q] for t, pivots in zip(self.templates, self.pivots, strict=True) for q in pivots}
+
+    def heaviest(self, template: Template, total: float) -> list[int]:
+        """Positions of a template of which one at least is in place where the score reaches ACCEPT."""
+        out, held = [], 0.0
+        for q in sorted(range(len(template.words)), key=lambda q: (template.words[q] not in self.rare, -self.weight[template.words[q]], q)):
+            out.append(q)
+            held += self.weight[template.words[q]]
+            if held > (1 - ACCEPT) * total + 1e-9:
+                break
+        return out
 
     def places(self, words: list[bytes], where: dict[bytes, list[int]], phrase: list[bytes]) -> list[int]:
         """Where the words of a phrase stand in a row, by its heaviest word that isn't common."""
         i = max((k for k, w in enumerate(phrase) if w in self.rare), key=lambda k: self.weight[phrase[k]])
         return [p - i for p in where.get(phrase[i], ()) if p >= i and words[p - i : p - i + len(phrase)] == phrase]
 
-    def compare(self, words: list[bytes], template: Template, start: int) -> float:
-        """Weight of the template's words that stand in place, in order, from start on."""
-        at, got = start - SLACK - 1, 0.0
+    def compare(self, words: list[bytes], template: Template, total: float, start: int) -> float:
+        """Weight of the template's words that stand in place, in order, from start on; 0 once it can't be accepted."""
+        at, got, spare = start - SLACK - 1, 0.0, (1 - ACCEPT) * total + 1e-9
         for q, w in enumerate(template.words):
             lo = max(at + 1, start + q - SLACK, 0)
             hi = min(start + q + SLACK + 1, len(words))
@@ -107,6 +116,10 @@ class Index:
                 if words[p] == w:
                     at, got = p, got + self.weight[w]
                     break
+            else:
+                spare -= self.weight[w]
+                if spare < 0:
+                    return 0.0
         return got
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
@@ -119,16 +132,6 @@ class Index:
             if w in present:
                 where[w].append(p)
         base, starts, labels, score = set(), [], set(), 0.0
-        heaviest = sorted(present, key=lambda w: (-self.weight[w], w))[:RARE]
-        votes: Counter = Counter()
-        for w in heaviest:
-            for i, q in self.postings[w]:
-                for p in where[w]:
-                    votes[i, p - q] += self.weight[w]
-        best: dict[int, tuple[float, int]] = {}
-        for (i, start), v in votes.items():
-            if v > best.get(i, (0.0, 0))[0] or (v == best[i][0] and start < best[i][1]):
-                best[i] = (v, start)
         for i, t in enumerate(self.templates):
             if t.base:
                 # a base phrase is looked for by its own heaviest word, among all words of the file
@@ -137,9 +140,10 @@ class Index:
                     base.add(t.label)
                     starts += found
                     score = 1.0
-            elif i in best:
-                got = self.compare(words, t, best[i][1]) / self.total[i]
-                if got >= ACCEPT and all(self.places(words, where, k) for k in t.keys):
+            elif all(self.places(words, where, k) for k in t.keys):
+                near = {p - q + d for q in self.pivots[i] for p in where.get(t.words[q], ()) for d in range(-SLACK, SLACK + 1)}
+                got = max((self.compare(words, t, self.total[i], start) for start in near), default=0.0) / self.total[i]
+                if got >= ACCEPT:
                     labels.add(t.label)
                     score = max(score, min(got, 1.0))
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score

@@ -61,3 +61,34 @@ def test_planted_secrets(spark):
     wanted = {(r.doc_id, hashlib.sha256(v.encode()).hexdigest()) for r in rows.collect() for v in re.findall(r'(?:token = "|password=)([0-9a-f]+)', r.text)}
     assert wanted and wanted <= got
     assert len(got) <= len(wanted) * 1.05
+
+
+def test_many_licences_in_one_file():
+    """Labels and score beside a comparison at every alignment of every template."""
+    line = "Released under the MIT License"
+    notices = [text for _, text, _ in licenses.TEMPLATES]
+    ordinary = "purpose charge person forms conditions extent documentation redistribution modification provided permitted binary associated copyright domain author"
+    files = [
+        "\n".join(notices),
+        f"{ordinary}\n{line}",
+        f"{line.replace('the', 'a b the')} and later {ordinary} {line}",
+        "license mit released " * 30 + line,
+        " ".join(notices[1].split()[::-1]),
+    ]
+    # words of the line are common in the corpus, the ordinary ones rare
+    index = licenses.Index({w: 400 for w in (b"released", b"under", b"the", b"mit", b"license")}, 1000)
+    for text in files:
+        w = licenses.split(text)
+        in_row = lambda p: any(w[i : i + len(p)] == p for i in range(len(w)))  # noqa: E731, B023
+        labels, score = set(), 0.0
+        for t, total in zip(index.templates, index.total, strict=True):
+            if t.base:
+                got = float(in_row(t.words))
+            else:
+                got = max(index.compare(w, t, total, start) for start in range(-len(t.words), len(w))) / total if all(map(in_row, t.keys)) else 0.0
+            if got >= licenses.ACCEPT:
+                labels.add(t.label)
+                score = max(score, min(got, 1.0))
+        assert index.scan(text)[5:] == (",".join(sorted(labels)), score)
+    assert index.scan(files[0])[5].split(",") == sorted({label for label, _, _ in licenses.TEMPLATES} | {"gpl", "cc-by"})
+    assert index.scan(files[1])[5] == "mit"
