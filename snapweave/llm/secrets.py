@@ -6,8 +6,8 @@ that comes with Spark) is trained on labelled findings. Without a table of such
 rule from numbered templates: keys, tokens and passwords that are assigned; and hashes of commits, checksums, identifiers,
 numbers, placeholders and long names that only look like them. No row of the corpus is trained on.
 
-Defined cases: a null or empty text has no candidates; a candidate that stands in a text several times is one finding with its
-first place and count; rows are judged one by one; a null path is empty; an empty table gives an empty result.
+Defined cases: a null or empty text has no candidates; a candidate that stands in a text several times is judged at
+each place, and is one finding with its best score, the first place that has it, and its count; rows are judged one by one; a null path is empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,20 +99,25 @@ def train(findings: DataFrame) -> PipelineModel:
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """(doc_id, value, path, start, occurrences, before, after) of the candidates of docs, by text."""
-    found = docs.select(F.col("doc_id").cast("long"), _text("text").alias("text"), _text(path).alias("path"), F.expr(f"regexp_extract_all(text, r'{CANDIDATE}', 0)").alias("_all"))
-    each = found.where(F.size("_all") > 0).select("doc_id", "text", "path", "_all", F.explode(F.array_distinct("_all")).alias("value"))
-    placed = each.select("doc_id", "path", "value", "text", F.size(F.filter("_all", lambda x: x == F.col("value"))).cast("long").alias("occurrences"), F.expr("instr(text, value) - 1").cast("long").alias("start"))
+    """(row, doc_id, value, path, start, before, after) of every place of a candidate in docs; row tells their rows apart."""
+    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), _text("text").alias("text"), _text(path).alias("path"), F.expr(f"regexp_extract_all(text, r'{CANDIDATE}', 0)").alias("_all"))
+    # what stands between the matches gives their places: one more piece than matches
+    gaps = found.where(F.size("_all") > 0).select("*", F.split("text", CANDIDATE, -1).alias("_gaps"))
+    ends = F.expr("aggregate(arrays_zip(_all, _gaps), cast(array() as array<int>), (a, x) -> CASE WHEN x._all IS NULL THEN a ELSE concat(a, array(coalesce(try_element_at(a, -1), 0) + char_length(x._gaps) + char_length(x._all))) END)")
+    each = gaps.withColumn("_ends", ends).select("row", "doc_id", "text", "path", F.explode(F.arrays_zip(F.col("_all").alias("value"), F.col("_ends").alias("end"))).alias("_one"))
+    placed = each.select("row", "doc_id", "path", "text", "_one.value", (F.col("_one.end") - F.char_length("_one.value")).cast("long").alias("start"))
     return placed.select(
-        "doc_id", "value", "path", "start", "occurrences",
+        "row", "doc_id", "value", "path", "start",
         F.expr(f"substring(text, cast(greatest(start - {NEAR}, 0) + 1 as int), cast(least(start, {NEAR}) as int))").alias("before"),
         F.expr(f"substring(text, cast(start + char_length(value) + 1 as int), {NEAR})").alias("after"),
     )
 
 
 def scored(docs: DataFrame, model: PipelineModel, path: str = "source") -> DataFrame:
-    """Candidates with `score`, the forest's probability that they are secrets."""
-    return model.transform(features(candidates(docs, path))).select("doc_id", "value", "start", "occurrences", F.round(vector_to_array("probability")[1], 6).alias("score"))
+    """Candidates with `score`, the forest's probability that they are secrets where they look most like one, and that place."""
+    places = model.transform(features(candidates(docs, path))).select("row", "doc_id", "value", "start", F.round(vector_to_array("probability")[1], 6).alias("score"))
+    best = places.groupBy("row", "doc_id", "value").agg(F.max(F.struct("score", (-F.col("start")).alias("back"))).alias("best"), F.count("*").alias("occurrences"))
+    return best.select("doc_id", "value", (-F.col("best.back")).alias("start"), "occurrences", F.col("best.score").alias("score"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,14 @@ def test_many_licences_in_one_file():
         assert index.scan(text)[5:] == (",".join(sorted(labels)), score)
     assert index.scan(files[0])[5].split(",") == sorted({label for label, _, _ in licenses.TEMPLATES} | {"gpl", "cc-by"})
     assert index.scan(files[1])[5] == "mit"
+
+
+def test_secret_named_before_it_is_assigned(spark):
+    value, inner = "9f8a7c6b5d4e3f2a1b0c9d8e7f6a", "abc123def456"
+    text = f"é see commit {value} for an example, then token = \"{value}\" and /x/{inner} or password={inner}"
+    docs = spark.createDataFrame([(1, text, "src0"), (None, text, "src0")], "doc_id long, text string, source string")
+    assert {(r.value, r.start) for r in secrets.candidates(docs).collect()} == {(value, text.index(value)), (value, text.rindex(value)), (f"/x/{inner}", text.index("/x/")), (inner, text.rindex(inner))}
+    got = {(r.doc_id, r.value): r for r in secrets.scored(docs, secrets.train(secrets.labelled(spark))).collect()}
+    for doc in (1, None):
+        assert got[doc, value].start == text.rindex(value) and got[doc, value].occurrences == 2 and got[doc, value].score >= secrets.KEPT_FROM
+        assert got[doc, inner].start == text.rindex(inner) and got[doc, inner].occurrences == 1
