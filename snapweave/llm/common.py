@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snapweave.functions.lineage import cut, new_folder, shared_folder
 
-__all__ = ["NULL_ID", "cut", "doc_id", "forget", "identified", "kept", "new_folder", "partitions", "shared_folder", "steps", "utf8"]
+__all__ = ["NULL_ID", "cut", "doc_id", "forget", "identified", "identity", "kept", "new_folder", "partitions", "quoted", "running", "shared_folder", "steps", "utf8", "whole_row"]
 
 #: Stands for a null doc_id inside joins, and so counts as the smallest id.
 NULL_ID = -(2**63)
@@ -38,16 +38,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def identity() -> tuple[Column, Column]:
+    """did is doc_id (NULL_ID for null); rid tells rows of one doc_id with different texts apart."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("rid")
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """(did, rid, text): did is doc_id (NULL_ID for null); rid tells rows of one doc_id with different texts apart.
+    """(did, rid, text) of docs. Rows equal in doc_id and text share did and rid, and get the same result."""
+    return docs.select(*identity(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def quoted(name: str) -> str:
+    """A column's name as it must be written where names may hold dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that columns added beside it can't clash with its own."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns))
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with `place` (from 1) in an order that has no ties, and for each of sums what the rows before a row sum up to.
 
-    Rows equal in doc_id and text share both, and get the same result.
+    Rows are dealt by ranges, so a task holds one range; what goes over borders is a row for each range.
     """
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("rid"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    dealt = cut(df.repartitionByRange(partitions(df.sparkSession), *order).select("*", F.spark_partition_id().alias("_range"), *(x.alias(f"_x_{k}") for k, x in sums.items())))
+    totals = dealt.groupBy("_range").agg(F.count("*").alias("_n"), *(F.sum(f"_x_{k}").alias(f"_t_{k}") for k in sums))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", *(f"_t_{k}" for k in sums))))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    here = dealt.select("*", F.row_number().over(inside).alias("_place"), *(F.coalesce(F.sum(f"_x_{k}").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_b_{k}") for k in sums))
+    return here.join(base, "_range").select(*df.columns, (F.col("_n") + F.col("_place")).alias("place"), *((F.col(f"_t_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums))
 
 
 def doc_id(column: str = "did"):

@@ -10,7 +10,8 @@ words is met; the one at the edge is taken in part. So each bucket misses its sh
 many buckets, and reruns agree.
 
 Defined cases: a null text has no words; a null source is a source of its own, the last; a source without words has target 0;
-rows alike in doc_id are taken one after the other; other columns pass through. An empty table gives an empty result.
+rows alike in doc_id are taken one after the other, also when they are equal; a text of any length is taken in part by whole words;
+other columns pass through whatever their names are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, running, whole_row
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -34,53 +35,52 @@ def n_words(text: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """Of each source of sizes (source, size): source_size, docs, weight, target. One row a source: a small table."""
+    """Of each source of sizes (source, size): source_size, docs, weight, target. One row a source; no task holds all of them."""
     own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    everything = Window.partitionBy()
-    ranked = own.select("*", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("place"), F.sum("source_size").over(everything).alias("total"))
-    weighed = ranked.select("source", "source_size", "docs", "total", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).alias("weight"), "place")
-    order = Window.orderBy(F.col("source_size") * epochs / F.col("weight"), "place")
-    level = (F.lit(share) * F.col("total") - F.coalesce(F.sum(F.col("source_size") * epochs).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    leveled = weighed.select("*", level.alias("own_level")).select("*", F.max("own_level").over(everything).alias("level"))
-    return leveled.select("source", "source_size", "docs", "weight", F.least(F.col("level") * F.col("weight"), (F.col("source_size") * epochs).cast("double")).alias("target"))
-
-
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, source, size and any more) with source_size, target and taken: the words that the mix takes."""
-    goal = cut(targets(docs.select("source", "size"), weights, share, epochs))
+    ranked = running(own, [F.col("source").asc_nulls_last()], {})
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    weighed = ranked.select("source", "source_size", "docs", weight.alias("weight"), (F.col("source_size") * epochs).alias("cap"), F.col("place").alias("nth"))
+    filled = running(weighed, [(F.col("cap") / F.col("weight")).asc(), F.col("nth").asc()], {"caps": F.col("cap"), "weights": F.col("weight")}).drop("place")
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = filled.agg(F.max((F.lit(share * float(whole["size"] or 0)) - F.col("caps")) / (F.lit(whole["weight"] or 0) - F.col("weights")))).first()[0]
+    return filled.select("source", "source_size", "docs", "weight", F.least(F.lit(level).cast("double") * F.col("weight"), F.col("cap").cast("double")).alias("target"))
+
+
+def mixed(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """(doc, size, source_size, target, taken) of each row of docs: the row itself as a struct, and the words that the mix takes."""
+    sized = docs.select(whole_row(docs).alias("doc"), F.col("doc_id"), F.col("source"), size.alias("size"))
+    goal = cut(targets(sized.select("source", "size"), weights, share, epochs))
     small = goal.count() <= BROADCAST_SOURCES
-    goal = goal.select(F.col("source").alias("_source"), "source_size", "docs", "target")
-    rows = docs.join(F.broadcast(goal) if small else goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    goal = goal.select(F.col("source").alias("of"), "source_size", "docs", "target")
+    rows = sized.join(F.broadcast(goal) if small else goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = rows.select("*", key.alias("_key"))
-    number = F.conv(F.substring("_key", 25, 8), 16, 10).cast("long")
-    rows = rows.select("*", (number % F.ceil(F.col("docs") / BUCKET_DOCS)).alias("_bucket"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_ratio"))
-    bucket = Window.partitionBy("source", "_bucket")
-    before = F.coalesce(F.sum("size").over(bucket.orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.select("*", before.alias("_before"), F.sum("size").over(bucket).alias("_all"))
-    quota = F.floor((F.col("_ratio") - F.floor("_ratio")) * F.col("_all") + 0.5)
-    extra = F.least(F.greatest(quota - F.col("_before"), F.lit(0)), F.col("size"))
-    taken = (F.floor("_ratio") * F.col("size") + extra).cast("long")
-    return rows.select("*", taken.alias("taken")).drop("_key", "_bucket", "_ratio", "_before", "_all", "docs")
+    rows = rows.select("*", key.alias("key"))
+    number = F.conv(F.substring("key", 25, 8), 16, 10).cast("long")
+    rows = rows.select("*", (number % F.ceil(F.col("docs") / BUCKET_DOCS)).alias("bucket"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("ratio"))
+    bucket = Window.partitionBy("source", "bucket")
+    before = F.coalesce(F.sum("size").over(bucket.orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select("*", before.alias("before"), F.sum("size").over(bucket).alias("every"))
+    quota = F.floor((F.col("ratio") - F.floor("ratio")) * F.col("every") + 0.5)
+    extra = F.least(F.greatest(quota - F.col("before"), F.lit(0)), F.col("size"))
+    return rows.select("doc", "size", "source_size", "target", (F.floor("ratio") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself, with the columns of docs: a row for each repetition; a part holds its first words, joined by one space."""
-    clash = {"size", "source_size", "docs", "target", "taken"} & set(docs.columns)
-    names = {c: f"_own_{c}" for c in clash}
-    rows = mixed(docs.withColumnsRenamed(names).select("*", n_words("text").alias("size")))
+    rows = mixed(docs, n_words("text"))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") - whole * F.col("size")).otherwise(0)
     pieces = F.concat(F.array_repeat(F.col("size"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    out = rows.select("*", F.explode(pieces).alias("_n"))
-    part = F.expr(r"array_join(slice(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != ''), 1, cast(_n as int)), ' ')")
-    out = out.withColumn("text", F.when(F.col("_n") < F.col("size"), part).otherwise(F.col("text")))
+    out = rows.select("doc", "size", F.explode(pieces).alias("n"))
+    part = F.expr(r"array_join(slice(filter(split(doc.text, '[\\x20\\x09-\\x0D]+'), w -> w != ''), 1, cast(n as int)), ' ')")
+    text = F.when(F.col("n") < F.col("size"), part).otherwise(F.col("doc.text"))
+    columns = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n") < F.col("size"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+        columns["n_chars"] = F.when(F.col("n") < F.col("size"), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = cut(docs.select("doc_id", "source", n_words("text").alias("size")))
-    return mixed(sizes).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(sizes, F.col("size")).select("doc.doc_id", "size", "source_size", "target", "taken")

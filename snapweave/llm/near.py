@@ -2,15 +2,15 @@
 
 1. Each text becomes a set of word shingles, a MinHash signature of TREES * DEPTH values, and a digest of the set. Texts with
    equal sets are one node from here, however many they are.
-2. A tree orders nodes by its own DEPTH values of the signature. Nodes that share the first `shallow` values are a region;
-   sorted by the rest, those with the longest common prefixes are neighbours. Each node is a candidate of the NEIGHBOURS that
-   follow it and of the region's hub (its least doc_id); regions of more than REGION nodes have hubs at greater depths too,
-   so depth adapts to how crowded they are. That is a fixed number of candidates a node and tree, never all pairs of a
-   region. Trees are dealt by ranges, so a huge region spreads over tasks.
+2. A tree orders nodes by its own DEPTH values of the signature, one after the other. The nodes that follow one in that order are those with
+   the longest common prefixes: each node descends from full depth, down to a prefix of one value, till it has NEIGHBOURS of them. Nodes that
+   share the first `shallow` values are a region; each is a candidate of its region's hub (the least node), and in regions of more than
+   REGION nodes of the hubs of all deeper prefixes too. That is a bounded number of candidates a node and tree, never all pairs of a
+   region. Trees are dealt by ranges and taken by lots, so a huge region spreads over tasks and no task holds more than a lot.
 3. Candidates that sizes or one bit of each signature value rule out are dropped (a true link with probability 2e-8).
 4. Links are confirmed on full sets: first each node with its least candidate, which makes stars; then, of what is left, pairs
    of nodes that aren't in one component yet.
-5. Nodes in runs too long for all their pairs to be candidates (or cut by a task's border) are crowded. They are joined exactly: two
+5. Nodes in runs too long for all their pairs to be candidates (or cut by the border of a task or lot) are crowded. They are joined exactly: two
    sets alike enough share a shingle among the rarest of each, so each node is listed by those, and nodes of one list that sizes
    and places in the order don't rule out are confirmed too, unless they are in one component by now. Lists are split by HOT.
 6. Components grow by hooking to the least neighbour and pointer jumping, with lineage cut after each round.
@@ -24,6 +24,7 @@ and text first; rows equal in both are one. A null doc_id is less than all other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, STEP_BYTES, cut, forget, identified, partitions, steps
+from .common import NULL_ID, STEP_BYTES, cut, forget, identified, identity, partitions, steps, whole_row
 from .kernels import BY_SPACE, LOWER, Sums, mixed, words
 
 TREES = 16
 DEPTH = 6
 NEIGHBOURS = 4
 REGION = 32
+#: Rows of a tree that a task takes at a time.
+LOT = 1 << 18
 #: Buckets by which shingles of crowded nodes are counted; any count gives an order that is right, a good one short lists.
 BUCKETS = 1 << 20
 #: Rows of a shingle that one task pairs with all others of it.
@@ -99,52 +102,63 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(sign, "did long, rid long, n int, set1 long, set2 long, signature binary")
 
 
-def _planted(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Nodes into trees: key (tree and first values), rest (the other values of the tree), sketch (a bit of each value)."""
-    seeds = np.arange(1, TREES + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes into trees: p0, p1, p2 (the tree's number and its values, two to a number), sketch (a bit of each value)."""
+    tree = (np.arange(TREES, dtype=np.uint64) << np.uint64(60))[None, :]
     for batch in batches:
         m = batch.num_rows
         if not m:
             continue
         sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(m, TREES, DEPTH).astype(np.uint64)
-        key = np.repeat(seeds[None, :], m, axis=0)
-        for d in range(depth):
-            key = mixed(key ^ sig[:, :, d]) + np.uint64(d)
+        path = [(sig[:, :, d] << np.uint64(32)) | sig[:, :, d + 1] for d in range(0, DEPTH, 2)]
+        path[0] = tree | ((sig[:, :, 0] >> np.uint64(4)) << np.uint64(32)) | sig[:, :, 1]  # the first value gives 4 bits to the tree
         bits = (mixed(sig.reshape(m, -1)) & np.uint64(1)).astype(np.uint64)
         half = TREES * DEPTH // 2
         up = np.uint64(1) << np.arange(half).astype(np.uint64)
         sketch = [(bits[:, :half] * up).sum(axis=1, dtype=np.uint64), (bits[:, half:] * up).sum(axis=1, dtype=np.uint64)]
         spread = lambda x: pa.array(np.repeat(x, TREES))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.ravel().view(np.int64)), pa.array(sig[:, :, DEPTH - 2].ravel().view(np.int64)), pa.array(sig[:, :, DEPTH - 1].ravel().view(np.int64)), spread(batch.column("did").to_numpy()), spread(batch.column("n").to_numpy()), spread(sketch[0].view(np.int64)), spread(sketch[1].view(np.int64))],
-            names=["key", "v1", "v2", "did", "n", "s1", "s2"],
+            [*(pa.array(x.ravel().view(np.int64)) for x in path), spread(batch.column("did").to_numpy()), spread(batch.column("n").to_numpy()), spread(sketch[0].view(np.int64)), spread(sketch[1].view(np.int64))],
+            names=["p0", "p1", "p2", "did", "n", "s1", "s2"],
         )
 
 
-def _pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers of the candidates among rows of trees, sorted by key, v1, v2 and did, and which rows are crowded."""
-    m = len(rows["key"])
+def _common(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """How many leading values each row but the first shares with the row before it."""
+    out, going = np.zeros(max(len(rows["p0"]) - 1, 0), np.int64), True
+    for c in ("p0", "p1", "p2"):
+        unlike = rows[c][1:] ^ rows[c][:-1]
+        for half in (unlike >> 32, unlike):
+            going = going & (half == 0)
+            out += going
+    return out
+
+
+def _pairs(rows: dict[str, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the candidates among rows in the order of their paths, and which rows are crowded."""
+    m = len(rows["p0"])
+    common = _common(rows)
     left, right = [], []
-    here = np.arange(m)
-    change = np.ones(m, bool)
-    sizes = None
-    for depth, columns in enumerate((("key",), ("key", "v1"), ("key", "v1", "v2"))):
-        change = np.r_[True, np.any([np.diff(rows[c]) != 0 for c in columns], axis=0)] if m > 1 else np.ones(m, bool)
-        start = np.flatnonzero(change)
-        run = np.cumsum(change) - 1
-        size = np.diff(np.r_[start, m])
-        if not depth:
-            sizes = size[run]
-            crowded = (sizes > NEIGHBOURS + 1) | (run == run[0]) | (run == run[-1])
-            for step in range(1, NEIGHBOURS + 1):
-                if m > step:
-                    same = np.flatnonzero(run[step:] == run[:-step])
-                    left.append(same)
-                    right.append(same + step)
-        # the hub of each run: its row with the least did
-        order = np.lexsort((rows["did"], run))
-        hub = order[start][run]
-        star = (size[run] > 1) & (hub != here) & ((depth == 0) | (sizes > REGION))
+    # in this order the rows that follow have the longest prefixes: a node descends from full depth till it has NEIGHBOURS of them
+    shared = common
+    for step in range(1, NEIGHBOURS + 1):
+        if m > step:
+            shared = shared if step == 1 else np.minimum(shared[:-1], common[step - 1 :])
+            same = np.flatnonzero(shared)
+            left.append(same)
+            right.append(same + step)
+    here, sizes, crowded = np.arange(m), None, np.ones(m, bool)
+    for level in range(depth, DEPTH + 1):
+        new = np.r_[True, common < level]
+        start = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        size = np.diff(np.r_[start, m])[run]
+        if sizes is None:
+            sizes = size
+            crowded = (size > NEIGHBOURS + 1) | (run == run[0]) | (run == run[-1])
+        # the hub of each region: its row with the least did
+        hub = np.lexsort((rows["did"], run))[start][run]
+        star = (size > 1) & (hub != here) & ((level == depth) | (sizes > REGION))
         left.append(hub[star])
         right.append(here[star])
     return np.concatenate(left), np.concatenate(right), crowded
@@ -156,25 +170,33 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     p = (1 + t) / 2
     enough = int(np.floor(TREES * DEPTH * (p - 5.5 * np.sqrt(p * (1 - p) / (TREES * DEPTH)))))
     depth = shallow(percent)
-    names = ("key", "v1", "v2", "did", "n", "s1", "s2")
+    names = ("p0", "p1", "p2", "did", "n", "s1", "s2")
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [{c: b.column(c).to_numpy(zero_copy_only=False) for c in names} for b in batches if b.num_rows]
-        if not held:
-            return
+    def found(held: list[dict[str, np.ndarray]]) -> np.ndarray:
         rows = {c: np.concatenate([h[c] for h in held]) for c in names}
-        left, right, crowded = _pairs(rows)
+        left, right, crowded = _pairs(rows, depth)
         small, large = np.minimum(rows["n"][left], rows["n"][right]).astype(np.int64), np.maximum(rows["n"][left], rows["n"][right]).astype(np.int64)
         unlike = np.bitwise_count((rows["s1"][left] ^ rows["s1"][right]).view(np.uint64)).astype(int) + np.bitwise_count((rows["s2"][left] ^ rows["s2"][right]).view(np.uint64))
         good = (100 * small >= percent * large) & (TREES * DEPTH - unlike >= enough) & (rows["did"][left] != rows["did"][right])
         alone = np.unique(rows["did"][crowded])
         a, b = np.r_[rows["did"][left[good]], alone], np.r_[rows["did"][right[good]], alone]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        for i in range(0, pairs.shape[1], 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0, i : i + 50_000]), pa.array(pairs[1, i : i + 50_000])], names=["a", "b"])
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
 
-    trees = nodes.mapInArrow(lambda batches: _planted(batches, depth), "key long, v1 long, v2 long, did long, n int, s1 long, s2 long")
-    dealt = trees.repartitionByRange(partitions(nodes.sparkSession), "key", "v1", "v2", "did").sortWithinPartitions("key", "v1", "v2", "did")
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows are taken by lots; a region that the border of a lot cuts is crowded, as one that a task's border cuts."""
+        held, rows = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in names})
+                rows += batch.num_rows
+            if held and (batch is None or rows >= LOT):
+                pairs = found(held)
+                for i in range(0, pairs.shape[1], 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0, i : i + 50_000]), pa.array(pairs[1, i : i + 50_000])], names=["a", "b"])
+                held, rows = [], 0
+
+    trees = nodes.mapInArrow(_planted, "p0 long, p1 long, p2 long, did long, n int, s1 long, s2 long")
+    dealt = trees.repartitionByRange(partitions(nodes.sparkSession), "p0", "p1", "p2", "did").sortWithinPartitions("p0", "p1", "p2", "did")
     return dealt.mapInArrow(neighbours, "a long, b long").distinct()
 
 
@@ -335,12 +357,12 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
 def deduplicated(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are the least of their component by doc_id and hash; of rows equal in doc_id and text one, if it has words."""
     roots = linked(identified(docs), k, percent).where("did = component and rid = first")
-    kept = cut(roots.groupBy(F.col("did").alias("_did"), F.col("rid").alias("_rid")).agg((F.max("n") > 0).alias("_words"), F.count("*").alias("_rows")).select("_did", "_rid", F.expr("_words and _rows > 1").alias("_again")))
-    named = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_did"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_rid"))
-    rows = named.join(kept, ["_did", "_rid"])
-    if not kept.where("_again").isEmpty():
-        rows = rows.where("not _again").unionByName(rows.where("_again").dropDuplicates(["_did", "_rid"]))
-    return rows.select(*docs.columns)
+    kept = cut(roots.groupBy("did", "rid").agg((F.max("n") > 0).alias("words"), F.count("*").alias("rows")).select("did", "rid", F.expr("words and rows > 1").alias("again")))
+    named = docs.select(whole_row(docs).alias("doc"), *identity())
+    rows = named.join(kept, ["did", "rid"])
+    if not kept.where("again").isEmpty():
+        rows = rows.where("not again").unionByName(rows.where("again").dropDuplicates(["did", "rid"]))
+    return rows.select("doc.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules: one table of thresholds, compiled into one projection of built-in functions.
 
 Every measure is a Catalyst expression over the row itself: no shuffle, no user function, and only the columns named are
-read. Nulls: a null text has no words. Empty text: as null. Repeated rows are judged alike. Extra columns pass through.
+read. Defined cases: a null text has no words; an empty text is as null; a text of any length is one value of its row, measured
+whole; repeated rows are judged alike; other columns pass through whatever their names are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import quoted, whole_row
+
 #: Words of a window whose repeat within a text counts.
 REPEAT_WORDS = 8
 
@@ -45,33 +48,34 @@ RULES = (
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column `m` of all measures."""
+    """(doc, m): each row of docs as a struct, and a struct of all measures; own columns can't clash with those of docs."""
     white = r"[\\x20\\x09-\\x0D]"
-    base = docs.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    split = base.select("*", F.expr(f"filter(split(_t, '{white}+'), w -> w != '')").alias("_w"), F.expr(f"filter(split(_t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("_l"))
-    hashed = split.select("*", F.size("_w").alias("_n"), F.expr("transform(_w, w -> xxhash64(w))").alias("_h"))
-    at = ", ".join(f"get(_h, i + {k})" for k in range(REPEAT_WORDS))
-    gram = hashed.select("*", F.expr(f"if(_n < {REPEAT_WORDS}, array(), transform(sequence(0, greatest(_n - {REPEAT_WORDS}, 0)), i -> xxhash64({at})))").alias("_g"))
-    some = gram.select("*", (F.size(F.array_distinct("_g")) < F.size("_g")).alias("_some"))
+    base = docs.select(whole_row(docs).alias("doc"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("t"))
+    split = base.select("*", F.expr(f"array_remove(split(t, '{white}+'), '')").alias("w"), F.expr("filter(split(t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("l"))
+    hashed = split.select("*", F.size("w").alias("n"), F.expr("transform(w, x -> xxhash64(x))").alias("h"))
+    at = ", ".join(f"get(h, i + {k})" for k in range(REPEAT_WORDS))
+    gram = hashed.select("*", F.expr(f"if(n < {REPEAT_WORDS}, array(), transform(sequence(0, greatest(n - {REPEAT_WORDS}, 0)), i -> xxhash64({at})))").alias("g"))
+    some = gram.select("*", (F.size(F.array_distinct("g")) < F.size("g")).alias("some"))
     # sorted windows stand beside their equals; only texts that have any are sorted
-    ranked = some.select("*", F.expr("if(_some, sort_array(transform(_g, (g, i) -> struct(g, i))), array())").alias("_s"))
+    ranked = some.select("*", F.expr("if(some, sort_array(transform(g, (x, i) -> struct(x as g, i))), array())").alias("s"))
     twice = ranked.select(
         "*",
-        F.expr("if(_some, sort_array(transform(filter(transform(_s, (x, i) -> struct(x.i as at, coalesce(get(_s, i - 1).g = x.g, false) or coalesce(get(_s, i + 1).g = x.g, false) as hit)), x -> x.hit), x -> x.at)), array())").alias("_r"),
+        F.expr("if(some, sort_array(transform(filter(transform(s, (x, i) -> struct(x.i as at, coalesce(get(s, i - 1).g = x.g, false) or coalesce(get(s, i + 1).g = x.g, false) as hit)), x -> x.hit), x -> x.at)), array())").alias("r"),
     )
+    # stop words are looked for in a text that is put in lower case at once: word by word costs more than all other measures
     measures = {
-        "n_words": "cast(_n as bigint)",
-        "word_chars": "cast(aggregate(_w, 0L, (a, w) -> a + char_length(w)) as bigint)",
-        "n_symbols": "cast(regexp_count(_t, '[#*$%&|<>]') as bigint)",
-        "n_lines": "cast(size(_l) as bigint)",
-        "n_dup_lines": "cast(size(_l) - size(array_distinct(_l)) as bigint)",
-        "n_repeat_words": f"cast(if(_some, aggregate(transform(_r, (p, i) -> least({REPEAT_WORDS}, coalesce(get(_r, i + 1) - p, {REPEAT_WORDS}))), 0L, (a, x) -> a + x), 0L) as bigint)",
-        "n_stop": f"cast(size(filter(_w, w -> lower(w) in ({', '.join(repr(w) for w in sorted(set(STOP_WORDS)))}))) as bigint)",
-        "n_pipes": "cast(regexp_count(_t, '[|]') as bigint)",
-        "n_stutters": "cast(size(filter(_w, (w, i) -> w = get(_w, i - 1))) as bigint)",
-        "n_shouts": "cast(size(filter(_w, w -> endswith(w, '!!'))) as bigint)",
+        "n_words": "cast(n as bigint)",
+        "word_chars": "cast(char_length(array_join(w, '')) as bigint)",
+        "n_symbols": "cast(regexp_count(t, '[#*$%&|<>]') as bigint)",
+        "n_lines": "cast(size(l) as bigint)",
+        "n_dup_lines": "cast(size(l) - size(array_distinct(l)) as bigint)",
+        "n_repeat_words": f"cast(if(some, aggregate(transform(r, (p, i) -> least({REPEAT_WORDS}, coalesce(get(r, i + 1) - p, {REPEAT_WORDS}))), 0L, (a, x) -> a + x), 0L) as bigint)",
+        "n_stop": f"cast(size(filter(split(lower(t), '{white}+'), x -> x in ({', '.join(repr(w) for w in sorted(set(STOP_WORDS)))}))) as bigint)",
+        "n_pipes": "cast(char_length(t) - char_length(replace(t, '|', '')) as bigint)",
+        "n_stutters": "cast(size(filter(h, (x, i) -> x = get(h, i - 1))) as bigint)",
+        "n_shouts": "cast(size(filter(w, x -> endswith(x, '!!'))) as bigint)",
     }
-    return twice.select(*docs.columns, F.struct(*(F.expr(v).alias(k) for k, v in measures.items())).alias("m"))
+    return twice.select("doc", F.struct(*(F.expr(v).alias(k) for k, v in measures.items())).alias("m"))
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -98,19 +102,19 @@ def base_failed() -> Column:
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `m`, base_failed and kept."""
+    """(doc, m, base_failed, kept) of each row of docs."""
     # a filter on kept must not be pushed below the measures, where it would hold each of them many times over;
     # a row number, which isn't deterministic, keeps it above
-    rows = measured(docs, text).select("*", F.monotonically_increasing_id().alias("_row"))
-    return rows.select("*", base_failed().alias("base_failed")).select("*", (~F.col("base_failed") & verdict() & (F.col("_row") >= 0)).alias("kept")).drop("_row")
+    rows = measured(docs, text).select("*", F.monotonically_increasing_id().alias("row"))
+    return rows.select("doc", "m", "row", base_failed().alias("base_failed")).select("doc", "m", "base_failed", (~F.col("base_failed") & verdict() & (F.col("row") >= 0)).alias("kept"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
-    return judged(docs).where("kept").select(*docs.columns)
+    return judged(docs).where("kept").select("doc.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged(docs).select("doc_id", *(F.col(f"m.{k}") for k in names), "base_failed", "kept")
+    return judged(docs).select("doc.doc_id", *(F.col(f"m.{k}") for k in names), "base_failed", "kept")
