@@ -11,8 +11,9 @@ anchors are what Spark shuffles by:
    index of the operator's own (FM-index, suffix array) finds the windows that repeat;
 5. what it found goes back to all copies by (anchor, tile), and to texts by document.
 
-An anchor with more than HOT different tiles is split by its windows themselves; there an aggregate by the window's hash
-says the same as an index, and no task holds more than HOT tiles of one anchor.
+An anchor with more than HOT different tiles is split: each of its tiles is cut again by the least of longer k-grams, and the parts
+meet by those. LEVELS says how long; at the last, a k-gram is a whole window, so all that meets is equal. What is found in
+a part goes back to its tile by where it stands there. So the index does its work at any size, and no task holds more than HOT tiles of one anchor.
 """
 
 from __future__ import annotations
@@ -26,19 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, steps
-from .kernels import Sums, byte_units, tiles, words
+from .kernels import byte_units, mixed, tiles, words
 
 #: Different tiles of one anchor that an index takes together.
-HOT = 4096
+HOT = 256
+#: Length of the k-grams among which an anchor is the least, as parts of a window, for tiles and for parts of hot ones.
+LEVELS = (1 / 3, 2 / 3, 1.0)
 #: Units that one index takes, but for a last anchor that goes on.
 INDEX_UNITS = 400_000
 
 
 class Kind(NamedTuple):
     window: int
-    k: int  # units of the k-grams among which the anchor is the least
     by_words: bool
 
+    def k(self, level: int) -> int:
+        """Units of the k-grams among which the anchor is the least."""
+        return max(1, int(self.window * LEVELS[level]))
+
     def units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the units of texts, and the number of the first of each text."""
         if self.by_words:
@@ -57,7 +63,7 @@ def tile_lists(docs: DataFrame, kind: Kind) -> DataFrame:
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in steps(batches):
             units, first = kind.units(data, off)
-            t = tiles(units, first, kind.window, kind.k)
+            t = tiles(units, first, kind.window, kind.k(0))
             counts = np.bincount(t.doc, minlength=batch.num_rows)
             full = np.flatnonzero(counts)
             ids = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[full]) for c in ("did", "rid")]
@@ -78,12 +84,29 @@ def repeated_tiles(docs: DataFrame, kind: Kind, repeats: Callable[[str, str, str
 
 
 def distinct_tiles(tiles_: DataFrame) -> DataFrame:
-    """One row of each (anchor, tile): its first copy (did, rid, at, n), copies, hi (greatest did), and tiles of the anchor."""
-    one = cut(tiles_.groupBy("anchor", "tile").agg(F.min(F.struct("did", "rid", "at", "n")).alias("first"), F.count("*").alias("copies"), F.max("did").alias("hi")))
+    """One row of each (anchor, tile): its first copy (did, rid, at, n), copies, hi (greatest did), and tiles of the anchor.
+
+    tiles_ has (did, rid, anchor, tile, at, n, copies, hi); where it has no copies and hi, each row is one.
+    """
+    copies, hi = (F.sum("copies"), F.max("hi")) if "copies" in tiles_.columns else (F.count("*"), F.max("did"))
+    one = cut(tiles_.groupBy("anchor", "tile").agg(F.min(F.struct("did", "rid", "at", "n")).alias("first"), copies.alias("copies"), hi.alias("hi")))
     several = cut(one.groupBy("anchor").agg(F.count("*").alias("tiles")).where("tiles > 1"))
     return one.join(several, "anchor", "left").select("anchor", "tile", "first.*", "copies", "hi", F.coalesce("tiles", F.lit(1)).alias("tiles"))
 
 
+def searched(tiles_: DataFrame, docs: DataFrame, kind: Kind, search: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame], hot: int = HOT, level: int = 0) -> DataFrame:
+    """What search(tiles, contents) finds in the different tiles of tiles_: (anchor, tile, off, ...), with those of hot anchors searched by parts."""
+    distinct = distinct_tiles(tiles_)
+    found = search(distinct.where(F.col("tiles") <= hot), lambda t: contents(t, docs, kind))
+    crowded = distinct.where(F.col("tiles") > hot)
+    if level + 1 == len(LEVELS) or crowded.isEmpty():
+        return found if level + 1 < len(LEVELS) else search(distinct, lambda t: contents(t, docs, kind))
+    parts = cut(part_tiles(crowded, docs, kind, level + 1))
+    below = searched(parts.select("did", "rid", "anchor", "tile", "at", "n", "copies", "hi"), docs, kind, search, hot, level + 1)
+    back = parts.select("anchor", "tile", "whole_anchor", "whole_tile", "begin").join(below, ["anchor", "tile"])
+    return found.unionByName(back.select(F.col("whole_anchor").alias("anchor"), F.col("whole_tile").alias("tile"), (F.col("begin") + F.col("off")).cast("int").alias("off"), *(c for c in found.columns if c not in ("anchor", "tile", "off"))))
+
+
 def _wanted(tiles_: DataFrame, docs: DataFrame) -> DataFrame:
     """(text, w): texts with the tiles to be read from them."""
     lists = tiles_.groupBy("did", "rid").agg(F.collect_list(F.struct("anchor", "tile", "at", "n", "hi", "copies")).alias("w"))
@@ -118,22 +141,24 @@ def contents(tiles_: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
     return rows.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor", "tile")
 
 
-def single_windows(tiles_: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
-    """(win, anchor, tile, off, lo, copies): every window of the tiles by its own hash."""
+def part_tiles(tiles_: DataFrame, docs: DataFrame, kind: Kind, level: int) -> DataFrame:
+    """(did, rid, anchor, tile, at, n, copies, hi, whole_anchor, whole_tile, begin): tiles cut into parts, read from their first copies."""
 
-    def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in steps(batches):
             text, wish = _wishes(batch)
             units, first = kind.units(data, off)
-            own = Sums(units)
-            n = wish["n"].astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            begin = (first[text] + wish["at"])[row] + at
-            did = batch.column("did").to_numpy(zero_copy_only=False)[text]
-            yield pa.RecordBatch.from_arrays([pa.array(own.of(begin, begin + kind.window).view(np.int64)), pa.array(wish["anchor"][row]), pa.array(wish["tile"][row]), pa.array(at.astype(np.int32)), pa.array(did[row]), pa.array(wish["copies"][row])], names=["win", "anchor", "tile", "off", "lo", "copies"])
-
-    return _wanted(tiles_, docs).mapInArrow(reading, "win long, anchor long, tile long, off int, lo long, copies long")
+            begin, size = first[text] + wish["at"], wish["n"].astype(np.int64) + kind.window - 1
+            bounds = np.r_[0, np.cumsum(size)]
+            inside = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - begin, size)
+            t = tiles(units[inside], bounds, kind.window, kind.k(level))
+            anchor = mixed(t.anchor ^ wish["anchor"].view(np.uint64)[t.doc])  # parts of unlike anchors don't meet
+            of = lambda c: batch.column(c).to_numpy(zero_copy_only=False)[text[t.doc]]
+            columns = {"did": of("did"), "rid": of("rid"), "anchor": anchor.view(np.int64), "tile": t.tile.view(np.int64), "at": (wish["at"][t.doc] + t.at).astype(np.int32), "n": t.n.astype(np.int32)}
+            columns |= {"copies": wish["copies"][t.doc], "hi": wish["hi"][t.doc], "whole_anchor": wish["anchor"][t.doc], "whole_tile": wish["tile"][t.doc], "begin": t.at.astype(np.int32)}
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    return _wanted(tiles_, docs).mapInArrow(cutting, "did long, rid long, anchor long, tile long, at int, n int, copies long, hi long, whole_anchor long, whole_tile long, begin int")
 
 
 class Shard(NamedTuple):

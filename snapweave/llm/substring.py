@@ -2,11 +2,10 @@
 
 A shard holds the different tiles of some anchors (see repeats.py). Its FM-index is a wavelet matrix over the
 Burrows-Wheeler transform of their words: packed bits with counts by 64, log2 of the vocabulary levels. Suffixes are sorted by
-their first `window` words, which is all that patterns of that length ask for. Documents' tiles are streamed through it from
-right to left: each word is one backward step, and a match of full length is first cut to window - 1 words by a table of
-the intervals of that depth, so a window costs one step, not `window`. Where the matching statistic reaches the
-window, the interval holds all places of the window, and the least doc_id among them is known; runs of windows with the same
-one are reported.
+their first `window` words, which is all that patterns of that length ask for. Tiles of documents are streamed through it from
+right to left: each word is one backward step; a match of full length is first cut to window - 1 words, and one that can't be
+extended to its parent, by the common prefixes of neighbours. Where the matching statistic reaches the window, its interval is
+reported: it holds all places of the window, and the least doc_id among them owns it. Runs of windows with the same owner are one row.
 
 Defined cases: a null or empty text has no words and stays; rows alike in doc_id don't remove each other's words (only a
 smaller doc_id does); a null doc_id counts as smaller than all others; an empty table gives an empty result.
@@ -24,13 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import doc_id, identified, steps
 from .kernels import unions
-from .repeats import HOT, Kind, Shard, contents, covered, covers, distinct_tiles, repeated_tiles, shards, single_windows
+from .repeats import HOT, Kind, Shard, covered, covers, repeated_tiles, searched, shards
 
 WORDS = 50
 
 
 def kind(window: int = WORDS) -> Kind:
-    return Kind(window, max(1, window // 3), True)
+    return Kind(window, True)
 
 
 class FMIndex:
@@ -46,9 +45,12 @@ class FMIndex:
         inside = np.ones(len(self.seq), bool)
         inside[self.end] = False
         self.seq[inside] = symbols + 1
-        order, self.new, self.shallow = self._sorted()
-        self.order = order
-        transform = self.seq[order - 1]
+        self.order, self.lcp = self._sorted()
+        # the interval of each row's first window - 1 symbols
+        starts = np.flatnonzero(self.lcp[:-1] < window - 1)
+        group = np.cumsum(self.lcp[:-1] < window - 1) - 1
+        self.first, self.after = starts[group], np.r_[starts[1:], len(self.seq)][group]
+        transform = self.seq[self.order - 1]
         before = np.r_[0, np.cumsum(np.bincount(self.seq, minlength=len(self.alphabet) + 1))]
         self.levels = []
         current = transform
@@ -61,32 +63,30 @@ class FMIndex:
         every = np.arange(len(self.alphabet) + 1)
         self.base = before[:-1] - self._descend(every, np.zeros(len(every), np.int64))
 
-    def _sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions by their first `window` symbols; where a new such group begins; the same for one symbol less."""
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions by their first `window` symbols, and how many of these each shares with the one before it (-1 at both ends)."""
         n, rank, h = len(self.seq), self.seq, 1
-
-        def then(rank: np.ndarray, by: int) -> np.ndarray:
-            out = np.zeros(n, np.int64)
-            out[: n - by] = rank[by:] + 1
-            return out
-
+        ranks = [(1, rank)]
         order = np.argsort(rank)
-        while 2 * h <= self.window:
-            key = rank * (n + 2) + then(rank, h)
+        while h < self.window:
+            by = min(h, self.window - h)
+            after = np.zeros(n, np.int64)
+            after[: n - by] = rank[by:] + 1
+            key = rank * (n + 2) + after
             order = np.argsort(key)
-            new = np.r_[False, np.diff(key[order]) != 0]
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            h *= 2
-        last = then(rank, self.window - h)
-        if self.window > h:
-            order = np.argsort(rank * (n + 2) + last)
-        new = np.r_[True, (np.diff(rank[order]) != 0) | (np.diff(last[order]) != 0)]
-        less = then(rank, self.window - 1 - h) if self.window - 1 >= h else None
-        if less is None:  # window is a power of two: the groups of one symbol less need a sort of their own
-            raise ValueError("a window that is a power of two isn't supported; take one more or less")
-        shallow = np.r_[True, (np.diff(rank[order]) != 0) | (np.diff(less[order]) != 0)]
-        return order, new, shallow
+            rank[order] = np.cumsum(np.r_[False, np.diff(key[order]) != 0])
+            h += by
+            ranks.append((h, rank))
+        a, b, shared = order[:-1], order[1:], np.zeros(max(n - 1, 0), np.int64)
+        # ranks of so many symbols that are equal are as many common ones; a separator ends what is common
+        for size, rank in reversed(ranks):
+            x, y = np.minimum(a + shared, n - 1), np.minimum(b + shared, n - 1)
+            same = (shared + size <= self.window) & (a + shared < n) & (b + shared < n) & (rank[x] == rank[y])
+            shared[same] += size
+        left = np.repeat(self.end, self.end - self.begin + 1) - np.arange(n)
+        shared = np.minimum(shared, np.minimum(np.minimum(left[a], left[b]), self.window))
+        return order, np.r_[-1, shared, -1]
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for bit, packed, counts, zeros in self.levels:
@@ -101,43 +101,72 @@ class FMIndex:
         base = self.base[symbol]
         return both[: len(lo)] + base, both[len(lo) :] + base
 
-    def windows(self) -> np.ndarray:
-        """Stream the segments themselves: for each position the first row of its window's interval; -1 if it has no window."""
-        found = np.full(len(self.seq), -1)
-        starts = np.flatnonzero(self.shallow)
-        group = np.cumsum(self.shallow) - 1
-        first, after = starts[group], np.r_[starts[1:], len(self.seq)][group]
-        size = self.end - self.begin
-        longest = np.argsort(-size)
-        size, end = size[longest], self.end[longest]
-        lo, hi = np.zeros(len(size), np.int64), np.full(len(size), len(self.seq))
+    def _parent(self, lo: int, hi: int, length: int) -> tuple[int, int, int]:
+        """The interval of the longest shorter pattern that has more places, and its length."""
+        length = min(length, max(int(self.lcp[lo]), int(self.lcp[hi])))
+        if length <= 0:
+            return 0, len(self.seq), 0
+        return int(np.flatnonzero(self.lcp[: lo + 1] < length)[-1]), hi + int(np.argmax(self.lcp[hi:] < length)), length
+
+    def matching(self, patterns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Stream patterns from right to left, all at once: (pattern, position, lo, hi) where a match of full length begins.
+
+        The statistic of a position is the length of the longest match that begins there, `window` at most. A symbol in front is
+        one backward step; where it has no place, the pattern is cut from the right to its parent until it has one.
+        """
+        size = np.array([len(p) for p in patterns], np.int64)
+        which = np.argsort(-size, kind="stable")
+        size = size[which]
+        every = np.concatenate(patterns) if patterns else np.zeros(0, np.uint64)
+        at = np.minimum(np.searchsorted(self.alphabet, every), len(self.alphabet) - 1)
+        symbol = np.where(self.alphabet[at] == every, at + 1, -1)  # -1: a symbol that the index doesn't have
+        end = np.cumsum([len(p) for p in patterns])[which]
+        n = len(self.seq)
+        lo, hi, length = np.zeros(len(size), np.int64), np.full(len(size), n), np.zeros(len(size), np.int64)
         for t in range(int(size[0]) if len(size) else 0):
             active = int(np.searchsorted(-size, -t, side="left"))
-            lo, hi, end = lo[:active], hi[:active], end[:active]
-            if t >= self.window:
-                lo, hi = first[lo], after[hi - 1]
-            at = end - 1 - t
-            lo, hi = self.step(self.seq[at], lo, hi)
-            if t >= self.window - 1:
-                found[at] = lo
-        return found
+            lo, hi, length, end = lo[:active], hi[:active], length[:active], end[:active]
+            full = np.flatnonzero(length == self.window)
+            lo[full], hi[full] = self.first[lo[full]], self.after[hi[full] - 1]
+            length[full] = self.window - 1
+            c = symbol[end - 1 - t]
+            known = np.maximum(c, 0)
+            a, b = self.step(known, lo, hi)
+            for i in np.flatnonzero((a >= b) | (c < 0)).tolist():
+                x, y, size_ = int(lo[i]), int(hi[i]), int(length[i])
+                while size_ and (c[i] < 0 or a[i] >= b[i]):
+                    x, y, size_ = self._parent(x, y, size_) if c[i] >= 0 else (0, n, 0)
+                    if c[i] >= 0:
+                        p, q = self.step(known[i : i + 1], np.array([x]), np.array([y]))
+                        a[i], b[i] = p[0], q[0]
+                if c[i] < 0 or a[i] >= b[i]:
+                    a[i], b[i], size_ = 0, n, -1
+                length[i] = size_
+            lo, hi, length = a, b, length + 1
+            hit = np.flatnonzero(length == self.window)
+            if len(hit):
+                yield which[hit], size[hit] - 1 - t, lo[hit], hi[hit]
 
 
 def owners(shard: Shard, window: int) -> tuple[np.ndarray, ...]:
     """Runs of windows of a shard's tiles with the same least doc_id, where it lies below the tile's greatest: (row, off, n, own)."""
     index = FMIndex(shard.units, window)
     size = np.array([len(u) for u in shard.units])
-    owner = np.zeros(len(index.seq), np.int64)
-    owner[:] = np.iinfo(np.int64).max
+    owner = np.full(len(index.seq), np.iinfo(np.int64).max)
     owner[np.repeat(index.begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())] = np.repeat(shard.lo, size)
-    least = np.minimum.reduceat(owner[index.order], np.flatnonzero(index.new))
-    of_row = least[np.cumsum(index.new) - 1]
-    at = index.windows()
-    place = np.flatnonzero(at >= 0)
-    row = np.searchsorted(index.begin, place, side="right") - 1
-    own, off = of_row[at[place]], place - index.begin[row]
-    head = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(row) != 0)]) if len(place) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[head, len(place)])
+    by_row = np.r_[owner[index.order], np.iinfo(np.int64).max]
+    hits = list(index.matching(shard.units))
+    row, off, lo, hi = (np.concatenate([h[i] for h in hits]) for i in range(4)) if hits else (np.zeros(0, np.int64),) * 4
+    # each interval of matches of full length holds all places of a window: the least of their documents owns it
+    first, of = np.unique(lo, return_inverse=True)
+    after = np.zeros(len(first), np.int64)
+    after[of] = hi
+    least = np.minimum.reduceat(by_row, np.stack([first, after], axis=1).ravel())[::2] if len(first) else first
+    own = least[of]
+    order = np.lexsort((off, row))
+    row, off, own = row[order], off[order], own[order]
+    head = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(row) != 0) | (np.diff(off) != 1)]) if len(row) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[head, len(row)])
     good = own[head] < shard.hi[row[head]]
     return row[head][good], off[head][good], n[good], own[head][good]
 
@@ -146,20 +175,13 @@ def repeats(docs: DataFrame, window: int = WORDS, hot: int = HOT) -> tuple[DataF
     """Tiles of repeated anchors, and (anchor, tile, off, len, own): words of a tile that windows of document own cover."""
     k = kind(window)
     tiles_ = repeated_tiles(docs, k, lambda c, lo, hi: f"{lo} < {hi}")
-    distinct = distinct_tiles(tiles_)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, k):
             row, off, n, own = owners(shard, window)
             yield pa.RecordBatch.from_arrays([pa.array(shard.anchor[row]), pa.array(shard.tile[row]), pa.array(off.astype(np.int32)), pa.array((n + window - 1).astype(np.int32)), pa.array(own)], names=["anchor", "tile", "off", "len", "own"])
 
-    found = contents(distinct.where(F.col("tiles") <= hot), docs, k).mapInArrow(search, "anchor long, tile long, off int, len int, own long")
-    crowded = distinct.where(F.col("tiles") > hot)
-    if not crowded.isEmpty():
-        single = single_windows(crowded, docs, k)
-        least = single.groupBy("win").agg(F.min("lo").alias("own"))
-        found = found.unionByName(single.join(least, "win").select("anchor", "tile", "off", F.lit(window).alias("len"), "own"))
-    return tiles_, found
+    return tiles_, searched(tiles_, docs, k, lambda distinct, contents: contents(distinct).mapInArrow(stream, "anchor long, tile long, off int, len int, own long"), hot)
 
 
 def deduplicated(docs: DataFrame, window: int = WORDS, hot: int = HOT, with_text: bool = False) -> DataFrame:

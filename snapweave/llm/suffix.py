@@ -12,23 +12,23 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_id, identified, steps
+from .common import cut, doc_id, identified, steps
 from .kernels import unions
-from .repeats import HOT, Kind, Shard, contents, covered, covers, distinct_tiles, repeated_tiles, shards, single_windows
+from .repeats import HOT, Kind, Shard, covered, covers, repeated_tiles, searched, shards
 
 BYTES = 400
 _FIRST = 7  # symbols of 9 bits in one 64-bit key
 
 
 def kind(window: int = BYTES) -> Kind:
-    return Kind(window, max(1, window // 3), False)
+    return Kind(window, False)
 
 
 class SuffixArray:
@@ -130,42 +130,56 @@ def repeats(docs: DataFrame, window: int = BYTES, hot: int = HOT) -> tuple[DataF
     """Tiles of repeated anchors, and (anchor, tile, off, len): bytes of a tile that repeat anywhere."""
     k = kind(window)
     tiles_ = repeated_tiles(docs, k, lambda c, lo, hi: f"{c} > 1")
-    distinct = distinct_tiles(tiles_)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, k):
             row, off, size = stretches(shard, window)
             yield pa.RecordBatch.from_arrays([pa.array(shard.anchor[row]), pa.array(shard.tile[row]), pa.array(off.astype(np.int32)), pa.array(size.astype(np.int32))], names=["anchor", "tile", "off", "len"])
 
-    # copies of a tile are one string here, a repeat of its whole length; the tree finds what different tiles share
-    whole = distinct.where("copies > 1").select("anchor", "tile", F.lit(0).alias("off"), (F.col("n") + window - 1).alias("len"))
-    several = distinct.where((F.col("tiles") <= hot) & (F.col("tiles") > 1))
-    found = whole.unionByName(contents(several, docs, k).mapInArrow(scan, "anchor long, tile long, off int, len int"))
-    crowded = distinct.where(F.col("tiles") > hot)
-    if not crowded.isEmpty():
-        single = single_windows(crowded, docs, k)
-        again = single.groupBy("win").agg(F.sum("copies").alias("c")).where("c > 1")
-        found = found.unionByName(single.join(again, "win").select("anchor", "tile", "off", F.lit(window).alias("len")))
-    return tiles_, found
+    def search(distinct: DataFrame, contents: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        # copies of a tile are one string here, a repeat of its whole length; the tree finds what different tiles share
+        whole = distinct.where("copies > 1").select("anchor", "tile", F.lit(0).alias("off"), (F.col("n") + window - 1).alias("len"))
+        return whole.unionByName(contents(distinct.where("tiles > 1")).mapInArrow(scan, "anchor long, tile long, off int, len int"))
 
+    return tiles_, searched(tiles_, docs, k, search, hot)
 
-def maximal_repeats(docs: DataFrame, window: int = BYTES) -> DataFrame:
-    """(anchor, number, length, doc_id, start): groups of equal bytes, with all places in all documents.
 
-    Groups are of one anchor each: a repeat that spans several tiles is reported tile by tile.
+def maximal_repeats(docs: DataFrame, window: int = BYTES, hot: int = HOT) -> DataFrame:
+    """(repeat, length, places, doc_id, start): maximal repeats of `window` bytes or more, a row for each place.
+
+    Trees see a tile at a time, so a long repeat comes in pieces. Pieces whose places are the same but for a shift, and whose
+    windows follow each other, are one repeat. Where a repeat runs on into one that more places share, it is reported up to there.
     """
     rows, k = identified(docs), kind(window)
     tiles_ = repeated_tiles(rows, k, lambda c, lo, hi: f"{c} > 1")
-    distinct = distinct_tiles(tiles_)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, k):
             for number, length, row, off in groups(shard, window):
-                yield pa.RecordBatch.from_arrays([pa.array(shard.anchor[row]), pa.array(np.full(len(row), shard.tile[row[0]] ^ number)), pa.array(np.full(len(row), length)), pa.array(shard.tile[row]), pa.array(off)], names=["anchor", "number", "length", "tile", "off"])
-
-    whole = distinct.where("copies > 1").select("anchor", F.col("tile").alias("number"), (F.col("n") + window - 1).cast("long").alias("length"), "tile", F.lit(0).cast("long").alias("off"))
-    found = whole.unionByName(contents(distinct.where("tiles > 1"), rows, k).mapInArrow(scan, "anchor long, number long, length long, tile long, off long"))
-    return tiles_.join(found, ["anchor", "tile"]).select("anchor", "number", "length", doc_id(), (F.col("at") + F.col("off")).alias("start"))
+                piece = np.full(len(row), shard.tile[row[0]] ^ (number + 1) * 0x9E3779B97F4A7C15 % 2**63)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.anchor[row]), pa.array(shard.tile[row]), pa.array(off.astype(np.int32)), pa.array(piece), pa.array(np.full(len(row), length)), pa.array(shard.anchor[row])], names=["anchor", "tile", "off", "piece", "length", "group"])
+
+    def search(distinct: DataFrame, contents: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        shared = cut(contents(distinct.where("tiles > 1")).mapInArrow(scan, "anchor long, tile long, off int, piece long, length long, group long"))
+        # copies of a tile are a repeat too, unless the tree has one of all of its bytes, with more places
+        known = shared.where("off = 0").select("anchor", "tile", "length")
+        whole = distinct.where("copies > 1").select("anchor", "tile", (F.col("n") + window - 1).cast("long").alias("length")).join(known, ["anchor", "tile", "length"], "left_anti")
+        return shared.unionByName(whole.select("anchor", "tile", F.lit(0).alias("off"), F.col("tile").alias("piece"), "length", F.col("anchor").alias("group")))
+
+    found = searched(tiles_, rows, k, search, hot)
+    places = cut(tiles_.join(found, ["anchor", "tile"]).select("group", "piece", "length", "did", "rid", (F.col("at") + F.col("off")).alias("start")).distinct())
+    least = places.groupBy("group", "piece", "length").agg(F.min(F.struct("did", "rid", "start")).alias("origin"), F.count("*").alias("places"))
+    shifted = places.join(least, ["group", "piece", "length"]).where("places > 1")
+    # the same for all pieces of a repeat: where its places lie from each other
+    shape = shifted.groupBy("group", "piece", "length", "origin", "places").agg(F.bit_xor(F.xxhash64("did", "rid", F.col("start") - F.col("origin.start"))).alias("shape"))
+    run = Window.partitionBy("origin.did", "origin.rid", "shape", "places").orderBy("origin.start", "length", "group", "piece")
+    reach = F.max(F.col("origin.start") + F.col("length")).over(run.rowsBetween(Window.unboundedPreceding, -1))
+    marked = shape.select("*", F.coalesce((F.col("origin.start") > reach - window + 1).cast("int"), F.lit(1)).alias("new"))
+    numbered = marked.select("*", F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("nth"))
+    joined = numbered.groupBy("origin.did", "origin.rid", "shape", "places", "nth").agg(F.min(F.struct("origin.start", "group", "piece", F.col("length").alias("own"))).alias("head"), F.max(F.col("origin.start") + F.col("length")).alias("end"))
+    named = joined.select(F.xxhash64("did", "rid", "shape", "places", "head.start").alias("repeat"), "head.group", "head.piece", F.col("head.own").alias("own"), (F.col("end") - F.col("head.start")).alias("length"), "places")
+    out = places.withColumnRenamed("length", "own").join(named, ["group", "piece", "own"])
+    return out.select("repeat", "length", "places", doc_id(), "start")
 
 
 def deduplicated(docs: DataFrame, window: int = BYTES, hot: int = HOT, with_bytes: bool = False) -> DataFrame:

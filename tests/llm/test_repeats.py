@@ -106,3 +106,57 @@ def test_maximal_repeats_have_all_places(spark):
     assert {r.doc_id for r in rows} == {1, 2, 3}
     longest = [r for r in rows if r.length == len(text)]
     assert {(r.doc_id, r.start) for r in longest} == {(1, 2), (2, 2), (3, 2)}
+
+
+def test_long_repeats_are_whole(spark):
+    """Repeats of many tiles, one within the other's places, also with every anchor hot."""
+    rnd = random.Random(5)
+    letters = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    long, short = letters(900), letters(200)
+    parts = {1: "X" + long + "Y", 2: letters(50) + long + "Z", 3: "V" + short + "W", 4: short, 5: letters(9) + short + "U"}
+    docs = spark.createDataFrame(list(parts.items()), "doc_id long, text string")
+    for hot in (256, 0):
+        rows = suffix.maximal_repeats(docs, 30, hot).collect()
+        groups = {(r["repeat"], r.length): set() for r in rows}
+        for r in rows:
+            groups[r["repeat"], r.length].add((r.doc_id, r.start))
+        assert sorted((k[1], sorted(v)) for k, v in groups.items()) == [(200, [(3, 1), (4, 0), (5, 9)]), (900, [(1, 1), (2, 50)])]
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 8, 16, 50])
+def test_matching_of_other_documents(window):
+    """The index finds every place of every window, also of patterns that it doesn't hold, and symbols that it doesn't know."""
+    import numpy as np
+
+    rnd = random.Random(window)
+    held = [np.array([rnd.randint(1, 4) for _ in range(rnd.randint(1, 90))], np.uint64) for _ in range(12)]
+    asked = [np.array([rnd.choice([1, 2, 3, 4, 9 if rnd.random() < 0.05 else 1]) for _ in range(rnd.randint(1, 60))], np.uint64) for _ in range(6)] + [held[3][2:], np.r_[np.uint64(7), held[5]]]
+    index = substring.FMIndex(held, window)
+    starts = {int(b): i for i, b in enumerate(index.begin)}
+    got = {}
+    for which, at, lo, hi in index.matching(asked):
+        for i, p, a, b in zip(which.tolist(), at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            places = set()
+            for x in index.order[a:b].tolist():
+                row = max(k for k in starts if k <= x)
+                places.add((starts[row], x - row))
+            got[i, p] = places
+    wanted = {}
+    for i, pattern in enumerate(asked):
+        for p in range(len(pattern) - window + 1):
+            places = {(r, o) for r, text in enumerate(held) for o in range(len(text) - window + 1) if (text[o : o + window] == pattern[p : p + window]).all()}
+            if places:
+                wanted[i, p] = places
+    assert got == wanted
+
+
+def test_a_damaged_index_changes_the_result():
+    import numpy as np
+
+    rnd = random.Random(1)
+    segments = [np.array([rnd.randint(1, 9) for _ in range(60)], np.uint64) for _ in range(4)]
+    segments.append(segments[0])
+    index = substring.FMIndex(segments, 10)
+    before = sum(len(h[0]) for h in index.matching(segments))
+    index.base[1:] = index.base[1]
+    assert before == sum(51 for _ in segments) and sum(len(h[0]) for h in index.matching(segments)) < before
