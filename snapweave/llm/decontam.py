@@ -1,20 +1,23 @@
 """Benchmark decontamination: short items inside long documents, by size-partitioned MinHash containment search.
 
-An item is a set of shingles of five words (letters and digits, A-Z in lower case). Items are partitioned by size, and the
-size gives the sketch: the least s hashes of the item's shingles, s = (1 - threshold) * size + 1, at most SKETCH. A document
-that holds `threshold` of an item's shingles misses all of its sketch never where s isn't cut off, else with a probability
-of at most (1 - threshold) ** SKETCH = 7e-12. Jaccard bands over whole documents would find nothing here: a document of 20,000
-words and an item of 40 share 0.2 %. So a document's shingles are looked up in the sketches of all partitions; each hit is a
-candidate, and exact containment of the full set decides.
-
-Items come in blocks of about BLOCK_SHINGLES shingles; a block is sent to all executors (about 16 bytes a shingle), and documents
-are read once for each block and never shuffled. Defined cases: an item of one to four words is one shingle of
-that many words; an item or a document without words (or null) matches nothing; equal rows of the benchmark count once; rows
-alike in doc_id are judged one by one; an empty table on either side gives no matches.
+An item is a set of shingles of five words (letters and digits, A-Z in lower case). Items are partitioned by size: those of 2 ** c
+to 2 ** (c + 1) - 1 shingles are a partition, which has a signature and a threshold of its own. The signature of an item is its
+least `signature` hashes: one more than an item of the partition may miss, at most SKETCH; a document is a candidate of an item
+if it holds `need` of them. Where the signature isn't cut off, one is always held; else `need` is as large as a miss with a
+probability of MISS at most allows. Jaccard bands over whole documents would find nothing here: a document of 20,000
+words and an item of 40 share 0.2 %. So a document's shingles are looked up in the signatures of all partitions, and exact
+containment of the full set decides on candidates.
+
+Sets are built by tasks; the driver only puts partitions into blocks of about BLOCK_SHINGLES shingles. A block is sent to all executors
+(about 16 bytes a shingle), and documents are read once for each block and never shuffled. Defined cases: an item of one to
+four words is one shingle of that many words; an item or a document without words (or null) matches nothing; equal rows of the
+benchmark count once; item_id may be of any type; rows alike in doc_id are judged one by one; a text of any length is one value and is
+looked up whole; other columns pass through; an empty table on either side gives no matches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,119 +26,174 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps
+from .common import cut, steps
 from .kernels import BY_LETTER, LOWER, Sums, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 SKETCH = 16
+MISS = 1e-9
 BLOCK_SHINGLES = 2_000_000
 
 
-class Block(NamedTuple):
-    """Items of one block, in order of size; `sets` are sorted."""
+def signature(largest: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Hashes in the signatures of a partition whose items have `largest` shingles at most, and how many a candidate holds."""
+    full = int(np.floor((1 - threshold) * largest + 1e-9)) + 1
+    if full <= SKETCH:
+        return full, 1
+    need, tail = 0, 0.0
+    while tail <= MISS:
+        tail += math.comb(SKETCH, need) * threshold**need * (1 - threshold) ** (SKETCH - need)
+        need += 1
+    return SKETCH, max(1, need - 1)
+
+
+class Partition(NamedTuple):
+    """Items of one size class and shingle length."""
 
-    ids: list
-    k: np.ndarray  # words of the item's shingles
-    sets: list[np.ndarray]
-    sketch: np.ndarray  # sorted, of all items
+    k: int
+    need: int
+    ids: pa.Array
+    first: np.ndarray  # where each item's set begins, and the end of the last
+    sets: np.ndarray
+    sketch: np.ndarray  # signatures of all items, sorted
     item: np.ndarray  # whose it is
-    sketch_k: np.ndarray
-    maybe: np.ndarray  # bits of the sketch by the top of the hash
-
-
-def block_of(items: list[tuple], threshold: float = THRESHOLD) -> Block:
-    ids, ks, sets, sketch, item, sketch_k = [], [], [], [], [], []
-    for item_id, text in items:
-        data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-        w = words(data, np.array([0, len(data)]), BY_LETTER).hash
-        if not len(w):
-            continue
-        k = min(SHINGLE, len(w))
-        own = np.unique(Sums(w).windows(k))
-        s = min(int(np.floor((1 - threshold) * len(own) + 1e-9)) + 1, SKETCH, len(own))
-        sketch += own[:s].tolist()  # hashes are random, so the least are a sample
-        item += [len(ids)] * s
-        sketch_k += [k] * s
-        ids.append(item_id)
-        ks.append(k)
-        sets.append(own)
-    sketch_, item_, k_ = np.array(sketch, np.uint64), np.array(item, np.int64), np.array(sketch_k, np.int64)
-    order = np.argsort(sketch_, kind="stable")
-    maybe = np.zeros(1 << 20, bool)
-    maybe[(sketch_ >> np.uint64(44)).astype(np.int64)] = True
-    return Block(ids, np.array(ks, np.int64), sets, sketch_[order], item_[order], k_[order], maybe)
-
-
-def matches(block: Block, data: np.ndarray, off: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """(number of the text, of the item, shared shingles) of all texts that hold `threshold` of an item."""
+
+    def item_set(self, i: int) -> np.ndarray:
+        return self.sets[self.first[i] : self.first[i + 1]]
+
+
+class Block(NamedTuple):
+    partitions: list[Partition]
+    maybe: dict[int, np.ndarray]  # by shingle length: bits of all signatures by the top of the hash
+
+
+def item_sets(benchmark: DataFrame) -> DataFrame:
+    """(item_id, k, size_class, n, hashes): the sorted set of shingles of each item that has words."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, off in steps(batches):
+            w = words(LOWER[data], off, BY_LETTER)
+            sums, n_words = Sums(w.hash), np.diff(w.first)
+            full = np.flatnonzero(n_words)
+            ks = np.minimum(n_words[full], SHINGLE)
+            grams = {k: sums.windows(k) for k in np.unique(ks).tolist()}
+            sets = [np.unique(grams[k][w.first[i] : w.first[i + 1] - k + 1]) for i, k in zip(full.tolist(), ks.tolist(), strict=True)]
+            n = np.array([len(x) for x in sets], np.int64)
+            columns = [batch.column("item_id").take(pa.array(full)), pa.array(ks.astype(np.int32)), pa.array(np.array([int(x).bit_length() - 1 for x in n], np.int32)), pa.array(n), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "k", "size_class", "n", "hashes"])
+
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    return benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct().mapInArrow(build, f"item_id {kind}, k int, size_class int, n long, hashes binary")
+
+
+def partition_of(rows: pa.Table, k: int, size_class: int, threshold: float = THRESHOLD) -> Partition:
+    s, need = signature(2 ** (size_class + 1) - 1, threshold)
+    n = rows.column("n").to_numpy()
+    first = np.r_[0, np.cumsum(n)]
+    sets = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint64)
+    own = np.minimum(n, s)
+    item = np.repeat(np.arange(len(n)), own)
+    sketch = sets[first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(own) - own, own)]  # sets are sorted and hashes random: the least are a sample
+    order = np.argsort(sketch, kind="stable")
+    return Partition(k, need, rows.column("item_id").combine_chunks(), first, sets, sketch[order], item[order])
+
+
+def block_of(partitions: list[Partition]) -> Block:
+    maybe: dict[int, np.ndarray] = {}
+    for p in partitions:
+        maybe.setdefault(p.k, np.zeros(1 << 20, bool))[(p.sketch >> np.uint64(44)).astype(np.int64)] = True
+    return Block(partitions, maybe)
+
+
+def matches(block: Block, data: np.ndarray, off: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[Partition, int, int, int]]:
+    """(partition, number of the text, of the item, shared shingles) of all texts that hold `threshold` of an item."""
     w = words(LOWER[data], off, BY_LETTER)
-    sums, out = Sums(w.hash), []
-    for k in np.unique(block.k):
-        grams = sums.windows(int(k))
-        hit = np.flatnonzero(block.maybe[(grams >> np.uint64(44)).astype(np.int64)])
+    sums = Sums(w.hash)
+    for k, maybe in block.maybe.items():
+        grams = sums.windows(k)
+        hit = np.flatnonzero(maybe[(grams >> np.uint64(44)).astype(np.int64)])
         doc = np.searchsorted(w.first, hit, side="right") - 1
         inside = hit + k <= w.first[doc + 1]
         hit, doc = hit[inside], doc[inside]
-        lo, hi = np.searchsorted(block.sketch, grams[hit], side="left"), np.searchsorted(block.sketch, grams[hit], side="right")
-        n = hi - lo
-        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc = np.repeat(doc, n)[block.sketch_k[entry] == k]
-        entry = entry[block.sketch_k[entry] == k]
-        pairs = np.unique(np.stack([doc, block.item[entry]]), axis=1) if len(entry) else np.zeros((2, 0), np.int64)
+        # each shingle of a document counts once
+        once = np.unique(np.stack([doc.astype(np.uint64), grams[hit]]), axis=1) if len(hit) else np.zeros((2, 0), np.uint64)
+        doc, gram = once[0].astype(np.int64), once[1]
         last, own = -1, grams[:0]
-        for d, i in pairs.T.tolist():
-            if d != last:
-                last, own = d, np.unique(grams[w.first[d] : w.first[d + 1] - k + 1])
-            at = np.minimum(np.searchsorted(own, block.sets[i]), len(own) - 1)
-            shared = int((own[at] == block.sets[i]).sum())
-            if shared >= threshold * len(block.sets[i]) - 1e-9:
-                out.append((d, i, shared))
-    return out
+        for p in block.partitions:
+            if p.k != k:
+                continue
+            lo, hi = np.searchsorted(p.sketch, gram, side="left"), np.searchsorted(p.sketch, gram, side="right")
+            n = hi - lo
+            entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pairs, held = np.unique(np.stack([np.repeat(doc, n), p.item[entry]]), axis=1, return_counts=True) if len(entry) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+            for d, i in pairs.T[held >= p.need].tolist():
+                if d != last:
+                    last, own = d, np.unique(grams[w.first[d] : w.first[d + 1] - k + 1])
+                full = p.item_set(i)
+                at = np.minimum(np.searchsorted(own, full), len(own) - 1)
+                shared = int((own[at] == full).sum())
+                if shared >= threshold * len(full) - 1e-9:
+                    yield p, d, i, shared
 
 
 def blocks(benchmark: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> Iterator[Block]:
-    """The benchmark's items, a block at a time."""
-    items = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    n = max(1, -(-chars // (5 * block_shingles)))
-    for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield block_of(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (len(x[1]), x[1], str(x[0]))))
+    """The benchmark's partitions, in blocks of about block_shingles; a larger partition is several."""
+    items = cut(item_sets(benchmark))
+    sizes = items.groupBy("k", "size_class").agg(F.sum("n").alias("n")).orderBy("k", "size_class").collect()  # five times 40 rows at most
+    plan: list[list[tuple[int, int, int, int]]] = []
+    room = 0
+    for r in sizes:
+        parts = -(-r.n // block_shingles)
+        for part in range(parts):
+            if not plan or room < r.n // parts:
+                plan.append([])
+                room = block_shingles
+            plan[-1].append((r.k, r.size_class, part, parts))
+            room -= r.n // parts
+    for members in plan:
+        held = []
+        for k, size_class, part, parts in members:
+            rows = items.where((F.col("k") == k) & (F.col("size_class") == size_class) & (F.pmod(F.xxhash64("hashes"), F.lit(parts)) == part)).toArrow()
+            if rows.num_rows:
+                held.append(partition_of(rows, k, size_class))
+        yield block_of(held)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment of each document that holds an item."""
-    out = None
-    for block in blocks(benchmark):
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id long, item_id {kind}, n_shingles long, n_shared long, containment double"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for n, block in enumerate(blocks(benchmark)):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            b = sent.value
             for batch, data, off in steps(batches):
-                found = matches(b, data, off)
+                found = list(matches(sent.value, data, off))
                 if found:
-                    doc, item, shared = (list(x) for x in zip(*found, strict=True))
-                    size = [len(b.sets[i]) for i in item]
+                    size = [len(p.item_set(i)) for p, _, i, _ in found]
+                    shared = [x for _, _, _, x in found]
+                    ids = pa.concat_arrays([p.ids.slice(i, 1) for p, _, i, _ in found])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(doc)), pa.array([b.ids[i] for i in item], pa.int64()), pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array([x / y for x, y in zip(shared, size, strict=True)])],
+                        [batch.column("doc_id").take(pa.array([d for _, d, _, _ in found])), ids, pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array([x / y for x, y in zip(shared, size, strict=True)])],
                         names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"],
                     )
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, "doc_id long, item_id long, n_shingles long, n_shared long, containment double")
-        out = part if out is None else out.unionByName(part)
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, schema)
+        out = out.unionByName(part) if n else part
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item; nothing is shuffled."""
+    """docs without the rows that hold an item; nothing is shuffled, and blocks follow each other in one pass."""
     for block in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch, data, off in steps(batches):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[d for d, _, _ in matches(sent.value, data, off)]] = False
+                keep[[d for _, d, _, _ in matches(sent.value, data, off)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -37,12 +37,12 @@ class Rule(NamedTuple):
 
 #: The method's own verdict; a row is kept if every measure lies within its bounds.
 RULES = (
-    Rule("mean_word", "word_chars / n_words", 2.0, 25.0, 20),
-    Rule("symbol_ratio", "n_symbols / n_words", None, 0.4, 20),
-    Rule("stop_ratio", "n_stop / n_words", 0.02, None, 50),
-    Rule("pipe_ratio", "n_pipes / n_words", None, 0.15, 20),
-    Rule("shout_ratio", "n_shouts / n_words", None, 0.3, 20),
-    Rule("stutter_ratio", "n_stutters / n_words", None, 0.3, 20),
+    Rule("mean_word", "word_chars / nullif(n_words, 0)", 2.0, 25.0, 20),
+    Rule("symbol_ratio", "n_symbols / nullif(n_words, 0)", None, 0.4, 20),
+    Rule("stop_ratio", "n_stop / nullif(n_words, 0)", 0.02, None, 50),
+    Rule("pipe_ratio", "n_pipes / nullif(n_words, 0)", None, 0.15, 20),
+    Rule("shout_ratio", "n_shouts / nullif(n_words, 0)", None, 0.3, 20),
+    Rule("stutter_ratio", "n_stutters / nullif(n_words, 0)", None, 0.3, 20),
     Rule("dup_line_ratio", "n_dup_lines / greatest(n_lines, 1)", None, 0.5, 20),
 )
 

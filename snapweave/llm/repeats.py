@@ -12,8 +12,10 @@ anchors are what Spark shuffles by:
 5. what it found goes back to all copies by (anchor, tile), and to texts by document.
 
 An anchor with more than HOT different tiles is split: each of its tiles is cut again by the least of longer k-grams, and the parts
-meet by those. LEVELS says how long; at the last, a k-gram is a whole window, so all that meets is equal. What is found in
-a part goes back to its tile by where it stands there. So the index does its work at any size, and no task holds more than HOT tiles of one anchor.
+meet by those. LEVELS says how long; what surrounds a common passage makes parts that are alone and go, what lies inside makes parts
+that are equal and count once, and only parts at its ends stay for the next level. At the last, a k-gram is a whole window, so all that
+meets is equal. What is found in a part goes back to its tile by where it stands there. So the index does its work at any size, and
+no task holds more than HOT tiles of one anchor.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, steps
@@ -32,7 +34,9 @@ from .kernels import byte_units, mixed, tiles, words
 #: Different tiles of one anchor that an index takes together.
 HOT = 256
 #: Length of the k-grams among which an anchor is the least, as parts of a window, for tiles and for parts of hot ones.
-LEVELS = (1 / 3, 2 / 3, 1.0)
+LEVELS = (1 / 3, 0.9, 0.98, 1.0)
+#: Buckets of documents by which those of hot tiles are picked before a join: what is sent to all executors is bounded by it.
+BUCKETS = 1 << 18
 #: Units that one index takes, but for a last anchor that goes on.
 INDEX_UNITS = 400_000
 
@@ -94,6 +98,10 @@ def distinct_tiles(tiles_: DataFrame) -> DataFrame:
     return one.join(several, "anchor", "left").select("anchor", "tile", "first.*", "copies", "hi", F.coalesce("tiles", F.lit(1)).alias("tiles"))
 
 
+def _bucket() -> Column:
+    return F.pmod("rid", F.lit(BUCKETS))
+
+
 def searched(tiles_: DataFrame, docs: DataFrame, kind: Kind, search: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame], hot: int = HOT, level: int = 0) -> DataFrame:
     """What search(tiles, contents) finds in the different tiles of tiles_: (anchor, tile, off, ...), with those of hot anchors searched by parts."""
     distinct = distinct_tiles(tiles_)
@@ -101,8 +109,10 @@ def searched(tiles_: DataFrame, docs: DataFrame, kind: Kind, search: Callable[[D
     crowded = distinct.where(F.col("tiles") > hot)
     if level + 1 == len(LEVELS) or crowded.isEmpty():
         return found if level + 1 < len(LEVELS) else search(distinct, lambda t: contents(t, docs, kind))
-    parts = cut(part_tiles(crowded, docs, kind, level + 1))
-    below = searched(parts.select("did", "rid", "anchor", "tile", "at", "n", "copies", "hi"), docs, kind, search, hot, level + 1)
+    buckets = crowded.select(_bucket().alias("bucket")).distinct()
+    some = cut(docs.join(F.broadcast(buckets), _bucket() == F.col("bucket"), "left_semi"))
+    parts = cut(part_tiles(crowded, some, kind, level + 1))
+    below = searched(parts.select("did", "rid", "anchor", "tile", "at", "n", "copies", "hi"), some, kind, search, hot, level + 1)
     back = parts.select("anchor", "tile", "whole_anchor", "whole_tile", "begin").join(below, ["anchor", "tile"])
     return found.unionByName(back.select(F.col("whole_anchor").alias("anchor"), F.col("whole_tile").alias("tile"), (F.col("begin") + F.col("off")).cast("int").alias("off"), *(c for c in found.columns if c not in ("anchor", "tile", "off"))))
 

@@ -181,7 +181,7 @@ def repeats(docs: DataFrame, window: int = WORDS, hot: int = HOT) -> tuple[DataF
             row, off, n, own = owners(shard, window)
             yield pa.RecordBatch.from_arrays([pa.array(shard.anchor[row]), pa.array(shard.tile[row]), pa.array(off.astype(np.int32)), pa.array((n + window - 1).astype(np.int32)), pa.array(own)], names=["anchor", "tile", "off", "len", "own"])
 
-    return tiles_, searched(tiles_, docs, k, lambda distinct, contents: contents(distinct).mapInArrow(stream, "anchor long, tile long, off int, len int, own long"), hot)
+    return tiles_, searched(tiles_, docs, k, lambda distinct, contents: contents(distinct.where("tiles > 1 or hi > did")).mapInArrow(stream, "anchor long, tile long, off int, len int, own long"), hot)
 
 
 def deduplicated(docs: DataFrame, window: int = WORDS, hot: int = HOT, with_text: bool = False) -> DataFrame:

@@ -8,7 +8,8 @@ Documents are dealt by ranges of doc_id, sorted, encoded and written as shards,
     width        bytes of one id in payload (2 if the vocabulary allows it, else 4)
     keys         int64 doc_id of each document, in order
     ends         uint64 number of ids up to the end of each document
-    bits, sizes  the hash: levels of bit sets, and uint32 sizes of the levels
+    bits, sizes  the hash: levels of bit sets in uint64 words, and uint32 sizes of the levels
+    ranks        uint32 bits that are set before each block of BLOCK words, so that a look-up counts one block
     slots        uint32 triples (fingerprint, number of the first document, documents in a row) by hash value
     payload      raw little-endian ids of all documents
 
@@ -39,10 +40,12 @@ STEP_BYTES = 1 << 21
 #: Pieces of text whose ids a Python worker remembers: the first it meets, and so the frequent ones.
 REMEMBERED = 500_000
 _SPACES = re.compile(r"\s ")
+#: Words of a block whose bits are counted together.
+BLOCK = 8
 _LEVEL = 0x9E3779B97F4A7C15
 _MARK = np.uint64(0xC2B2AE3D27D4EB4F)
 
-SHARD_SCHEMA = "shard long, first long, last long, n_docs long, n_tokens long, width int, keys binary, ends binary, bits binary, sizes binary, slots binary, payload binary"
+SHARD_SCHEMA = "shard long, first long, last long, n_docs long, n_tokens long, width int, keys binary, ends binary, bits binary, sizes binary, ranks binary, slots binary, payload binary"
 
 
 # --- the index
@@ -70,30 +73,46 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         before += size
         left = left[~placed]
     bits = np.concatenate(levels) if levels else np.zeros(0, bool)
-    return np.packbits(bits), np.array([len(x) for x in levels], np.uint32), (np.cumsum(bits) - 1)[where] if len(keys) else where
+    packed = np.packbits(np.r_[bits, np.zeros(-len(bits) % (64 * BLOCK), bool)], bitorder="little").view(np.uint64)
+    return packed, np.array([len(x) for x in levels], np.uint32), (np.cumsum(bits) - 1)[where] if len(keys) else where
+
+
+def block_ranks(packed: np.ndarray) -> np.ndarray:
+    each = np.bitwise_count(packed).reshape(-1, BLOCK).sum(axis=1)
+    return (np.cumsum(each) - each).astype(np.uint32)
 
 
 class Index:
-    """Finds keys in a shard: constant expected time for each."""
+    """Finds keys in a shard. Opening reads nothing; a key costs a bit on each level that it meets, and one block to count."""
 
-    def __init__(self, bits: bytes, sizes: bytes, slots: bytes):
-        self.sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
-        self.bits = np.unpackbits(np.frombuffer(bits, np.uint8))[: self.sizes.sum()].astype(bool)
-        self.rank = np.cumsum(self.bits) - 1
+    def __init__(self, bits: bytes, sizes: bytes, ranks: bytes, slots: bytes):
+        self.sizes = np.frombuffer(sizes, np.uint32)
+        self.bits = np.frombuffer(bits, np.uint64)
+        self.ranks = np.frombuffer(ranks, np.uint32)
         self.slots = np.frombuffer(slots, np.uint32).reshape(-1, 3)
 
+    def _rank(self, at: np.ndarray) -> np.ndarray:
+        """How many bits are set before each."""
+        block, inside = at // (64 * BLOCK), at % (64 * BLOCK)
+        words = self.bits[block[:, None] * BLOCK + np.arange(BLOCK)]
+        room = np.clip(inside[:, None] - 64 * np.arange(BLOCK), 0, 64)
+        mask = np.where(room == 64, np.uint64(2**64 - 1), (np.uint64(1) << (room & 63).astype(np.uint64)) - np.uint64(1))
+        return self.ranks[block].astype(np.int64) + np.bitwise_count(words & mask).sum(axis=1)
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each int64 key the number of its first document, -1 if it isn't there, and how many it has."""
         keys = keys.astype(np.int64).view(np.uint64)
         slot, open_, before = np.full(len(keys), -1), np.arange(len(keys)), 0
-        for level, size in enumerate(self.sizes):
-            at = before + _pick(keys[open_], level, int(size))
-            hit = self.bits[at]
-            slot[open_[hit]] = self.rank[at[hit]]
+        for level, size in enumerate(self.sizes.tolist()):
+            if not len(open_):
+                break
+            at = before + _pick(keys[open_], level, size)
+            hit = (self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            slot[open_[hit]] = self._rank(at[hit])
             open_, before = open_[~hit], before + size
         if not len(self.slots):
             return slot, np.zeros(len(keys), np.int64)
-        found = self.slots[slot]
+        found = self.slots[np.minimum(slot, len(self.slots) - 1)]
         there = (slot >= 0) & (found[:, 0] == fingerprint(keys))
         return np.where(there, found[:, 1].astype(np.int64), -1), np.where(there, found[:, 2].astype(np.int64), 0)
 
@@ -218,9 +237,9 @@ def _shard(number: int, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, w
     bits, sizes, value = build_index(distinct)
     slots = np.zeros((len(first), 3), np.uint32)
     slots[value] = np.stack([fingerprint(distinct), first, np.diff(np.r_[first, len(keys)])], axis=1)
-    row = [number, int(keys.min()), int(keys.max()), len(keys), len(ids), width, keys.tobytes(), np.cumsum(counts).astype(np.uint64).tobytes(), bits.tobytes(), sizes.tobytes(), slots.tobytes(), ids.astype(f"<u{width}").tobytes()]
+    row = [number, int(keys.min()), int(keys.max()), len(keys), len(ids), width, keys.tobytes(), np.cumsum(counts).astype(np.uint64).tobytes(), bits.tobytes(), sizes.tobytes(), block_ranks(bits).tobytes(), slots.tobytes(), ids.astype(f"<u{width}").tobytes()]
     names = [f.split()[0] for f in SHARD_SCHEMA.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.binary()] * 6
+    kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.binary()] * 7
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
 
@@ -250,19 +269,25 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, room: i
     dealt.mapInArrow(encode, SHARD_SCHEMA).write.parquet(folder)
 
 
+def _opened(row: dict) -> tuple[Index, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's index, the doc_id of each document in it, where each begins (and the last ends), and all ids."""
+    ends = np.frombuffer(row["ends"], np.uint64).astype(np.int64)
+    return Index(row["bits"], row["sizes"], row["ranks"], row["slots"]), np.frombuffer(row["keys"], np.int64), np.r_[0, ends], np.frombuffer(row["payload"], f"<u{row['width']}")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every document by its key: the index says where the documents of a key stand, and how many there are."""
     for batch in batches:
         for row in batch.to_pylist():
-            index = Index(row["bits"], row["sizes"], row["slots"])
-            keys, ends = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["ends"], np.uint64).astype(np.int64)
-            ids = np.frombuffer(row["payload"], f"<u{row['width']}")
-            first, n = index.find(keys)
-            number = first + (np.arange(len(keys)) - first)  # the place within the key's documents
-            if (first < 0).any() or (number >= first + n).any():
-                raise ValueError(f"shard {row['shard']}: a key isn't in its index")
-            begins = np.r_[0, ends[:-1]][number]
-            crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends[number], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["shard"])), pa.array(keys), pa.array(begins), pa.array(ends[number] - begins), pa.array(crc, pa.int64())], names=["shard", "did", "at", "n_tokens", "ids_crc32"])
+            index, keys, edges, ids = _opened(row)
+            asked = np.unique(keys)
+            first, n = index.find(asked)
+            number = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())  # the documents of each key in a row
+            if (first < 0).any() or len(number) != len(keys):
+                raise ValueError(f"shard {row['shard']}: its index doesn't hold its keys")
+            begins, ends = edges[number], edges[number + 1]
+            crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), row["shard"])), pa.array(np.repeat(asked, n)), pa.array(begins), pa.array(ends - begins), pa.array(crc, pa.int64())], names=["shard", "did", "at", "n_tokens", "ids_crc32"])
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,28 +298,34 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     before = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select("shard", "block", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("in_block")).join(before, "block").select("shard", (F.col("base") + F.col("in_block")).alias("base"))
-    rows = spark.read.parquet(folder).select("shard", "width", "keys", "ends", "bits", "sizes", "slots", "payload").mapInArrow(_read, "shard long, did long, at long, n_tokens long, ids_crc32 long")
+    rows = spark.read.parquet(folder).select("shard", "width", "keys", "ends", "bits", "sizes", "ranks", "slots", "payload").mapInArrow(_read, "shard long, did long, at long, n_tokens long, ids_crc32 long")
     return rows.join(base, "shard").select(doc_id(), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
 def lookup(spark: SparkSession, folder: str, ids: list[int]) -> DataFrame:
-    """(doc_id, part, tokens) of some documents: only shards whose range may hold one are read, and probed by their index."""
+    """(doc_id, part, tokens) of some documents: only shards whose range may hold one are opened, and probed by their index.
+
+    A fingerprint may be that of another key (once in 2**32), so a hit is held against the keys.
+    """
     wanted = np.array(sorted(set(ids)), np.int64)
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last = (batch.column(c).to_numpy() for c in ("first", "last"))
+            yield batch.select(["shard"]).filter(pa.array(np.searchsorted(wanted, first) < np.searchsorted(wanted, last, side="right")))
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                first, n = Index(row["bits"], row["sizes"], row["slots"]).find(wanted)
-                ends = np.frombuffer(row["ends"], np.uint64).astype(np.int64)
-                tokens = np.frombuffer(row["payload"], f"<u{row['width']}")
-                hits = [(int(k), int(i - f), tokens[(ends[i - 1] if i else 0) : ends[i]].astype(np.int64).tolist()) for k, f, m in zip(wanted, first, n, strict=True) for i in range(f, f + m) if f >= 0]
+                index, keys, edges, tokens = _opened(row)
+                first, n = index.find(wanted)
+                hits = [(k, i - f, tokens[edges[i] : edges[i + 1]].astype(np.int64).tolist()) for k, f, m in zip(wanted.tolist(), first.tolist(), n.tolist(), strict=True) if f >= 0 and keys[f] == k for i in range(f, f + m)]
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*hits, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "part", "tokens"])
 
-    near = F.lit(False)
-    for i in wanted.tolist():
-        near = near | ((F.col("first") <= i) & (F.col("last") >= i))
-    return spark.read.parquet(folder).where(near).mapInArrow(probe, "doc_id long, part long, tokens array<long>")
+    shards = spark.read.parquet(folder)
+    some = shards.select("shard", "first", "last").mapInArrow(near, "shard long")
+    return shards.join(some, "shard", "left_semi").mapInArrow(probe, "doc_id long, part long, tokens array<long>")
 
 
 def production_tokenizer() -> tuple[str, int]:

@@ -103,3 +103,59 @@ def test_secret_named_before_it_is_assigned(spark):
     for doc in (1, None):
         assert got[doc, value].start == text.rindex(value) and got[doc, value].occurrences == 2 and got[doc, value].score >= secrets.KEPT_FROM
         assert got[doc, inner].start == text.rindex(inner) and got[doc, inner].occurrences == 1
+
+
+def test_every_feature_varies_on_both_sides(spark):
+    """Also the path: no feature of the labelled findings is constant, and the path doesn't tell the label."""
+    rows = secrets.features(secrets.labelled(spark)).collect()
+    for name in secrets.FEATURES:
+        assert len({r[name] for r in rows}) > 1, name
+    share = lambda label: sum(r.path_against for r in rows if r.label == label) / sum(r.label == label for r in rows)
+    assert 0.3 < share(1.0) < 0.7 and abs(share(0.0) - share(1.0)) < 0.1
+
+
+def test_candidates_and_features_against_plain_code(spark):
+    import regex
+
+    rnd = __import__("random").Random(4)
+    bits = ["abc123def456", "Password: ", "hunter_two", "token=", '"', "é", " ", "\n", "x" * 30 + "1", "/a/b/c9", "deadbeef00112233", "secret : 'Tr0ub4dor&3'", "pwd=short", "commit ", "12345678-aaaa-bbbb", "aB3", "=="]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(120)] + [None, "", "password=" + "a1" * 5000, "w " * 20000 + "token = zz99yy88xx77"]
+    rows = [(i, t, rnd.choice(["tests/a.py", "src", None])) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[3], (None, *rows[5][1:])], "doc_id long, text string, source string").repartition(4)
+    known = spark.createDataFrame([("hunter",), ("two",)], "word string")
+    found = secrets.features(secrets.with_known_words(secrets.candidates(docs), known)).collect()
+    pattern = regex.compile(secrets.CANDIDATE)
+    wanted = []
+    for doc, text, path in [*rows, rows[3], (None, *rows[5][1:])]:
+        for m in pattern.finditer(text or ""):
+            v, before, after = m[0], text[max(0, m.start() - secrets.NEAR) : m.start()], text[m.end() : m.end() + secrets.NEAR]
+            parts = [p for p in re.split("[^a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", v).lower()) if p]
+            wanted.append(
+                (
+                    doc, v, m.start(), before, after, float(len(v)), sum(c in "0123456789" for c in v) / len(v), sum("A" <= c <= "Z" for c in v) / len(v), len(set(v)) / len(v),
+                    float(bool(re.fullmatch("[0-9a-f]+", v))), sum(len(p) for p in parts if p in ("hunter", "two")) / len(v), float(max(map(len, re.split("[^A-Za-z]+", v)))),
+                    float(bool(re.search(secrets.PATHS_AGAINST, (path or "").lower()))), float(bool(re.search(secrets.FOR, before.lower()))), float(bool(re.search("[=:]\\s*[\"'`]?$", before))),
+                )
+            )
+    got = [(r.doc_id, r.value, r.start, r.before, r.after, r.length, r.digit_share, r.upper_share, r.distinct_share, r.hexadecimal, r.known_words, r.longest_letters, r.path_against, r.near_for, r.assigned) for r in found]
+    assert len(got) == len(wanted) and sorted(map(repr, got)) == sorted(map(repr, wanted))
+
+
+def test_short_and_letters_only_secrets(spark):
+    docs = spark.createDataFrame([(1, 'the password: "qzkvtrwpx" is set', "src"), (2, "password: important", "src"), (3, "pwd=Qx!7f2#a9 .", "src"), (4, "no token here: nothing", "src")], "doc_id long, text string, source string")
+    words = spark.createDataFrame([("important",), ("nothing",)], "word string")
+    got = {r.doc_id: r.score for r in secrets.scored(docs, secrets.train(secrets.labelled(spark)), words=words).collect()}
+    assert got[1] >= secrets.KEPT_FROM and got[3] >= secrets.KEPT_FROM and got[2] < secrets.KEPT_FROM
+
+
+def test_empty_null_and_long_secret_rows(spark):
+    model = secrets.train(secrets.labelled(spark, 400))
+    none = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert secrets.scored(none, model, words=secrets.dictionary(none)).collect() == []
+    odd = spark.createDataFrame([(None, None, None), (1, "", "x"), (1, "", "x")], "doc_id long, text string, source string")
+    assert secrets.scored(odd, model).collect() == []
+
+
+def test_dictionary_counts_documents(spark):
+    docs = spark.createDataFrame([(1, "alpha beta, alpha alpha gamma."), (2, "alpha delta9 Beta"), (3, None), (4, "gamma (zeta) eta-x")], "doc_id long, text string")
+    assert [r.word for r in secrets.dictionary(docs, 3).orderBy("word").collect()] == ["alpha", "beta", "gamma"]
