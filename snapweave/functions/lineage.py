@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a local one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local one, if driver and executors are one process; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc()
-        found = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="snapweave-")
+        if context.getCheckpointDir().isDefined():
+            return context.getCheckpointDir().get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="snapweave-")
     return found
 
 

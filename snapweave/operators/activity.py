@@ -15,8 +15,8 @@ def totals(versions: DataFrame) -> DataFrame:
 
 
 def daily(versions: DataFrame, zone: str = "UTC") -> DataFrame:
-    """(date, saves) by calendar day of a time zone."""
-    local = F.from_utc_timestamp(F.col("at").cast("timestamp"), zone)
+    """(date, saves) by calendar day of a time zone; times are without zone and in UTC."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("at").cast("timestamp_ntz"))
     return versions.groupBy(F.date_format(local, "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("saves"))
 
 
@@ -43,11 +43,33 @@ def long_report(versions: DataFrame) -> DataFrame:
     return out.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in COLUMNS))
 
 
-def csv_lines(report: DataFrame) -> DataFrame:
-    """(line): every cell quoted and kept from being a formula."""
-    return report.select(F.concat_ws(",", *(guarded(F.col(c)) for c in report.columns)).alias("line"))
+def export_problem(versions: DataFrame, saves: int) -> str | None:
+    """Why an export would be wrong: another number of versions than saves that were counted, or repeated ones; None if it's right."""
+    found = versions.agg(F.count("*").alias("rows"), F.count_distinct("version").alias("versions")).first()
+    if found["rows"] != saves:
+        return "saved history changed during the export"
+    return "the export holds repeated versions" if found["versions"] != found["rows"] else None
+
+
+def csv_lines(report: DataFrame, header: bool = False) -> DataFrame:
+    """(line): every cell quoted and kept from being a formula; with header, a first line of names after a byte order mark. Lines end with CRLF when they are written."""
+    lines = report.select(F.concat_ws(",", *(guarded(F.col(c)) for c in report.columns)).alias("line"))
+    if header:
+        names = "\ufeff" + ",".join(f'"{c}"' for c in report.columns)
+        lines = report.sparkSession.range(1).select(F.lit(names).alias("line")).unionByName(lines)
+    return lines
+
+
+def write_csv(report: DataFrame, folder: str) -> None:
+    """csv_lines() with header as text files, in order of their names; only the first has the header."""
+    csv_lines(report, header=True).write.option("lineSep", "\r\n").text(folder)
 
 
 def phases(samples: DataFrame, phase: str, took: str) -> DataFrame:
     """(phase, calls, total, slowest)."""
     return samples.groupBy(phase).agg(F.count("*").alias("calls"), F.sum(took).alias("total"), F.max(took).alias("slowest"))
+
+
+def state_counts(issues: DataFrame, project: str, state: str) -> DataFrame:
+    """(project, open, closed, issues) of issues by their state."""
+    return issues.groupBy(project).agg(F.count_if(F.col(state) == "open").alias("open"), F.count_if(F.col(state) == "closed").alias("closed"), F.count("*").alias("issues"))

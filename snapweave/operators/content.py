@@ -27,6 +27,7 @@ class Profile(NamedTuple):
 
 #: Sizes and masks by name (fixed values).
 PROFILES = {
+    "micro": Profile(256 << 10, MIB, 4 * MIB, 0x001FFFFF, 0x0007FFFF),
     "medium": Profile(256 << 10, MIB, 4 * MIB, 0x001FFFFF, 0x0007FFFF),
     "large": Profile(MIB, 4 * MIB, 16 * MIB, 0x007FFFFF, 0x001FFFFF),
     "huge": Profile(2 * MIB, 8 * MIB, 32 * MIB, 0x00FFFFFF, 0x003FFFFF),
@@ -77,9 +78,10 @@ def cuts(data: bytes, profile: Profile) -> list[int]:
     return out
 
 
-def profile_of(size: Column) -> Column:
+def profile_of(size: Column, micro: bool = False) -> Column:
     """The name of the profile for a file of some size; null for files that aren't cut."""
-    return F.when(size < 8 * MIB, F.lit(None).cast("string")).when(size < 128 * MIB, "medium").when(size < 2048 * MIB, "large").otherwise("huge")
+    by_size = F.when(size < 128 * MIB, "medium").when(size < 2048 * MIB, "large").otherwise("huge")
+    return F.when(size >= 8 * MIB, F.lit("micro") if micro else by_size)
 
 
 def chunks(files: DataFrame, profile: Profile) -> DataFrame:
@@ -116,9 +118,78 @@ def slices(members: DataFrame, packs: DataFrame) -> DataFrame:
 
 
 def reassemble(pieces: DataFrame) -> DataFrame:
-    """(path, content, size): pieces (path, position, raw) of each file put together in order. A file must fit a row."""
+    """(path, content, size): pieces (path, position, raw) of each file put together in order, once over its bytes. A file must fit a row."""
     ordered = pieces.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "raw"))).alias("p"))
-    return ordered.select("path", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["raw"])).alias("content")).select("path", "content", F.octet_length("content").cast("long").alias("size"))
+    joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["raw"])), ""))
+    return ordered.select("path", joined.alias("content")).select("path", "content", F.octet_length("content").cast("long").alias("size"))
+
+
+def stored(files: DataFrame, profile: Profile, whole_below: int) -> tuple[DataFrame, DataFrame]:
+    """How files (path, content) are stored: entries (path, size, sha256, objects) and objects (name, raw), each once.
+
+    A file below whole_below bytes is one object; a larger one is cut, and its entry lists its chunks in order.
+    """
+    size = F.octet_length("content")
+    small = files.where(size < whole_below).select("path", F.lit(0).alias("position"), F.sha2("content", 256).alias("name"), F.col("content").alias("raw"))
+    pieces = small.unionByName(chunks(files.where(size >= whole_below), profile).select("path", "position", F.col("sha256").alias("name"), "raw"))
+    lists = pieces.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("objects"))
+    entries = files.select("path", size.cast("long").alias("size"), F.sha2("content", 256).alias("sha256")).join(lists, "path", "left")
+    return entries.select("path", "size", "sha256", F.coalesce("objects", F.array().cast("array<string>")).alias("objects")), pieces.select("name", "raw").dropDuplicates(["name"])
+
+
+def pieces_to_send(layout: DataFrame, held: DataFrame) -> DataFrame:
+    """(path, chunks, missing, bytes, missing_bytes) of a layout (path, sha256, length): what of each file isn't held (sha256) yet; content that stands twice is sent once."""
+    first = layout.select("*", F.row_number().over(Window.partitionBy("sha256").orderBy("path", "position")).alias("copy"))
+    rows = first.join(held.select("sha256").distinct().withColumn("held", F.lit(1)), "sha256", "left")
+    new = F.col("held").isNull() & (F.col("copy") == 1)
+    return rows.groupBy("path").agg(F.count("*").alias("chunks"), F.count_if(new).alias("missing"), F.sum("length").alias("bytes"), F.coalesce(F.sum(F.when(new, F.col("length"))), F.lit(0)).alias("missing_bytes"))
+
+
+#: A delta must save this many bytes, and be under half of the whole, to be kept; links of a chain at most (fixed values).
+SAVED, CHAIN = 96, 12
+
+
+def delta_steps(base: DataFrame, target: DataFrame) -> DataFrame:
+    """(path, position, length, sha256, at, raw) of two layouts (path, position, start, length, sha256, raw) of the same paths: for each chunk of
+    the target where the base has it (the least place), or its own bytes. A delta is these rows; they are an equi-join on path and digest."""
+    known = base.groupBy("path", "sha256").agg(F.min("start").alias("at"))
+    rows = target.join(known, ["path", "sha256"], "left")
+    return rows.select("path", "position", "length", "sha256", "at", F.when(F.col("at").isNull(), F.col("raw")).alias("raw"))
+
+
+def applied(steps: DataFrame, base: DataFrame) -> DataFrame:
+    """(path, content, size): targets put together from steps and the contents (path, content) of their bases."""
+    rows = steps.join(base.select("path", "content"), "path", "left")
+    raw = F.when(F.col("at").isNull(), F.col("raw")).otherwise(F.expr("substring(content, cast(at + 1 as int), cast(length as int))"))
+    return reassemble(rows.select("path", "position", raw.alias("raw")))
+
+
+def delta_sizes(steps: DataFrame) -> DataFrame:
+    """(path, delta, whole): nine bytes for each step and its own bytes, and all bytes of the target."""
+    return steps.groupBy("path").agg(F.sum(F.lit(9) + F.when(F.col("at").isNull(), F.col("length")).otherwise(0)).alias("delta"), F.sum("length").alias("whole"))
+
+
+def kept_as(delta: Column, whole: Column, depth: Column, cap: int = CHAIN) -> Column:
+    """delta or whole: a delta is worth it if it is small, saves enough, and its chain isn't too long."""
+    return F.when((delta * 2 < whole) & (delta + SAVED <= whole) & (depth < cap), "delta").otherwise("whole")
+
+
+#: Files of a save by deltas at most, bytes of a file and of all, and bytes of a file without a base (fixed values).
+DELTA_FILES, DELTA_BYTES, DELTA_ALL_BYTES, DELTA_NEW_BYTES = 64, 8 * MIB, 24 * MIB, MIB
+
+
+def delta_save_plan(declared: DataFrame, prior: DataFrame, local: DataFrame, signature_bytes: Column, group: str) -> DataFrame:
+    """(group, path, how) of declared files (group, path, size) by what is there of them before (group, path, size) and locally (group, path).
+
+    exact: patched against the local base; signature: against signatures, where these cost less than 80 % of the file; literal: its own bytes.
+    Where any file of a group is too large for all of these, or the group is, how is null: the save goes the ordinary way.
+    """
+    key = [group, "path"]
+    rows = declared.select(*key, "size").join(prior.select(*key, F.col("size").alias("was")), key, "left").join(local.select(*key).distinct().withColumn("local", F.lit(True)), key, "left")
+    how = F.when(F.col("local") & F.col("was").isNotNull(), "exact").when(F.col("was").isNotNull() & (signature_bytes < F.col("size") * 0.8), "signature").when(F.col("size") <= DELTA_NEW_BYTES, "literal")
+    rows = rows.select(*key, "size", F.when(F.greatest("size", F.coalesce("was", F.lit(0))) <= DELTA_BYTES, how).alias("how"))
+    fits = rows.groupBy(group).agg((F.count("*") <= DELTA_FILES).alias("few"), (F.sum("size") <= DELTA_ALL_BYTES).alias("small"), F.bool_and(F.col("how").isNotNull()).alias("each"))
+    return rows.join(fits, group).select(*key, F.when(F.col("few") & F.col("small") & F.col("each"), F.col("how")).alias("how"))
 
 
 def damaged(objects: DataFrame) -> DataFrame:
@@ -126,7 +197,33 @@ def damaged(objects: DataFrame) -> DataFrame:
     return objects.where(F.sha2("raw", 256) != F.col("name")).select("name")
 
 
-def publish_name(files: DataFrame, group: str) -> DataFrame:
-    """(group, name): a name for an attempt to publish some files, the same for the same files in any order."""
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), "\n")
-    return files.groupBy(group).agg(F.substring(F.sha2(lines, 256), 1, 40).alias("name"))
+#: Lines of a file list that one digest takes.
+LINES = 4096
+
+
+def publish_name(files: DataFrame, group: str, head: str = "none", message: str = "") -> DataFrame:
+    """(group, name): a name for an attempt to publish files (group, path, sha256) onto a head with a message, the same for the same files in any order.
+
+    The list of a large project isn't one row: sorted lines are dealt by a range of their hash into lots of about LINES, each lot has a digest
+    of its own lines, and the name is the digest of group, head, message and the lots' digests in order (a tree of two levels).
+    """
+    line = F.concat_ws(":", "path", "sha256")
+    rows = files.select(group, line.alias("line"), F.xxhash64(line).alias("h"))
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / LINES).alias("lots"))
+    lots = rows.join(sizes, group).select(group, F.pmod("h", "lots").alias("lot"), "line").groupBy(group, "lot").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+    lists = lots.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lot", "digest"))), lambda x: x["digest"]), "\n").alias("digests"))
+    return lists.select(group, F.substring(F.sha2(F.concat_ws("\n", F.col(group), F.lit(head), F.lit(message), "digests"), 256), 1, 40).alias("name"))
+
+
+def solid_layout(members: DataFrame, most: int) -> DataFrame:
+    """members (pack, path, size, sha256) dealt into packs for content that is stored together: (pack, part, place, path, sha256, offset, size).
+
+    Each content once, in the order of extension, name and path, so that like stands beside like; a part begins where the running size passes `most`.
+    """
+    ext = F.lower(F.regexp_extract("path", r"[^/](\.[^./]*)$", 1))
+    name = F.element_at(F.split("path", "/"), -1)
+    once = members.groupBy("pack", "sha256").agg(F.min(F.struct(ext.alias("ext"), name.alias("name"), "path")).alias("m"), F.min("size").alias("size")).select("pack", "sha256", "size", "m.*")
+    w = Window.partitionBy("pack").orderBy("ext", "name", "path").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = once.select("*", F.floor(F.coalesce(F.sum("size").over(w), F.lit(0)) / most).alias("part"))
+    inside = Window.partitionBy("pack", "part").orderBy("ext", "name", "path")
+    return dealt.select("pack", "part", F.row_number().over(inside).alias("place"), "path", "sha256", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "size")

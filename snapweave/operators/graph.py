@@ -7,45 +7,86 @@ graph is deep from where the search starts; the driver only asks whether a front
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapweave.functions.lineage import cut
 
 
+class Grown:
+    """A table that grows by a part a round. Each part is written once; after TOGETHER of them they become one."""
+
+    TOGETHER = 12
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.TOGETHER:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def ancestors(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, depth): everything that start (id) reaches through all parents, itself at depth 0; depth is the least."""
-    up = edges.select(F.col("child").alias("id"), "parent").distinct()
-    seen = cut(start.select("id").distinct().select("id", F.lit(0).alias("depth")))
-    frontier, n = seen, 0
+    up = cut(edges.select(F.col("child").alias("id"), "parent").distinct())
+    frontier, n = cut(start.select("id").distinct().select("id", F.lit(0).alias("depth"))), 0
+    seen = Grown(frontier)
     while depth is None or n < depth:
         n += 1
         found = frontier.select("id").join(up, "id").select(F.col("parent").alias("id")).distinct()
-        frontier = cut(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(n).alias("depth")))
+        frontier = cut(found.join(seen.all().select("id"), "id", "left_anti").select("id", F.lit(n).alias("depth")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.all()
 
 
 def is_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with `reached`: whether a lies among the ancestors of b. All pairs search together."""
-    up = edges.select(F.col("child").alias("at"), "parent").distinct()
-    seen = cut(pairs.select(F.col("b").alias("root"), F.col("b").alias("at")).distinct())
-    frontier = seen
-    while not frontier.isEmpty():
-        found = frontier.join(up, "at").select("root", F.col("parent").alias("at")).distinct()
-        frontier = cut(found.join(seen, ["root", "at"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    hits = seen.select(F.col("root").alias("b"), F.col("at").alias("a"), F.lit(True).alias("reached"))
-    return pairs.join(hits, ["a", "b"], "left").select("a", "b", F.coalesce("reached", F.lit(False)).alias("reached"))
+    """pairs (a, b) with `reached`: whether a lies among the ancestors of b.
+
+    All starts b search together. A start whose pairs are all settled stops, so what is held is what open starts have seen.
+    """
+    up = cut(edges.select(F.col("child").alias("at"), "parent").distinct())
+    open_ = cut(pairs.select("a", F.col("b").alias("root")).distinct())
+    frontier = cut(open_.select("root", F.col("root").alias("at")).distinct())
+    seen, hits = Grown(frontier), Grown(cut(open_.join(frontier, (open_["root"] == frontier["root"]) & (open_["a"] == frontier["at"]), "left_semi")))
+    while True:
+        open_ = cut(open_.join(hits.parts[-1], ["a", "root"], "left_anti"))
+        live = frontier.join(open_.select("root").distinct(), "root", "left_semi")
+        found = live.join(up, "at").select("root", F.col("parent").alias("at")).distinct()
+        frontier = cut(found.join(seen.all(), ["root", "at"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen.add(frontier)
+        hits.add(cut(frontier.select("root", F.col("at").alias("a")).join(open_, ["root", "a"], "left_semi").select("a", "root")))
+    reached = hits.all().select("a", F.col("root").alias("b"), F.lit(True).alias("reached"))
+    return pairs.join(reached, ["a", "b"], "left").select("a", "b", F.coalesce("reached", F.lit(False)).alias("reached"))
 
 
 def merge_base(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id, depth): the common ancestor nearest to right; of those equally near, the least id."""
-    mine = ancestors(edges, left).select("id")
-    common = ancestors(edges, right).join(mine, "id", "left_semi")
-    return common.orderBy("depth", "id").limit(1)
+    """(id, depth): the common ancestor that a search from right, breadth first and first parents first, meets first.
+
+    The order of such a search is that of the ways to a save, as lists of which parent was taken, by length and then in order.
+    """
+    mine = cut(ancestors(edges, left).select("id"))
+    up = cut(edges.select(F.col("child").alias("id"), "parent", "nth"))
+    frontier, n = cut(right.select("id").distinct().select("id", F.array().cast("array<int>").alias("way"))), 0
+    seen = Grown(frontier.select("id"))
+    while not frontier.isEmpty():
+        met = frontier.join(mine, "id", "left_semi").orderBy("way").limit(1)
+        if not met.isEmpty():
+            return met.select("id", F.lit(n).alias("depth"))
+        n += 1
+        found = frontier.join(up, "id").groupBy(F.col("parent").alias("id")).agg(F.min(F.concat("way", F.array(F.col("nth").cast("int")))).alias("way"))
+        frontier = cut(found.join(seen.all(), "id", "left_anti"))
+        seen.add(frontier.select("id"))
+    return frontier.select("id", F.lit(n).alias("depth"))
 
 
 def first_parents(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -59,30 +100,32 @@ def route(edges: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     step = edges.join(down.select(F.col("id").alias("child"), F.col("depth").alias("dc")), "child").join(down.select(F.col("id").alias("parent"), F.col("depth").alias("dp")), "parent").where("dp = dc + 1")
     chosen = cut(step.groupBy("parent").agg(F.min("child").alias("by")))
     at = cut(target.select("id").join(down, "id").select("id", F.col("depth").alias("step")))
-    way = at
+    way = Grown(at)
     while not at.isEmpty():
         at = cut(at.join(chosen, F.col("id") == F.col("parent")).select(F.col("by").alias("id"), (F.col("step") - 1).alias("step")))
-        way = cut(way.unionByName(at))
-    return way
+        way.add(at)
+    return way.all()
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, level): 0 without parents, else one more than the greatest level of a parent; parents come first by (level, id).
 
-    A parent that isn't among nodes counts as absent. Nodes leave the open set once all their parents have a level.
+    A parent that isn't among nodes counts as absent. A node gets its level once none of its edges waits; a round writes the latest level
+    and the edges that go on waiting, which shrink, never what is done.
     """
-    known = nodes.select("id").distinct()
-    inner = cut(edges.join(known.select(F.col("id").alias("parent")), "parent", "left_semi").join(known.select(F.col("id").alias("child")), "child", "left_semi").select("child", "parent").distinct())
-    done = cut(known.join(inner.select(F.col("child").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level")))
-    waiting, n = inner, 0
-    latest = done
-    while not latest.isEmpty():
+    known = cut(nodes.select("id").distinct())
+    waiting = cut(edges.join(known.select(F.col("id").alias("parent")), "parent", "left_semi").join(known.select(F.col("id").alias("child")), "child", "left_semi").select("child", "parent").distinct())
+    latest, n = cut(known.join(waiting.select(F.col("child").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level"))), 0
+    done = Grown(latest)
+    while True:
         n += 1
-        waiting = cut(waiting.join(latest.select(F.col("id").alias("parent")), "parent", "left_anti"))
-        touched = inner.join(latest.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
-        latest = cut(touched.join(waiting.select(F.col("child").alias("id")), "id", "left_anti").join(done.select("id"), "id", "left_anti").select("id", F.lit(n).alias("level")))
-        done = cut(done.unionByName(latest))
-    return done
+        marked = waiting.join(latest.select(F.col("id").alias("parent"), F.lit(1).alias("now")), "parent", "left").groupBy("child").agg(F.bool_and(F.col("now").isNotNull()).alias("ready"), F.array_compact(F.collect_list(F.when(F.col("now").isNull(), F.col("parent")))).alias("left"))
+        marked = cut(marked)
+        latest = marked.where("ready").select(F.col("child").alias("id"), F.lit(n).alias("level"))
+        if latest.isEmpty():
+            return done.all()
+        waiting = marked.where("not ready").select("child", F.explode("left").alias("parent"))
+        done.add(latest)
 
 
 def left_out(edges: DataFrame, heads: DataFrame, imported: DataFrame) -> DataFrame:
@@ -97,39 +140,43 @@ def fork_point(edges: DataFrame, head: DataFrame, published: DataFrame) -> DataF
 
 def relation(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with `relation`: up-to-date, fast-forward, behind, diverged or unrelated."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    pairs = cut(pairs.select("a", "b").distinct())
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     seen = cut(is_ancestor(edges, both))
     forth = seen.select("a", "b", F.col("reached").alias("ab"))
     back = seen.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("reached").alias("ba"))
-    roots = roots_of(edges, both.select(F.col("a").alias("id")).distinct())
-    shared = roots.select(F.col("id").alias("a"), "root").join(roots.select(F.col("id").alias("b"), "root"), "root").select("a", "b").distinct().withColumn("kin", F.lit(True))
-    rows = pairs.join(forth, ["a", "b"]).join(back, ["a", "b"]).join(shared, ["a", "b"], "left")
+    rows = cut(pairs.join(forth, ["a", "b"]).join(back, ["a", "b"]))
+    # only pairs that neither way settles ask for a root in common, each by the roots of its own two sides
+    apart = rows.where("not ab and not ba").select("a", "b")
+    roots = cut(roots_of(edges, apart.select(F.col("a").alias("id")).unionByName(apart.select(F.col("b").alias("id"))).distinct()))
+    kin = apart.join(roots.select(F.col("id").alias("a"), "root"), "a").join(roots.select(F.col("id").alias("b"), "root"), ["b", "root"]).select("a", "b").distinct().withColumn("kin", F.lit(True))
+    rows = rows.join(kin, ["a", "b"], "left")
     how = F.when(F.col("a") == F.col("b"), "up-to-date").when(F.col("ab"), "fast-forward").when(F.col("ba"), "behind").when(F.col("kin"), "diverged").otherwise("unrelated")
     return rows.select("a", "b", how.alias("relation"))
 
 
 def roots_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, root): the saves without parents that each of nodes reaches."""
-    up = edges.select(F.col("child").alias("root"), "parent").distinct()
-    seen = cut(nodes.select("id", F.col("id").alias("root")).distinct())
-    frontier = seen
+    up = cut(edges.select(F.col("child").alias("root"), "parent").distinct())
+    frontier = cut(nodes.select("id", F.col("id").alias("root")).distinct())
+    seen = Grown(frontier)
     while not frontier.isEmpty():
         found = frontier.join(up, "root").select("id", F.col("parent").alias("root")).distinct()
-        frontier = cut(found.join(seen, ["id", "root"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen.join(up.select("root").distinct(), "root", "left_anti").select("id", "root")
+        frontier = cut(found.join(seen.all(), ["id", "root"], "left_anti"))
+        seen.add(frontier)
+    return seen.all().join(up.select("root").distinct(), "root", "left_anti").select("id", "root")
 
 
 def chain_depth(edges: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
     """(id, depth, whole): how many first parents each node's delta leans on; from cap on a node is stored whole."""
     chain = edges.where("nth = 0").select(F.col("child").alias("id"), "parent")
-    depth = cut(nodes.join(chain.select("id"), "id", "left_anti").select("id", F.lit(0).alias("depth")))
-    latest = depth
+    latest = cut(nodes.join(chain.select("id"), "id", "left_anti").select("id", F.lit(0).alias("depth")))
+    depth = Grown(latest)
     while not latest.isEmpty():
         above = latest.select(F.col("id").alias("parent"), "depth")
         latest = cut(above.join(chain, "parent").select("id", F.when(F.col("depth") + 1 > cap, 0).otherwise(F.col("depth") + 1).alias("depth")))
-        depth = cut(depth.unionByName(latest))
-    return depth.select("id", "depth", (F.col("depth") == 0).alias("whole"))
+        depth.add(latest)
+    return depth.all().select("id", "depth", (F.col("depth") == 0).alias("whole"))
 
 
 def tips(saves: DataFrame, line: str, order: str) -> DataFrame:

@@ -5,32 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapweave.operators.rules import last_match, parse
+from snapweave.functions.text import slug
+from snapweave.operators.rules import layers_of, settled
 
 
-def layered(paths: DataFrame, layers: dict[str, str]) -> DataFrame:
-    """paths (path) with layer and excluded: of nested rule files (folder to text; '' is the root) the deepest that says anything about a file decides.
+def layered(paths: DataFrame, layers: dict[str, str], tracked: DataFrame | None = None) -> DataFrame:
+    """paths (path) with layer and excluded, by nested rule files (folder to text; '' is the root) and tracked files (path)."""
+    return settled(paths, layers_of(layers), tracked).drop("rule")
 
-    A layer's patterns are matched against the path below its folder. Rule files are small texts on the driver; they become
-    one projection.
+
+#: Milliseconds before the index was written in which a file may have changed without its time moving (fixed value).
+RACY_MS = 2000
+
+
+def cached(listing: DataFrame, index: DataFrame, written: float | None = None, store: bool = False) -> DataFrame:
+    """(path, sha256): the index's digest where size and time of change are as it has them; null where the file must be read.
+
+    A file that changed less than RACY_MS before the index was `written` is read again. With store, chunks must be known too,
+    but for empty files.
     """
-    found = []
-    for base in sorted(layers, key=lambda b: (-len(b), b)):
-        rules = parse(layers[base])
-        inside = F.col("path").startswith(f"{base}/") if base else F.lit(True)
-        below = F.col("path").substr(F.lit(len(base) + 2 if base else 1), F.char_length("path"))
-        found.append((base, rules, inside, below))
-    rows = paths.select("*", *(below.alias(f"_p{i}") for i, (_, _, _, below) in enumerate(found)))
-    numbers = [F.when(inside, last_match(rules, f"_p{i}", False)) for i, (_, rules, inside, _) in enumerate(found)]
-    layer = F.coalesce(*(F.when(n.isNotNull(), F.lit(base)) for n, (base, _, _, _) in zip(numbers, found, strict=True)))
-    shut = F.coalesce(*(F.when(n.isNotNull(), n.isin([r.number for r in rules if not r.negated])) for n, (_, rules, _, _) in zip(numbers, found, strict=True)), F.lit(False))
-    return rows.select(*paths.columns, layer.alias("layer"), shut.alias("excluded"))
-
-
-def cached(listing: DataFrame, index: DataFrame) -> DataFrame:
-    """(path, sha256): the index's digest where size and time of change are as it has them; null where the file must be read."""
-    known = index.select("path", F.col("size").alias("was"), F.col("mtime").alias("then"), "sha256")
+    known = index.select("path", F.col("size").alias("was"), F.col("mtime").alias("then"), "sha256", *(["chunks"] if store else []))
     hit = (F.col("size") == F.col("was")) & (F.col("mtime") == F.col("then"))
+    if written is not None:
+        hit = hit & (F.col("mtime") < written - RACY_MS)
+    if store:
+        hit = hit & ((F.size("chunks") > 0) | (F.col("size") == 0))
     return listing.select("path", "size", "mtime").join(known, "path", "left").select("path", F.when(hit, F.col("sha256")).alias("sha256"))
 
 
@@ -41,6 +40,22 @@ def changes_only(base: DataFrame, tree: DataFrame) -> DataFrame:
     return rows.select("path", F.col("t.sha256").alias("sha256"), F.col("t").isNull().alias("removed"))
 
 
+def changed_rows(base: DataFrame, disk: DataFrame, deletions: bool, most: int) -> tuple[DataFrame, bool]:
+    """(path, change, turn) of a folder against a baseline, spread over folders, and whether there are more than `most`. A report's limit.
+
+    What disk lacks is a deletion only where the whole folder was looked at (`deletions`).
+    """
+    side = lambda t, name: t.select("path", F.struct("sha256").alias(name))
+    rows = side(base, "b").join(side(disk, "d"), "path", "full_outer")
+    change = F.when(F.col("b").isNull(), "added").when(F.col("d").isNull(), "deleted" if deletions else None).when(F.col("b.sha256") != F.col("d.sha256"), "modified")
+    found = rows.select("path", change.alias("change")).where("change is not null").select("*", F.regexp_extract("path", "^(.*)/", 1).alias("folder"))
+    turn = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
+    spread = found.select("path", "change", turn.alias("turn"), "folder")
+    kept = spread.orderBy("turn", "folder").limit(most + 1)
+    cut_off = kept.count() > most
+    return kept.orderBy("turn", "folder").limit(most).select("path", "change", "turn"), cut_off
+
+
 def status(manifest: DataFrame, local: DataFrame, disk: DataFrame) -> DataFrame:
     """(path, state): absent (in the manifest, not on disk), behind (the manifest moved on), edited (disk isn't what was received)."""
     side = lambda t, name: t.select("path", F.col("sha256").alias(name))
@@ -68,8 +83,8 @@ def by_prefix(objects: DataFrame, asked: DataFrame) -> DataFrame:
     return found.select("prefix", "matches", F.when(F.col("matches") == 1, F.col("name")).alias("name"))
 
 
-def alike_projects(names: DataFrame, asked: DataFrame) -> DataFrame:
-    """(slug, project): projects whose slug equals an asked one, or starts or is started by it word by word.
+def alike_projects(names: DataFrame, asked: DataFrame, most: int | None = None) -> DataFrame:
+    """(slug, project, same): projects whose slug equals an asked one, or starts or is started by it word by word; the equal one first, `most` of each.
 
     Each slug is spread into its prefixes of whole words, so both directions are equi-joins.
     """
@@ -77,7 +92,16 @@ def alike_projects(names: DataFrame, asked: DataFrame) -> DataFrame:
     whole = lambda t, own: t.select(F.col("slug").alias(own), F.col("slug").alias("prefix"))
     down = whole(asked, "slug").join(spread(names, "project"), "prefix")
     up = spread(asked, "slug").join(whole(names, "project"), "prefix")
-    return down.select("slug", "project").unionByName(up.select("slug", "project")).distinct()
+    rows = down.select("slug", "project").unionByName(up.select("slug", "project")).distinct().select("*", (F.col("slug") == F.col("project")).alias("same"))
+    if most is not None:
+        rows = rows.select("*", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("same"), "project")).alias("n")).where(F.col("n") <= most).drop("n")
+    return rows
+
+
+def paths_present(folder: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project, paths, present): how many paths of each project (project, path) a folder (path) has."""
+    here = folder.select("path").distinct().withColumn("here", F.lit(1))
+    return projects.join(here, "path", "left").groupBy("project").agg(F.count("*").alias("paths"), F.count("here").alias("present"))
 
 
 def largest(files: DataFrame, most: int) -> DataFrame:
@@ -116,36 +140,93 @@ def paragraphs(lines: DataFrame, key: str = "path") -> DataFrame:
     return runs.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("first")) - 1).alias("paragraph"), "first", "lines")
 
 
-#: Names of files at a project's root and the kind that they tell, first match first (fixed values).
-KINDS = (("unity", "ProjectSettings"), ("godot", "project.godot"), ("node", "package.json"), ("rust", "Cargo.toml"), ("python", "pyproject.toml"), ("go", "go.mod"), ("make", "Makefile"))
+def _root(*names: str) -> Column:
+    """Whether one of these stands at a project's root."""
+    return F.bool_or(F.lower("name").isin(*names))
+
+
+def project_kinds(entries: DataFrame) -> DataFrame:
+    """(project, kinds) of entries (project, name) at the root: at most one engine, then every language; builds only without an engine."""
+    ends = lambda suffix: F.bool_or(F.endswith(F.lower("name"), F.lit(suffix)))
+    tests = {
+        "unity": _root("assets") & _root("projectsettings"), "unrealengine": ends(".uproject"), "godot": _root("project.godot"), "cocos": _root("project.json") & _root("assets"),
+        "node": _root("package.json"), "python": _root("pyproject.toml", "requirements.txt", "setup.py"), "rust": _root("cargo.toml"), "go": _root("go.mod"), "gradle": _root("build.gradle", "build.gradle.kts"),
+        "visualstudio": ends(".sln"), "objective-c": ends(".xcodeproj"), "cmake": _root("cmakelists.txt"),
+    }
+    engines, languages = ("unity", "unrealengine", "godot", "cocos"), ("node", "python", "rust", "go", "gradle")
+    found = entries.groupBy("project").agg(*(t.alias(k) for k, t in tests.items()))
+    engine = F.coalesce(*(F.when(F.col(f"`{k}`"), k) for k in engines))
+    picked = F.array_compact(F.array(engine, *(F.when(F.col(k), k) for k in languages)))
+    builds = F.when(F.size(picked) == 0, F.array_compact(F.array(*(F.when(F.col(f"`{k}`"), F.lit(k)) for k in ("visualstudio", "objective-c", "cmake"))))).otherwise(F.array().cast("array<string>"))
+    return found.select("project", F.concat(picked, builds).alias("kinds"))
+
+
+#: The line that ties a version to a commit (an input value of the service whose messages are read).
+TRAILER = "Git-commit:"
+MESSAGE_LIMIT = 240
 
 
-def project_kinds(entries: DataFrame, kinds: tuple[tuple[str, str], ...] = KINDS) -> DataFrame:
-    """(project, kind) of entries (project, name) at the root: the first kind whose file is there, else none."""
-    number = F.coalesce(*(F.when(F.col("name") == name, i) for i, (_, name) in enumerate(kinds)))
-    found = entries.groupBy("project").agg(F.min(number).alias("n"))
-    return found.select("project", F.coalesce(*(F.when(F.col("n") == i, kind) for i, (kind, _) in enumerate(kinds)), F.lit("none")).alias("kind"))
+def commit_of(message: Column, trailer: str = TRAILER) -> Column:
+    """The commit that the last marker of a message names; null without one."""
+    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(message, F.lit(rf"\Q{trailer}\E\s*([0-9a-f]{{40}})\b"), F.lit(1))), -1)
 
 
-def commit_of(message: Column) -> Column:
-    """The commit that the last marker line of a message names; null without one."""
-    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(message, F.lit(r"(?m)^Git-commit: ([0-9a-f]{40})$"), F.lit(1))), -1)
+def with_commit(message: Column, sha: Column, trailer: str = TRAILER, most: int = MESSAGE_LIMIT) -> Column:
+    """A message with its marker, cut on a word where both are longer than `most`."""
+    room = most - len(trailer) - 43
+    body = F.regexp_replace(message, r"\s+$", "")
+    kept = F.substring(body, 1, room - 1)
+    tidy = F.regexp_replace(kept, r"\s+\S*$", "")
+    short = F.regexp_replace(F.when(F.char_length(tidy) > room / 2, tidy).otherwise(kept), r"\s+$", "")
+    short = F.concat(F.when(short == "", F.substring(sha, 1, 8)).otherwise(short), F.lit("…"))
+    return F.concat(F.when(F.char_length(body) <= room, body).otherwise(short), F.lit(f"\n\n{trailer} "), sha)
 
 
-def without_marker(message: Column, most: int = 240) -> Column:
-    """A message without its marker lines, at most so many characters."""
-    return F.substring(F.rtrim(F.regexp_replace(message, r"(?m)\n*^Git-commit: [0-9a-f]{40}$", "")), 1, most)
+def without_marker(message: Column, trailer: str = TRAILER) -> Column:
+    """A message as a person wrote it: without marker lines, and no more than one blank line in a row."""
+    bare = F.regexp_replace(message, rf"(?m)^\s*\Q{trailer}\E\s*[0-9a-f]{{40}}\s*$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 #: Extensions whose content is compressed already (fixed values).
-COMPRESSED = (".7z", ".br", ".gif", ".gz", ".jpeg", ".jpg", ".m4a", ".mkv", ".mov", ".mp3", ".mp4", ".ogg", ".png", ".rar", ".webm", ".webp", ".woff2", ".xz", ".zip", ".zst")
+COMPRESSED = (
+    ".7z", ".aac", ".avi", ".br", ".bz2", ".cbx", ".docx", ".flac", ".gif", ".gguf", ".gz", ".heic", ".jpeg", ".jpg", ".jxl", ".m4a", ".m4v", ".mkv",
+    ".mov", ".mp3", ".mp4", ".odp", ".ods", ".odt", ".ogg", ".onnx", ".opus", ".pdf", ".png", ".pptx", ".rar", ".safetensors", ".webm", ".webp", ".xlsx",
+    ".xz", ".zip", ".zst",
+)
 #: Media types by extension (fixed values).
-MEDIA = {".css": "text/css", ".html": "text/html", ".jpg": "image/jpeg", ".js": "text/javascript", ".json": "application/json", ".md": "text/markdown", ".pdf": "application/pdf", ".png": "image/png", ".svg": "image/svg+xml", ".txt": "text/plain", ".wasm": "application/wasm", ".xml": "application/xml", ".zip": "application/zip"}
+MEDIA = {
+    ".css": "text/css", ".csv": "text/csv", ".gif": "image/gif", ".html": "text/html", ".jpeg": "image/jpeg", ".jpg": "image/jpeg", ".js": "text/javascript",
+    ".json": "application/json", ".md": "text/markdown", ".mjs": "text/javascript", ".pdf": "application/pdf", ".png": "image/png", ".py": "text/x-python",
+    ".svg": "image/svg+xml", ".ts": "text/typescript", ".tsx": "text/typescript", ".txt": "text/plain", ".wasm": "application/wasm", ".webp": "image/webp",
+    ".xml": "application/xml", ".yaml": "application/yaml", ".yml": "application/yaml", ".zip": "application/zip",
+}
+#: Least bytes worth compressing, bytes of a sample, sizes from which one is taken, the share that must be left, chunks of a review, and its rate (fixed values).
+LEAST_BYTES, SAMPLE_BYTES, SAMPLED_FROM, WORTH, REVIEW, KEEP_RATE = 4096, 256 << 10, 8 * (256 << 10), 0.95, 16, 4
 
 
 def compression(extension: Column, size: Column) -> Column:
     """How to try to compress a file: stored as it is, sampled first, or whole."""
-    return F.when(extension.isin(*COMPRESSED) | (size < 4096), "store").when(size >= 2 << 20, "sample").otherwise("try")
+    return F.when(extension.isin(*COMPRESSED) | (size < LEAST_BYTES), "store").when(size >= SAMPLED_FROM, "sample").otherwise("try")
+
+
+def sample_windows(size: Column) -> Column:
+    """Where a file is sampled: at its start and from its middle."""
+    one = lambda at: F.struct(at.cast("long").alias("at"), F.lit(SAMPLE_BYTES).cast("long").alias("size"))
+    return F.when(size >= SAMPLED_FROM, F.array(one(F.lit(0)), one(F.floor(size / 2))))
+
+
+def worth_keeping(source: Column, compressed: Column) -> Column:
+    return compressed < source * WORTH
+
+
+def compression_verdicts(chunks: DataFrame, review: int = REVIEW, rate: int = KEEP_RATE) -> DataFrame:
+    """(path, chunks, tried, allowed) of chunks (path, position, kept): a file isn't compressed further after the first whole window of
+    `review` chunks of which fewer than one in `rate` were worth it. Windows are judged each on itself, so they are groups, not a fold."""
+    windows = chunks.groupBy("path", F.floor(F.col("position") / review).alias("window")).agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
+    bad = F.min(F.when((F.col("n") == review) & (F.col("kept") * rate < F.col("n")), F.col("window")))
+    files = windows.groupBy("path").agg(F.sum("n").alias("chunks"), bad.alias("bad"))
+    return files.select("path", "chunks", F.when(F.col("bad").isNull(), F.col("chunks")).otherwise((F.col("bad") + 1) * review).alias("tried"), F.col("bad").isNull().alias("allowed"))
 
 
 def media_type(extension: Column) -> Column:
@@ -153,6 +234,60 @@ def media_type(extension: Column) -> Column:
     return F.coalesce(F.try_element_at(table, extension), F.lit("application/octet-stream"))
 
 
+# --- the text of rule files, a row for each line (key, number, text)
+
+
+def rule_lines(texts: DataFrame, key: str) -> DataFrame:
+    return texts.select(key, F.posexplode(F.split("text", "\n")).alias("number", "text"))
+
+
+def _rule(text: Column) -> Column:
+    """A line as a rule; null for comments and blank lines."""
+    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when((plain != "") & ~F.startswith(plain, F.lit("#")), plain)
+
+
+def rule_target(rule: Column) -> Column:
+    """What a rule is about, without ! and slashes at its ends."""
+    return F.regexp_replace(F.regexp_replace(rule, "^!", ""), "^/+|/+$", "")
+
+
+def missing_rules(lines: DataFrame, reference: str, key: str) -> DataFrame:
+    """(key, place, rule) of the rules of a reference text: those that a rule file neither holds nor overrules by keeping what they name."""
+    rules = [x for x in map(str.strip, reference.split("\n")) if x and not x.startswith("#")]
+    own = lines.select(key, _rule(F.col("text")).alias("rule")).where("rule is not null").distinct()
+    kept = own.where(F.startswith("rule", F.lit("!"))).select(key, rule_target(F.col("rule")).alias("target"), F.lit(1).alias("kept"))
+    wanted = lines.select(key).distinct().select(key, F.posexplode(F.array(*map(F.lit, rules))).alias("place", "rule")).withColumn("target", rule_target(F.col("rule")))
+    left = wanted.join(own.withColumn("held", F.lit(1)), [key, "rule"], "left").join(kept.distinct(), [key, "target"], "left")
+    return left.where(F.col("held").isNull() & (F.startswith("rule", F.lit("!")) | F.col("kept").isNull())).select(key, "place", "rule")
+
+
+def without_opposites(lines: DataFrame, rule: str, key: str) -> DataFrame:
+    """(key, number, text): lines without those that say the opposite of a rule about the same thing, and without headings that are left with
+    nothing under them (with a blank line beside them)."""
+    keeping, target = rule.strip().startswith("!"), rule.strip().removeprefix("!").strip("/")
+    w = Window.partitionBy(key).orderBy("number")
+    plain = F.regexp_replace("text", r"^\s+|\s+$", "")
+    rows = lines.select(key, "number", "text", (plain == "").alias("blank"), _rule(F.col("text")).alias("rule"))
+    rows = rows.select("*", (F.col("rule").isNotNull() & (rule_target(F.col("rule")) == target) & (F.startswith("rule", F.lit("!")) != keeping)).alias("opposite"), F.sum(F.col("blank").cast("int")).over(w).alias("island"))
+    block = Window.partitionBy(key, "island", "blank")
+    gone = F.bool_or("opposite").over(block) & ~F.bool_or(F.col("rule").isNotNull() & ~F.col("opposite")).over(block)
+    rows = rows.select("*", (gone & ~F.col("blank")).alias("empty"))
+    # the blank line after an emptied paragraph goes, or the one before it where it is the last
+    after = F.col("blank") & F.coalesce(F.lag("empty").over(w), F.lit(False))
+    last = F.max("number").over(Window.partitionBy(key, "island"))
+    rows = rows.select("*", after.alias("after"), last.alias("last"), F.max("number").over(Window.partitionBy(key)).alias("end"))
+    before = F.col("blank") & F.coalesce(F.lead("empty").over(w), F.lit(False)) & (F.col("last") == F.col("end"))
+    return rows.select("*", before.alias("before")).where("not (opposite or empty or after or before)").select(key, "number", "text")
+
+
+def authored_by_starter(lines: DataFrame, marker: str, own: str, fingerprint: tuple[str, ...], key: str) -> DataFrame:
+    """(key, authored): whether a rule file was written by a starter: its marker, or its own rule and three of its fingerprint."""
+    rows = lines.select(key, "text", _rule(F.col("text")).alias("rule"))
+    seen = F.size(F.array_intersect(F.collect_set(F.when(F.col("rule").isin(own, *fingerprint), F.col("rule"))), F.array(*map(F.lit, fingerprint))))
+    return rows.groupBy(key).agg((F.bool_or(F.contains("text", F.lit(marker))) | (F.coalesce(F.bool_or(F.col("rule") == own), F.lit(False)) & (seen >= 3))).alias("authored"))
+
+
 def took_side(conflicts: DataFrame, ours: DataFrame, theirs: DataFrame, side: str) -> DataFrame:
     """(path, sha256): conflicts (path) settled by one side's entry; null where that side has none, so the path goes."""
     chosen = (ours if side == "ours" else theirs).select("path", "sha256")
@@ -165,6 +300,25 @@ def unpaired(chain: DataFrame, published: DataFrame) -> DataFrame:
     return chain.join(F.broadcast(stop), F.col("stop").isNull() | (F.col("depth") < F.col("stop"))).select("id", "depth")  # one row
 
 
-def reach(scanned: DataFrame, most: int) -> DataFrame:
-    """(scanned, of, complete) of a scan (path) that looks at so many files in order of path."""
-    return scanned.agg(F.least(F.count("*"), F.lit(most)).alias("scanned"), F.count("*").alias("of"), (F.count("*") <= most).alias("complete"))
+def starters(entries: DataFrame) -> DataFrame:
+    """(directory, recipe, command, because): a check for each package (directory, name, text of its manifests): its scripts, fastest first, or its language's own.
+
+    A manifest that isn't JSON, or names none of the scripts, gives none, and the next language is asked. Recipes that would share a name take the whole directory's.
+    """
+    text = lambda name: F.max(F.when(F.col("name") == name, F.coalesce("text", F.lit(""))))
+    has = lambda name: F.coalesce(F.bool_or(F.col("name") == name), F.lit(False))
+    files = {"pnpm": "pnpm-lock.yaml", "yarn": "yarn.lock", "npm": "package-lock.json", "rust": "Cargo.toml", "go": "go.mod", "pyproject": "pyproject.toml", "requirements": "requirements.txt"}
+    found = entries.groupBy("directory").agg(text("package.json").alias("manifest"), *(has(name).alias(k) for k, name in files.items()))
+    scripts = F.try_element_at(F.from_json("manifest", "map<string, map<string, string>>", {"mode": "PERMISSIVE"}), F.lit("scripts"))
+    steps = F.filter(F.array(*map(F.lit, ("check", "typecheck", "lint", "build", "test"))), lambda n: ~F.coalesce(F.try_element_at(scripts, n), F.lit("no test specified")).contains("no test specified"))
+    found = found.select("*", F.coalesce(steps, F.array().cast("array<string>")).alias("steps"))
+    install = F.when(F.col("pnpm"), "corepack enable && pnpm install --frozen-lockfile").when(F.col("yarn"), "corepack enable && yarn install --immutable").when(F.col("npm"), "npm ci").otherwise("npm install")
+    run = F.when(F.col("pnpm"), "pnpm run ").when(F.col("yarn"), "yarn run ").otherwise("npm run ")
+    node = F.when(F.size("steps") > 0, F.concat(install, F.lit(" && "), F.array_join(F.transform("steps", lambda x: F.concat(run, x)), " && ")))
+    python = F.concat(F.when(F.col("requirements"), "python -m pip install -r requirements.txt").otherwise("python -m pip install -e ."), F.lit(" && python -m pytest"))
+    command = F.coalesce(node, F.when(F.col("rust"), "cargo test"), F.when(F.col("go"), "go vet ./... && go test ./..."), F.when(F.col("pyproject") | F.col("requirements"), python))
+    because = F.when(node.isNotNull(), F.concat(F.lit("package.json scripts: "), F.array_join("steps", ", "))).when(F.col("rust"), "Cargo.toml").when(F.col("go"), "go.mod").when(F.col("pyproject"), "pyproject.toml").otherwise("requirements.txt")
+    rows = found.select("directory", command.alias("command"), because.alias("because")).where("command is not null")
+    named = rows.select("*", F.concat(slug(F.element_at(F.split("directory", "/"), -1)), F.lit("-check")).alias("recipe"))
+    alone = F.count("*").over(Window.partitionBy("recipe")) == 1
+    return named.select("directory", F.when(alone, F.col("recipe")).otherwise(F.concat(slug(F.col("directory")), F.lit("-check"))).alias("recipe"), "command", "because")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,41 +30,64 @@ def spread(rows: DataFrame, folder: str, order: str) -> DataFrame:
     return rows.select("*", F.row_number().over(Window.partitionBy(folder).orderBy(order)).alias("turn"))
 
 
-def sections(files: DataFrame, group: str, order: str, budget: int = SECTION_BYTES, most: int = SECTION_FILES) -> DataFrame:
-    """files with `section`, numbered within each group: filled in order, closed before it would pass a limit.
+def _filled(files: DataFrame, group: str, order: str, name: str, closes: Callable[[tuple, list, int], bool], sums: tuple[str, ...]) -> DataFrame:
+    """files with a number of the lot they fill, within each group: a lot is closed before a row for which closes(row's sums, held sums, rows held).
 
-    Where a section ends depends on where it began, so a group is one ordered stream; it is read once, batch by batch, and
+    Where a lot ends depends on where it began, so a group is one ordered stream; it is read once, batch by batch, and
     nothing but the running totals is held.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, section, held, n = object(), 0, 0, 0
+        last, lot, held, n = object(), 0, [0] * len(sums), 0
         for rows in batches:
             numbers = []
-            for key, size in zip(rows[group].tolist(), rows["size"].tolist(), strict=True):
+            for key, *own in zip(rows[group].tolist(), *(rows[c].tolist() for c in sums), strict=True):
                 if key != last:
-                    last, section, held, n = key, 0, 0, 0
-                if n and (size >= budget or held + size > budget or n >= most or held >= budget):
-                    section, held, n = section + 1, 0, 0
-                held, n = held + size, n + 1
-                numbers.append(section)
-            yield rows.assign(section=numbers)
+                    last, lot, held, n = key, 0, [0] * len(sums), 0
+                if n and closes(own, held, n):
+                    lot, held, n = lot + 1, [0] * len(sums), 0
+                held, n = [a + b for a, b in zip(held, own, strict=True)], n + 1
+                numbers.append(lot)
+            yield rows.assign(**{name: numbers})
 
     dealt = files.repartition(group).sortWithinPartitions(group, order)
-    return dealt.mapInPandas(fold, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema), "section long"]))
+    return dealt.mapInPandas(fold, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema), f"{name} long"]))
+
+
+def sections(files: DataFrame, group: str, order: str, budget: int = SECTION_BYTES, most: int = SECTION_FILES) -> DataFrame:
+    """files with `section`, numbered within each group: filled in order, closed before it would pass a limit; a file beyond the budget is alone."""
+    return _filled(files, group, order, "section", lambda own, held, n: own[0] >= budget or held[0] + own[0] > budget or n >= most or held[0] >= budget, ("size",))
+
+
+#: Files, bytes and bytes as JSON of an edit at most (fixed values).
+BATCH_FILES, BATCH_BYTES, BATCH_JSON = 32, MIB, 3 * MIB // 2
+
+
+def put_batches(changes: DataFrame, group: str, order: str, most: int = BATCH_FILES, size: int = BATCH_BYTES, encoded: int = BATCH_JSON) -> DataFrame:
+    """changes (group, size, json: bytes of each as JSON, ...) with `batch`: edits that are filled in order and accepted together."""
+    return _filled(changes, group, order, "batch", lambda own, held, n: n >= most or held[0] + own[0] > size or held[1] + own[1] > encoded, ("size", "json"))
 
 
 def nearest(files: DataFrame, others: DataFrame) -> DataFrame:
-    """(path, base): of others in the same folder with the same extension and a size within twice, the nearest in size.
+    """(path, base): of others in the same folder with the same extension and a size within twice, the nearest in size; the least path of several.
 
-    An equi-join on folder, extension and the size's power of two (each file looks at its own and both beside it).
+    Both lists are sorted by size once for each folder and extension; a file looks at the two others before it and the two
+    after it (one may be itself), so no pairs are made.
     """
-    step = lambda shift: F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))) + shift
-    keys = lambda rows: rows.select("path", "size", F.regexp_extract("path", "^(.*)/", 1).alias("folder"), F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ext"))
-    left = keys(files).select("*", F.explode(F.array(step(-1), step(0), step(1))).alias("power"))
-    right = keys(others).select(F.col("path").alias("base"), F.col("size").alias("base_size"), "folder", "ext", step(0).alias("power"))
-    rows = left.join(right, ["folder", "ext", "power"]).where("path <> base and base_size <= 2 * size and size <= 2 * base_size")
-    return rows.groupBy("path").agg(F.min_by("base", F.struct(F.abs(F.col("size") - F.col("base_size")), "base")).alias("base"))
+    keys = lambda rows: (rows.select("path", "size", F.regexp_extract("path", "^(.*)/", 1).alias("folder"), F.lower(F.regexp_extract("path", r"[^/](\.[^./]*)$", 1)).alias("ext")))
+    found = None
+    mine = keys(files)
+    for turn in (F.asc, F.desc):
+        # of others of one size the least path stands last, next to what follows
+        w = Window.partitionBy("folder", "ext").orderBy(turn("size"), F.desc("path"))
+        listed = keys(others).select("*", F.lag(F.struct("path", "size")).over(w).alias("before"))
+        rows = listed.select("folder", "ext", "size", F.lit(0).alias("asks"), "path", F.struct(F.struct("path", "size").alias("one"), F.col("before").alias("two")).alias("seen"))
+        rows = rows.unionByName(mine.select("folder", "ext", "size", F.lit(1).alias("asks"), "path"), allowMissingColumns=True)
+        w = Window.partitionBy("folder", "ext").orderBy(turn("size"), "asks", F.desc("path")).rowsBetween(Window.unboundedPreceding, 0)
+        met = rows.select("path", "size", "asks", F.last("seen", ignorenulls=True).over(w).alias("seen")).where("asks = 1").select("path", "size", F.explode(F.array("seen.one", "seen.two")).alias("other"))
+        found = met if found is None else found.unionByName(met)
+    good = found.where("other is not null and other.path <> path and other.size <= 2 * size and size <= 2 * other.size")
+    return good.groupBy("path").agg(F.min_by(F.col("other.path"), F.struct(F.abs(F.col("size") - F.col("other.size")), F.col("other.path"))).alias("base"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:

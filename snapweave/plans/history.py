@@ -127,7 +127,7 @@ def _pairs(spark, d):
     tip = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     rows = tips.select("conv_id", tip.alias("b"))
     back = F.concat_ws("/", (F.col("conv_id") - F.col("conv_id") % 3).cast("string"), F.lit("0"))
-    return rows.where("conv_id % 2 = 0").select(back.alias("a"), "b").distinct()
+    return rows.select(back.alias("a"), "b").distinct()
 
 
 def is_ancestor(spark, d):
@@ -165,9 +165,17 @@ def version_delta(spark, d):
     return versions(spark, d).select("project", "sequence", (F.col("files") - F.coalesce(F.lag("files").over(w), F.lit(0))).alias("files"), (F.col("source") - F.coalesce(F.lag("source").over(w), F.lit(0))).alias("source"))
 
 
+def record_digests(spark, d):
+    """Each save as a record with keys in their order, hashed as it stands: the identity of saves. Nulls don't enter a hashed record."""
+    edges = save_edges(spark, d).groupBy(F.col("child").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "parent"))), lambda x: x["parent"]).alias("parents"))
+    rows = saves(spark, d).join(edges, "id", "left")
+    record = F.struct(F.col("id").alias("tree"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents"), F.lit("main").alias("line"), F.concat(F.lit('turn "'), F.col("turn").cast("string"), F.lit('"')).alias("message"))
+    return rows.select("id", F.sha2(F.to_json(record), 256).alias("digest"))
+
+
 _STARTED = "(SELECT id, conv_id FROM saves ORDER BY turn DESC, conv_id DESC LIMIT 1)"
 _CLIMB = "up(id, depth) AS (SELECT id, 0 FROM {start} UNION SELECT parent, depth + 1 FROM up JOIN edges ON child = id WHERE depth < {limit} {more})"
-_TIPS = "pairs AS (SELECT DISTINCT concat(conv_id - conv_id % 3, '/0') AS a, concat(conv_id, '/', t) AS b FROM (SELECT conv_id, max(turn) AS t FROM saves GROUP BY conv_id) WHERE conv_id % 2 = 0)"
+_TIPS = "pairs AS (SELECT DISTINCT concat(conv_id - conv_id % 3, '/0') AS a, concat(conv_id, '/', t) AS b FROM (SELECT conv_id, max(turn) AS t FROM saves GROUP BY conv_id))"
 _REACH = "ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(root, node) AS (SELECT b, b FROM ways UNION SELECT root, parent FROM reach JOIN edges ON child = node)"
 _DECIDE = f"""CASE WHEN {_SAME.format("o", "t")} OR (o.path IS NULL AND t.path IS NULL) THEN 'same'
  WHEN {_SAME.format("b", "o")} OR (b.path IS NULL AND o.path IS NULL) THEN 'theirs'
@@ -234,8 +242,8 @@ SELECT count(*) FILTER (r IS NULL) AS only_left, count(*) FILTER (l IS NULL) AS
     "merge_base": (
         merge_base,
         f"""{WITH}, l(id) AS (SELECT id FROM {_STARTED} UNION SELECT parent FROM l JOIN edges ON child = id),
-r(id, depth) AS (SELECT id, 0 FROM (SELECT id FROM saves WHERE conv_id = (SELECT conv_id - 1 FROM {_STARTED}) ORDER BY turn DESC LIMIT 1) UNION SELECT parent, depth + 1 FROM r JOIN edges ON child = id)
-SELECT id, min(depth) AS depth FROM r WHERE id IN (SELECT id FROM l) GROUP BY id ORDER BY depth, id LIMIT 1""",
+r(id, depth, way) AS (SELECT id, 0, CAST([] AS INTEGER[]) FROM (SELECT id FROM saves WHERE conv_id = (SELECT conv_id - 1 FROM {_STARTED}) ORDER BY turn DESC LIMIT 1) UNION SELECT parent, depth + 1, list_append(way, nth) FROM r JOIN edges ON child = id)
+SELECT id, depth FROM r WHERE id IN (SELECT id FROM l) ORDER BY depth, way LIMIT 1""",
     ),
     "first_parent_log": (first_parent_log, f"{WITH}, {_CLIMB.format(start=_STARTED, limit=1000, more='AND nth = 0')} SELECT id, min(depth) AS depth FROM up GROUP BY id"),
     "topological_levels": (topological_levels, f"{WITH}, down(id, level) AS (SELECT id, 0 FROM saves WHERE id NOT IN (SELECT child FROM edges) UNION SELECT child, level + 1 FROM down JOIN edges ON parent = id) SELECT id, max(level) AS level FROM down GROUP BY id"),
@@ -247,6 +255,11 @@ SELECT id, min(depth) AS depth FROM r WHERE id IN (SELECT id FROM l) GROUP BY id
         f"""{WITH}, {_TIPS}, {_REACH}, kin AS (SELECT DISTINCT x.root AS a, y.root AS b FROM reach x JOIN reach y USING (node) WHERE node NOT IN (SELECT child FROM edges))
 SELECT a, b, CASE WHEN a = b THEN 'up-to-date' WHEN (b, a) IN (SELECT (root, node) FROM reach) THEN 'fast-forward' WHEN (a, b) IN (SELECT (root, node) FROM reach) THEN 'behind'
  WHEN (a, b) IN (SELECT (a, b) FROM kin) THEN 'diverged' ELSE 'unrelated' END AS relation FROM pairs""",
+    ),
+    "record_digests": (
+        record_digests,
+        f"""{WITH}, p AS (SELECT child AS id, string_agg('"' || parent || '"', ',' ORDER BY nth) AS parents FROM edges GROUP BY child)
+SELECT id, sha256('{{"tree":"' || id || '","parents":[' || coalesce(parents, '') || '],"line":"main","message":"turn \\"' || turn || '\\""}}') AS digest FROM saves LEFT JOIN p USING (id)""",
     ),
     "line_tips": (line_tips, f"{WITH} SELECT conv_id, arg_max(id, turn) AS tip FROM saves GROUP BY conv_id"),
     "log_positions": (log_positions, f"{WITH} SELECT id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS back FROM saves"),

@@ -6,7 +6,10 @@ checkpoint and output in the shared folder, so it can be started again after a f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import json
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from snapweave.functions.lineage import new_folder
+from snapweave.operators.content import Profile, cuts
 from snapweave.operators.detect import mentions, redacted
 
 
@@ -30,11 +34,22 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_looks(looks: list[DataFrame], feed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One feed over tables that come one after the other: each look is a run that goes on from the state of the one before it."""
+    spark = looks[0].sparkSession
+    out, state, arrived = (new_folder(spark, name) for name in ("feed", "feed-state", "looks"))
+    for rows in looks:
+        rows.write.mode("append").parquet(arrived)
+        found = feed(spark.readStream.schema(rows.schema).parquet(arrived))
+        found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
 def fresh_events(messages: DataFrame, since: str, mine: str, names: tuple[str, ...], late: str = "365 days") -> DataFrame:
-    """messages (id, at, author, body) seen for the first time, from since on and by others, with a kind: mention or message."""
+    """messages (id, at, author, kind, body) seen for the first time, from since on and by others: (id, at, type), an event, mention or message."""
     once = messages.withWatermark("at", late).dropDuplicatesWithinWatermark(["id"]) if messages.isStreaming else messages.dropDuplicates(["id"])
-    kind = F.when(mentions(F.col("body"), names), "mention").otherwise("message")
-    return once.where((F.col("at") >= F.lit(since).cast("timestamp")) & (F.col("author") != mine)).select("id", "at", kind.alias("kind"))
+    type_ = F.when(F.col("kind") == "event", "event").when(mentions(F.col("body"), names), "mention").otherwise("message")
+    return once.where((F.col("at") >= F.lit(since).cast(messages.schema["at"].dataType)) & (F.col("author") != mine)).select("id", "at", type_.alias("type"))
 
 
 def fresh_saves(versions: DataFrame) -> DataFrame:
@@ -50,22 +65,81 @@ def fresh_saves(versions: DataFrame) -> DataFrame:
     return versions.groupBy("project").applyInPandasWithState(look, "project long, sequence long", "newest long", "append", GroupStateTimeout.NoTimeout)
 
 
-def output_lines(parts: DataFrame, most: int = 64 * 1024) -> DataFrame:
-    """(stream, number, line) of parts (stream, seq, chunk): whole lines across chunk borders, redacted; too long a line is left out."""
+OMITTED = "[Oversized output line omitted]"
+
+
+def output_lines(parts: DataFrame, values: tuple[str, ...] = (), most: int = 64 * 1024) -> DataFrame:
+    """(stream, number, line, ending) of parts (stream, seq, chunk, last): lines across chunk borders, redacted.
+
+    A line ends with a return, a newline, or (ending is empty) with its stream. One of more than `most` characters is replaced by a note as
+    soon as it grows beyond, and the rest of it is passed over, so what is held of a stream is bounded.
+    """
 
     def assemble(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, n = state.get if state.exists else ("", 0)
+        pending, omitting, n = state.get if state.exists else ("", False, 0)
+        out: list[tuple[int, str, str]] = []
+        for chunk, last in pd.concat(list(rows)).sort_values("seq")[["chunk", "last"]].itertuples(index=False):
+            for part in re.split(r"([\r\n])", chunk or ""):
+                if part in ("\r", "\n"):
+                    if not omitting:
+                        out.append((n + len(out), pending, part))
+                    pending, omitting = "", False
+                elif not omitting:
+                    omitting = len(pending) + len(part) > most
+                    pending = "" if omitting else pending + part
+                    if omitting:
+                        out.append((n + len(out), OMITTED, "\n"))
+            if last:
+                if pending:
+                    out.append((n + len(out), pending, ""))
+                pending, omitting = "", False
+        state.update((pending, omitting, n + len(out)))
+        yield pd.DataFrame({"stream": [key[0]] * len(out), "number": [o[0] for o in out], "line": [o[1] for o in out], "ending": [o[2] for o in out]}).astype({"stream": "int64", "number": "int64", "line": "object", "ending": "object"})
+
+    lines = parts.groupBy("stream").applyInPandasWithState(assemble, "stream long, number long, line string, ending string", "pending string, omitting boolean, number long", "append", GroupStateTimeout.NoTimeout)
+    return lines.select("stream", "number", redacted(F.col("line"), values).alias("line"), "ending")
+
+
+def trailing_rates(samples: DataFrame, span_ms: int = 5000, least_ms: int = 250) -> DataFrame:
+    """(key, at_ms, rate) of samples (key, at_ms, bytes) in order of time: bytes a second since the oldest sample of the last span; 0 if that is too near.
+
+    Only the samples of a span are held for each key.
+    """
+
+    def follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else []
+        out = []
+        for at, size in pd.concat(list(rows)).sort_values("at_ms")[["at_ms", "bytes"]].itertuples(index=False):
+            held = [h for h in held if h[0] >= at - span_ms] + [[int(at), int(size)]]
+            since = at - held[0][0]
+            out.append((key[0], at, (size - held[0][1]) * 1000 / since if since >= least_ms else 0.0))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=["key", "at_ms", "rate"]).astype({"key": "int64", "at_ms": "int64", "rate": "float64"})
+
+    return samples.groupBy("key").applyInPandasWithState(follow, "key long, at_ms long, rate double", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def streamed_chunks(parts: DataFrame, profile: Profile) -> DataFrame:
+    """(path, position, start, length, sha256) of parts (path, seq, data, last): chunks of files that arrive part by part, the same as of whole files.
+
+    A chunk's end depends on nothing after it, so all chunks but the last come out at once; what is held of a file is less than a chunk of the greatest size.
+    """
+
+    def follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tail, start, n = state.get if state.exists else (b"", 0, 0)
         out = []
-        for chunk in pd.concat(list(rows)).sort_values("seq")["chunk"]:
-            *whole, pending = (pending + (chunk or "")).split("\n")
-            for line in whole:
-                out.append((n, line if len(line) <= most else "[Oversized output line omitted]"))
-                n += 1
-        state.update((pending, n))
-        yield pd.DataFrame({"stream": [key[0]] * len(out), "number": [o[0] for o in out], "line": [o[1] for o in out]}).astype({"stream": "int64", "number": "int64", "line": "object"})
-
-    lines = parts.groupBy("stream").applyInPandasWithState(assemble, "stream long, number long, line string", "pending string, number long", "append", GroupStateTimeout.NoTimeout)
-    return lines.select("stream", "number", redacted(F.col("line")).alias("line"))
+        for data, last in pd.concat(list(rows)).sort_values("seq")[["data", "last"]].itertuples(index=False):
+            tail = bytes(tail) + bytes(data or b"")
+            ends = cuts(tail, profile)
+            begin = 0
+            for end in ends if last else ends[:-1]:
+                out.append((key[0], n, start, end - begin, hashlib.sha256(tail[begin:end]).hexdigest()))
+                n, start, begin = n + 1, start + end - begin, end
+            tail = tail[begin:]
+        state.update((tail, start, n))
+        yield pd.DataFrame(out, columns=["path", "position", "start", "length", "sha256"]).astype({"path": "object", "position": "int32", "start": "int64", "length": "int64", "sha256": "object"})
+
+    return parts.groupBy("path").applyInPandasWithState(follow, "path string, position int, start long, length long, sha256 string", "tail binary, start long, position int", "append", GroupStateTimeout.NoTimeout)
 
 
 def daily_counts(events: DataFrame, at: str, kind: str, late: str = "2 days") -> DataFrame:
