@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapweave.functions import text as T
-from snapweave.operators import content, delta, detect, graph, rules, snapshots, text, transfer
+from snapweave.operators import activity, content, detect, graph, listing, rules, snapshots, text, transfer
 from snapweave.sources import folder
+from snapweave.streaming import feeds
 
 
 def decided(spark, ignore, paths):
@@ -51,20 +52,11 @@ def test_cut_points():
 
 
 def test_cut_points_against_a_plain_loop():
-    rnd, numbers = random.Random(3), [int(x) for x in content.gear()]
+    rnd = random.Random(3)
     for profile in (content.Profile(40, 100, 300, 0x3F, 0xF), content.Profile(33, 33, 64, 0xFF, 0x3), content.Profile(64, 256, 1024, 0x1FF, 0x7F)):
         for n in (0, 1, 40, 41, 5000):
             data = bytes(rnd.choice([0, 1, rnd.randrange(256)]) for _ in range(n))
-            out, start, h = [], 0, 0
-            for i, byte in enumerate(data):
-                h = ((h << 1) + numbers[byte]) & 0xFFFFFFFF
-                size = i - start + 1
-                if size >= profile.least and (size >= profile.most or not h & (profile.strict if size < profile.target else profile.loose)):
-                    out.append(i + 1)
-                    start, h = i + 1, 0
-            if n and (not out or out[-1] != n):
-                out.append(n)
-            assert content.cuts(data, profile) == out
+            assert content.cuts(data, profile) == plain_cuts(data, profile)
 
 
 def test_profiles(spark):
@@ -179,15 +171,218 @@ def test_folders_and_stores(spark, tmp_path):
     assert sorted(r.name for r in folder.get(spark, str(tmp_path / "store")).collect()) == ["ab12", "cd34"]
 
 
-def test_deltas():
-    rnd = random.Random(5)
-    for _ in range(60):
-        base = bytes(rnd.choice(b"abcdefgh") for _ in range(rnd.randint(0, 400)))
-        cut = rnd.randint(0, len(base))
-        target = base[cut:] + bytes(rnd.randrange(256) for _ in range(rnd.randint(0, 30))) + base[:cut]
-        out = b"".join(own if own is not None else base[at : at + n] for at, n, own in delta.steps(base, target))
-        assert out == target
-    assert delta.steps(b"x" * 64, b"") == [] and delta.steps(b"0123456789abcdef" * 4, b"0123456789abcdef" * 4)[0] == (0, 64, None)
+def plain_cuts(data, profile):
+    """Ends of chunks by the rolling hash, byte after byte."""
+    numbers = [int(x) for x in content.gear()]
+    out, start, h = [], 0, 0
+    for i, byte in enumerate(data):
+        h = ((h << 1) + numbers[byte]) & 0xFFFFFFFF
+        size = i - start + 1
+        if size >= profile.least and (size >= profile.most or not h & (profile.strict if size < profile.target else profile.loose)):
+            out.append(i + 1)
+            start, h = i + 1, 0
+    return out if not data or out and out[-1] == len(data) else [*out, len(data)]
+
+
+TINY = content.Profile(40, 100, 300, 0x3F, 0xF)
+
+
+def contents_of(seed, n=25):
+    rnd = random.Random(seed)
+    blocks = [bytes(rnd.choice(b"abcdef\n") for _ in range(rnd.randint(50, 400))) for _ in range(6)]
+    return [(f"f{i:02}", bytearray(b"".join(rnd.choice(blocks) for _ in range(rnd.randint(0, 6))))) for i in range(n)]
+
+
+def layout_of(rows):
+    out = {}
+    for path, data in rows:
+        ends = plain_cuts(bytes(data), TINY)
+        out[path] = [(a, bytes(data[a:b])) for a, b in zip([0, *ends], ends)]
+    return out
+
+
+def test_stored_files_and_reuse(spark):
+    """Chunk accounting, entries, objects and what is still to be sent, beside plain loops."""
+    rows, sha = contents_of(1), lambda b: hashlib.sha256(b).hexdigest()
+    files = spark.createDataFrame(rows, "path string, content binary").repartition(3)
+    layout = layout_of(rows)
+    every = [raw for chunks in layout.values() for _, raw in chunks]
+    got = content.dedup_statistics(content.chunks(files, TINY)).first()
+    assert tuple(got) == (len(every), len(set(every)), sum(map(len, every)), sum(map(len, set(every))), sum(map(len, every)) - sum(map(len, set(every))))
+    entries, objects = content.stored(files, TINY, 500)
+    wanted = {p: [sha(bytes(d))] if len(d) < 500 else [sha(raw) for _, raw in layout[p]] for p, d in rows}
+    assert {r.path: r.objects for r in entries.collect()} == wanted
+    assert sorted(r.name for r in objects.collect()) == sorted({n for names in wanted.values() for n in names})
+    held = {sha(raw) for raw in every[::3]}
+    seen, expected = set(held), {}
+    for path in sorted(layout):
+        missing = 0
+        for _, raw in layout[path]:
+            if sha(raw) not in seen:
+                seen.add(sha(raw))
+                missing += 1
+        if layout[path]:
+            expected[path] = (len(layout[path]), missing)
+    found = content.pieces_to_send(content.chunks(files, TINY), spark.createDataFrame([(h,) for h in held], "sha256 string")).collect()
+    assert {r.path: (r.chunks, r.missing) for r in found} == expected
+
+
+def test_deltas(spark):
+    """A delta's steps give the target with its base, and are as large as a plain count says."""
+    base, target = contents_of(2), contents_of(3)
+    target = [(p, b[:100] + t + b[100:]) for (p, b), (_, t) in zip(base, target)]
+    files = [spark.createDataFrame(rows, "path string, content binary") for rows in (base, target)]
+    steps = content.delta_steps(*(content.chunks(f, TINY) for f in files))
+    back = {r.path: bytes(r.content) for r in content.applied(steps, files[0]).collect()}
+    assert back == {p: bytes(t) for p, t in target if t}
+    old, new = layout_of(base), layout_of(target)
+    sizes = {p: sum(9 + (0 if raw in {r for _, r in old[p]} else len(raw)) for _, raw in chunks) for p, chunks in new.items() if chunks}
+    assert {r.path: r.delta for r in content.delta_sizes(steps).collect()} == sizes
+    policy = spark.createDataFrame([(10, 300, 1), (200, 300, 1), (100, 190, 0), (10, 300, 12)], "d long, w long, n int").select(content.kept_as(F.col("d"), F.col("w"), F.col("n")).alias("k")).collect()
+    assert [r.k for r in policy] == ["delta", "whole", "whole", "whole"]
+
+
+def test_limits_of_comparisons(spark, monkeypatch):
+    """Too large a diff is said to be, too large a merge is one conflict, and each has a limit of its own."""
+    pairs = spark.createDataFrame([("p", "a\nb\nc", "x\ny\nz"), ("q", "a\nb", "a\nc"), ("r", "", "x")], "path string, before string, after string")
+    monkeypatch.setattr(text.common, "__defaults__", (15,))
+    assert text._diff(["a", "b", "c"], ["x", "y", "z"]) is None and text._diff(["a", "b"], ["a", "c"]) is not None
+    monkeypatch.setattr(text, "MERGE_CELLS", 15)
+    assert text.merge_text("a\nb\nc\n", "x\ny\nz\n", "a\nb\nc\n") == (None, 1)
+    monkeypatch.setattr(text, "MERGE_CELLS", 16)
+    assert text.merge_text("a\nb\nc\n", "x\ny\nz\n", "a\nb\nc\n") == ("x\ny\nz\n", 0)
+    got = {r.path: (r.text, r.regions) for r in text.draft(pairs, ("one", "two")).collect()}
+    assert got["q"] == ("a\n<<<<<<< one\nb\n=======\nc\n>>>>>>> two", 1) and got["r"] == ("<<<<<<< one\n=======\nx\n>>>>>>> two", 1)
+    assert text.CELLS == 4_000_000
+
+
+def test_merges_against_plain_settling():
+    """Line ends by presence, and regions between lines that both sides kept."""
+    assert text.merge_text("a\nb\n", "x\nb\r\n", "y\nb\n")[0].startswith("<<<<<<< ours\r\n")
+    rnd = random.Random(9)
+    for _ in range(200):
+        base = [rnd.choice("abcd") + "\n" for _ in range(rnd.randint(0, 7))]
+        sides = []
+        for _ in range(2):
+            edit = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                at = rnd.randint(0, len(edit))
+                edit[at : at + rnd.randint(0, 1)] = [rnd.choice("XYZ") + "\n"] * rnd.randint(0, 2)
+            sides.append(edit)
+        merged, conflicts = text.merge_text("".join(base), *("".join(x) for x in sides))
+        for keep, side in ((0, sides[0]), (1, sides[1])):
+            if sides[1 - keep] == base:
+                assert (merged, conflicts) == ("".join(side), 0)
+        assert conflicts == merged.count("=======\n") == merged.count("<<<<<<< ours\n")
+
+
+def test_rule_text_algebra(spark):
+    """Lines that say the opposite go, headings with nothing under them too, and one blank line beside them."""
+    body = "# Always\n!output/\n\n# Mine\n/output\n*.log\n\n# Last\n!/output\r"
+    docs = spark.createDataFrame([(1, body), (2, "# only\n!output"), (3, "a\n\n# x\n!output/\n\nb"), (4, "keep\n"), (5, "\n!output\n*.o")], "id int, text string")
+    lines = listing.rule_lines(docs, "id")
+
+    def left(rule):
+        rows = listing.without_opposites(lines, rule, "id").collect()
+        return {i: "\n".join(r.text for r in sorted((r for r in rows if r.id == i), key=lambda r: r.number)) for i in range(1, 6)}
+
+    assert left("output/") == {1: "# Mine\n/output\n*.log", 2: "", 3: "a\n\nb", 4: "keep\n", 5: "\n*.o"}
+    assert left("!output/")[1] == body.replace("/output\n*.log", "*.log")
+    got = {(r.id, r.rule) for r in listing.missing_rules(lines, "# r\noutput/\n*.log\n!x", "id").collect()}
+    assert got == {(1, "!x"), (2, "*.log"), (2, "!x"), (3, "*.log"), (3, "!x"), (4, "output/"), (4, "*.log"), (4, "!x"), (5, "*.log"), (5, "!x")}
+
+
+def test_package_starters(spark):
+    rows = [("app/web", "package.json", '{"scripts": {"lint": "x", "test": "y"}}'), ("app/web", "pnpm-lock.yaml", ""), ("site/web", "package.json", '{"scripts": {"build": "x"}}'), ("n", "package.json", '{"scripts": {"test": "echo no test specified"}}'), ("n", "go.mod", ""), ("bad", "package.json", "{"), ("py", "requirements.txt", ""), ("py", "pyproject.toml", "")]
+    got = {r.directory: (r.recipe, r.command, r.because) for r in listing.starters(spark.createDataFrame(rows, "directory string, name string, text string")).collect()}
+    assert got == {
+        "app/web": ("app-web-check", "corepack enable && pnpm install --frozen-lockfile && pnpm run lint && pnpm run test", "package.json scripts: lint, test"),
+        "site/web": ("site-web-check", "npm install && npm run build", "package.json scripts: build"),
+        "n": ("n-check", "go vet ./... && go test ./...", "go.mod"),
+        "py": ("py-check", "python -m pip install -r requirements.txt && python -m pytest", "pyproject.toml"),
+    }
+
+
+def test_layers_through_folders_and_tracked_files(spark):
+    layers = {"": "out/\n*.log", "out": "!*.md", "src": "!*.log\ngen/"}
+    paths = ["out/a.md", "src/x.log", "x.log", "src/gen/y", "src/z"]
+    rows = listing.layered(spark.createDataFrame([(p,) for p in paths], "path string"), layers).collect()
+    assert {r.path: (r.layer, r.excluded) for r in rows} == {"out/a.md": ("", True), "src/x.log": ("src", False), "x.log": ("", True), "src/gen/y": ("src", True), "src/z": (None, False)}
+    tracked = spark.createDataFrame([("out/a.md",), ("x.log",)], "path string")
+    rows = listing.layered(spark.createDataFrame([(p,) for p in paths], "path string"), layers, tracked).collect()
+    assert {r.path for r in rows if r.excluded} == {"src/gen/y"}
+
+
+def test_merge_base_in_search_order(spark):
+    """Of two ancestors equally near the one behind the first parent is the base, whatever their names are."""
+    edges = spark.createDataFrame([("l", "a", 0), ("l", "z", 1), ("r", "z", 0), ("r", "a", 1)], "child string, parent string, nth int")
+    one = lambda i: spark.createDataFrame([(i,)], "id string")
+    assert graph.merge_base(edges, one("l"), one("r")).first().id == "z" and graph.merge_base(edges, one("r"), one("l")).first().id == "a"
+    assert graph.merge_base(edges, one("l"), one("gone")).collect() == []
+
+
+def test_nearest_by_size(spark):
+    rnd = random.Random(6)
+    mine = [(f"{rnd.choice('ab')}/{i}{rnd.choice(['.x', '.Y', ''])}", rnd.randint(0, 60)) for i in range(80)]
+    others = [(f"{rnd.choice('ab')}/{i + 40}{rnd.choice(['.x', '.y', ''])}", rnd.randint(0, 60)) for i in range(80)]
+    kind = lambda p: (p.split("/")[0], re.search(r"[^/](\.[^./]*)?$", p)[1] and re.search(r"(\.[^./]*)$", p)[1].lower())
+    wanted = {}
+    for p, n in set(mine):
+        best = min(((abs(n - m), q) for q, m in others if q != p and kind(q) == kind(p) and m <= 2 * n and n <= 2 * m), default=None)
+        if best:
+            wanted[p] = best[1]
+    got = transfer.nearest(spark.createDataFrame(mine, "path string, size long"), spark.createDataFrame(others, "path string, size long")).collect()
+    assert {r.path: r.base for r in got} == wanted
+
+
+def test_batches_and_windows(spark):
+    rows = [("g", f"{i:02}", s, j) for i, (s, j) in enumerate([(5, 1), (5, 1), (1, 9), (1, 2), (50, 1), (1, 1)])]
+    got = transfer.put_batches(spark.createDataFrame(rows, "g string, path string, size long, json long"), "g", "path", 3, 10, 10).orderBy("path").collect()
+    assert [r.batch for r in got] == [0, 0, 1, 2, 3, 4]
+    sizes = spark.createDataFrame([(1,), (3 << 20,)], "size long").select(listing.sample_windows(F.col("size")).alias("w")).collect()
+    assert sizes[0].w is None and [(x["at"], x["size"]) for x in sizes[1].w] == [(0, 262144), (3 << 19, 262144)]
+    kept = [True] * 16 + [False] * 13 + [True] * 3 + [True] * 40
+    chunks = spark.createDataFrame([("f", i, k) for i, k in enumerate(kept)] + [("g", i, False) for i in range(15)], "path string, position int, kept boolean")
+    assert {r.path: (r.tried, r.allowed) for r in listing.compression_verdicts(chunks).collect()} == {"f": (32, False), "g": (15, True)}
+
+
+def test_output_lines_are_bounded(spark, tmp_path):
+    parts = [(1, 0, "ab", False), (1, 1, "c\rde", False), (1, 2, "fghijk", False), (1, 3, "lm\nno", True), (2, 0, "x" * 9 + "\n\n", True), (3, 0, None, True)]
+    spark.createDataFrame(parts, "stream long, seq long, chunk string, last boolean").write.parquet(str(tmp_path / "parts"))
+    stream = spark.readStream.schema("stream long, seq long, chunk string, last boolean").parquet(str(tmp_path / "parts"))
+    rows = feeds.run_to_end(feeds.output_lines(stream, most=6)).orderBy("stream", "number").collect()
+    note = feeds.OMITTED
+    assert [(r.stream, r.number, r.line, r.ending) for r in rows] == [(1, 0, "abc", "\r"), (1, 1, note, "\n"), (1, 2, "no", ""), (2, 0, note, "\n"), (2, 1, "", "\n")]
+
+
+def test_folder_walk_rules_and_survey(spark, tmp_path):
+    folder.write_rules(spark, str(tmp_path), {"": "*.log\n", "src": "!keep.log\ngen/\n"})
+    for name in ("a.log", "b.txt", "src/keep.log", "src/gen/x", "src/y"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    layers = folder.rule_files(spark, str(tmp_path))
+    assert layers == {"": "*.log\n", "src": "!keep.log\ngen/\n"}
+    rows = folder.survey(spark, str(tmp_path), layers).collect()
+    assert {r.path for r in rows} == {"b.txt", "src/keep.log", "src/y", "rules.ignore", "src/rules.ignore"}
+    first, more = folder.walk(spark, str(tmp_path), 3)
+    assert more and [r.path for r in first.collect()] == ["a.log", "b.txt", "rules.ignore"]
+    assert not folder.walk(spark, str(tmp_path), 7)[1]
+
+
+def test_csv_export(spark, tmp_path):
+    rows = spark.createDataFrame([('=1"', "é")], "a string, b string")
+    activity.write_csv(rows, str(tmp_path / "csv"))
+    body = b"".join(p.read_bytes() for p in sorted((tmp_path / "csv").glob("part-*")))
+    assert body == '\ufeff"a","b"\r\n"\'=1""","é"\r\n'.encode()
+
+
+def test_times_without_zone(spark):
+    rows = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.123456' AS a UNION ALL SELECT timestamp_ntz'1969-12-31 23:59:59.5'").select(T.micros("a").alias("m")).collect()
+    assert sorted(r.m for r in rows) == [-500_000, 1710037800123456]
+
+
+def test_secret_forms():
+    assert detect.secret_variants(("a b\n\"c", "")) == sorted({"a b\n\"c", "a%20b%0A%22c", 'a b\\n\\"c', "a b", "a%20b", '"c', "%22c", '\\"c'}, key=lambda v: (-len(v), v))
 
 
 def test_nothing_outside_imports_llm():
