@@ -1,6 +1,6 @@
 """Licence scans by a positional index of rare words.
 
-Templates (notices and key sentences of licences, and the base phrases) are indexed by word and position. A word weighs its
+Templates (notices, key sentences and whole texts of licences, the base phrases, and any more that are given) are indexed by word and position. A word weighs its
 inverse document frequency, counted over all documents. Each template looks for its own heaviest words, so many that what is left of it
 weighs less than ACCEPT: a place p of one that the template has at q gives the alignments from p - q - SLACK to p - q + SLACK, and no
 other can be accepted. Each is compared word by word (a word may stand SLACK places off), and the best gives the score: the weight of
@@ -8,8 +8,8 @@ the template's words found in place over that of all. A template counts if its s
 key phrases stands in the file. A base phrase counts wherever its
 words stand in a row.
 
-Defined cases: a null or empty text has no words, no labels and score 0; rows are judged one by one; an empty table gives
-an empty result. Counts are of all rows, and only the words of templates are counted.
+Defined cases: a null or empty text has no words, no labels and score 0; rows are judged one by one, so repeated rows get equal results; a text
+of any length is one value, scanned whole; columns other than doc_id and text aren't read, whatever their names; an empty table gives an empty result. Counts are of all rows, and only the words of templates are counted.
 """
 
 from __future__ import annotations
@@ -47,6 +47,39 @@ TEMPLATES = (
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     ("cc-by-nd-4.0", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+        " subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is"
+        " without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or"
+        " copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", "included in all copies or substantial portions"),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for"
+        " any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or"
+        " in connection with the use or performance of this software",
+        ("with or without fee is hereby granted", "the author disclaims all warranties"),
+    ),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice"
+        " this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or"
+        " other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific"
+        " prior written permission",
+        ("redistributions of source code must retain", "to endorse or promote products derived from this software"),
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use"
+        " this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must"
+        " not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly"
+        " marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution",
+        ("the origin of this software must not be misrepresented",),
+    ),
 )
 
 SLACK = 2
@@ -70,16 +103,20 @@ class Template(NamedTuple):
     base: bool
 
 
-def templates() -> list[Template]:
+More = tuple[tuple[str, str, tuple[str, ...]], ...]
+
+
+def templates(more: More = ()) -> list[Template]:
+    """The base phrases, the templates and more of them: label, text of any length, and mandatory key phrases."""
     out = [Template(label, split(phrase), [split(phrase)], True) for phrase, label in PHRASES.items()]
-    return out + [Template(label, split(text), [split(k) for k in keys], False) for label, text, keys in TEMPLATES]
+    return out + [Template(label, split(text), [split(k) for k in keys], False) for label, text, keys in (*TEMPLATES, *more)]
 
 
 class Index:
     """The templates with the weights of their words, and the positions that each is looked for by."""
 
-    def __init__(self, found: dict[bytes, int], documents: int):
-        self.templates = templates()
+    def __init__(self, found: dict[bytes, int], documents: int, more: More = ()):
+        self.templates = templates(more)
         for t in self.templates:
             for words in (t.words, *t.keys):
                 assert any(w not in COMMON for w in words), words
@@ -149,9 +186,9 @@ class Index:
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
 
-def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
+def frequencies(docs: DataFrame, more: More = ()) -> tuple[dict[bytes, int], int]:
     """In how many documents each word of the templates stands, and the number of documents: a few hundred rows."""
-    vocabulary = frozenset(w for t in templates() for w in t.words)
+    vocabulary = frozenset(w for t in templates(more) for w in t.words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -170,9 +207,9 @@ def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
 _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """Of each row of docs: words, places of base phrases, labels and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
+def scanned(docs: DataFrame, more: More = ()) -> DataFrame:
+    """Of each row of docs: words, places of base phrases, labels and score; more are templates beside those of this module."""
+    sent = docs.sparkSession.sparkContext.broadcast((*frequencies(docs, more), more))  # a number for each word of the templates
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*sent.value)

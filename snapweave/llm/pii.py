@@ -4,10 +4,11 @@ The base detectors run on the text as it is. For the rest, transducers rewrite t
 put out, the stretch of source characters it stands for: homoglyphs and full-width forms become ASCII, runs of spelled
 digits become digits, and "at" and "dot" in brackets, or between words that form an address, become @ and a dot. The same
 detectors then run on what they put out, and spans are mapped back to source characters. A span of this kind is added where
-it overlaps no base span of its kind; base spans stay as they are.
+it overlaps no base span of its kind, or holds it and more (an address whose first letters are disguised); base spans stay as they are.
 
 Defined cases: a null or empty text has no spans; offsets are code points, ends exclusive; rows are judged one by one, so
-repeated rows get equal results; detectors take time in proportion to the text.
+repeated rows get equal results; detectors take time in proportion to the text, which is searched whole; columns other than doc_id
+and text aren't read by scanned() and pass through redacted(), whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -184,7 +185,8 @@ def spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
             for kind, found in detected(traced.text).items():
                 for span in found:
                     a, b = traced.source(span)
-                    if all(b <= x or y <= a for x, y in base[kind] + more[kind]):
+                    apart = all(b <= x or y <= a for x, y in more[kind])
+                    if apart and all(b <= x or y <= a or (a <= x and y <= b and (a, b) != (x, y)) for x, y in base[kind]):
                         more[kind].append((a, b))
     return base, more
 
@@ -193,11 +195,11 @@ def listed(found: dict[str, list[Span]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind in KINDS for a, b in sorted(found[kind]))
 
 
-_OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+_OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts by kind, digest of the base spans, all spans and how many the method added."""
+    """doc_id, base counts by kind, digest of the base spans, all spans, how many the method added and how many there are."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +207,9 @@ def scanned(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 base, more = spans(text or "")
                 every = {k: base[k] + more[k] for k in KINDS}
-                out.append((*(len(base[k]) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), sum(map(len, more.values()))))
-            columns = zip(*out, strict=True) if out else [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                out.append((*(len(base[k]) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), sum(map(len, more.values())), sum(map(len, every.values()))))
+            columns = zip(*out, strict=True) if out else [()] * 8
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[f.split()[0] for f in _OUT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, _OUT)

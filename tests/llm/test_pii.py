@@ -49,6 +49,30 @@ def test_disguised():
     assert found("4111 1111 1111 1111 ok") == ({"4111 1111 1111 1111"}, set())
 
 
+def test_generated_disguises():
+    """Every disguise of every kind is found, with exactly the stretch of the source that it takes, wherever it stands."""
+    rnd = random.Random(11)
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t)
+    glyphs = {v: k for k, v in reversed(pii.HOMOGLYPHS.items()) if v.isalpha() and not k.isascii() and ord(k) < 0xFF01}
+    spell = {d: [w for w, x in pii.DIGITS.items() if x == d and w not in ("un", "null", "oh")] for d in "0123456789"}
+    word = lambda: "".join(rnd.choice("abcdefgmnpqrstvz") for _ in range(rnd.randint(3, 8)))
+    for _ in range(1500):
+        local, domain, last = word(), word(), rnd.choice(["com", "org", "de", "fr"])
+        number = "".join(rnd.choice("0123456789") for _ in range(rnd.randint(9, 12)))
+        address = [str(rnd.randint(0, 9)) for _ in range(4)]
+        kind, hidden = rnd.choice(
+            [
+                ("email", f"{local} [at] {domain} [dot] {last}"), ("email", f"{local}(at){domain}(dot){last}"), ("email", f"{local} at {domain} dot {last}"), ("email", f"{local}＠{domain}.{last}"),
+                ("email", wide(f"{local}@{domain}.{last}")), ("email", "".join(glyphs.get(c, c) if i == 1 else c for i, c in enumerate(local)) + f"@{domain}.{last}" if local[1] in glyphs else f"{local} @ {domain}.{last}"),
+                ("phone", "plus " + " ".join(rnd.choice(spell[d]) for d in number)), ("phone", wide("+" + number)), ("ip", " dot ".join(rnd.choice(spell[d]) for d in address)), ("ip", wide(".".join(address))),
+            ]
+        )
+        before, after = rnd.choice(["", "é: ", "say ", "日本 ", "x\n"]), rnd.choice(["", " now", ", then", "\n"])
+        text = before + hidden + after
+        base, more = pii.spans(text)
+        assert (len(before), len(before) + len(hidden)) in more[kind] + base[kind], (kind, text, base, more)
+
+
 def test_ordinary_text_stays():
     for text in ("look at the dot on the map. one two three", "un deux trois quatre", "Привет мир", "we met at noon (at last)", "", "a at b"):
         base, more = pii.spans(text)

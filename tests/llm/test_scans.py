@@ -94,6 +94,20 @@ def test_many_licences_in_one_file():
     assert index.scan(files[1])[5] == "mit"
 
 
+def test_whole_texts_and_more_templates(spark):
+    """Edited copies of whole licences among other words, repeated, null and very long rows, and a template that a caller adds."""
+    rnd = __import__("random").Random(8)
+    whole = {label: text for label, text, _ in licenses.TEMPLATES if len(text) > 300}
+    rows = [(i, " ".join(rnd.choice(["lorem", "the", "copy"]) for _ in range(rnd.randint(0, 50))) + ". " + text.replace(" warranty", "\nWARRANTY ", 1) + " 2024") for i, text in enumerate(whole.values())]
+    rows += [(50, None), (51, ""), (0, rows[0][1]), (52, "word " * 100_000 + whole["zlib"] + " word" * 100_000), (53, "You may cook with this recipe and share the soup freely")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, labels string").repartition(3)
+    more = (("soup", "you may cook with this recipe and share the soup freely", ("share the soup",)),)
+    got = [(r.doc_id, r.labels) for r in licenses.scanned(docs, more).collect()]
+    for i, label in enumerate(whole):
+        assert all(label in labels.split(",") for doc, labels in got if doc == i)
+    assert got.count((50, "")) == got.count((51, "")) == 1 and got.count((53, "soup")) == 1 and ("zlib" in dict(got)[52]) and len(got) == len(rows)
+
+
 def test_secret_named_before_it_is_assigned(spark):
     value, inner = "9f8a7c6b5d4e3f2a1b0c9d8e7f6a", "abc123def456"
     text = f"é see commit {value} for an example, then token = \"{value}\" and /x/{inner} or password={inner}"
