@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -201,27 +202,38 @@ class Encoder:
             self._add(np.array([end], np.uint32), np.array([1]))
             self.kept = (self.n, self.used)
             self.code[()] = 0  # the end of a text
-        pieces, lengths, whole = [], [], []
-        for text in texts:
-            before = len(pieces)
-            if self._plain(text):
-                pieces += text.split(" ")
-                pieces[before] = (pieces[before],)
-            else:
-                pieces.append((None, len(whole)))
-                whole.append(text)
-            pieces.append(())
-            lengths.append(len(pieces) - before)
+        whole = [i for i, text in enumerate(texts) if not self._plain(text)]
+        odd = set(whole)
+        column = pa.array([("" if i in odd else text) for i, text in enumerate(texts)] if whole else texts, pa.string())
+        lists = pc.split_pattern(column, " ")
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        # each different piece is looked up once, however often it stands here
+        coded = lists.flatten().dictionary_encode()
+        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(counts) - counts
+        later = np.ones(len(index), bool)
+        later[begin] = False
+        firsts: list = [(pieces[k],) for k in index[begin].tolist()]
+        for n, i in enumerate(whole):
+            firsts[i] = (None, n)
         code = np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(code < 0)
-        if len(new):
-            open_ = [pieces[i] for i in new.tolist()]
-            found = self._learn(list(set(open_).difference((None, i) for i in range(len(whole)))), whole)
+        first = np.fromiter(map(self.code.get, firsts, repeat(-1)), np.int64, len(firsts))
+        used = np.bincount(index[later], minlength=len(pieces)) > 0
+        new, new_first = np.flatnonzero((code < 0) & used), np.flatnonzero(first < 0)
+        if len(new) or len(new_first):
+            open_ = [pieces[k] for k in new.tolist()]
+            found = self._learn([*open_, *{firsts[i] for i in new_first.tolist() if firsts[i][0] is not None}], [texts[i] for i in whole])
             code[new] = [found[p] for p in open_]
-        size = self.size[code].astype(np.int64)
+            first[new_first] = [found[firsts[i]] for i in new_first.tolist()]
+        # pieces of all texts in a row, and the end of each text (number 0) after it
+        every = np.zeros(len(index) + len(counts), np.int64)
+        place = np.arange(len(index)) + np.repeat(np.arange(len(counts)), counts)
+        every[place] = code[index]
+        every[place[begin]] = first
+        size = self.size[every].astype(np.int64)
         reach = np.cumsum(size)
-        ids = self.pool[np.repeat(self.start[code] - reach + size, size) + np.arange(reach[-1])] if len(code) else np.zeros(0, np.uint32)
-        ends = reach[np.cumsum(lengths) - 1] if lengths else np.zeros(0, np.int64)
+        ids = self.pool[np.repeat(self.start[every] - reach + size, size) + np.arange(reach[-1])] if len(every) else np.zeros(0, np.uint32)
+        ends = reach[np.cumsum(counts + 1) - 1] if len(counts) else np.zeros(0, np.int64)
         self.n, self.used = self.kept  # what isn't remembered goes
         return ids, np.diff(np.r_[0, ends])
 
