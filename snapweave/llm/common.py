@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from snapweave.functions.lineage import cut, new_folder, shared_folder
 
-__all__ = ["NULL_ID", "cut", "doc_id", "forget", "identified", "identity", "kept", "new_folder", "partitions", "quoted", "running", "shared_folder", "steps", "utf8", "whole_row"]
+__all__ = ["NULL_ID", "cut", "doc_id", "forget", "identified", "identity", "kept", "new_folder", "partitions", "quoted", "running", "shared_folder", "small_batches", "steps", "utf8", "whole_row"]
 
 #: Stands for a null doc_id inside joins, and so counts as the smallest id.
 NULL_ID = -(2**63)
@@ -19,6 +19,17 @@ NULL_ID = -(2**63)
 STEP_BYTES = 1 << 20
 
 
+#: Bytes of rows that go to a Python worker at a time, where the session leaves it to Spark (64 MB, of which tasks hold several copies outside the heap).
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what tasks hold for Python workers by BATCH_BYTES, unless the session has a setting of its own. It holds for the session from now on."""
+    if spark.conf.get(_BATCHES) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_BATCHES, f"{BATCH_BYTES}b")
+
+
 #: What a Python worker keeps from task to task: one thing, until another operator's task needs the room.
 _KEPT: dict = {}
 

@@ -31,10 +31,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_id, identified, kept, new_folder, partitions, steps
+from .common import doc_id, identified, kept, new_folder, partitions, small_batches, steps
 from .kernels import mixed
 
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 19
 SHARD_DOCS = 1 << 15
 #: Bytes of text encoded at a time.
 STEP_BYTES = 1 << 21
@@ -258,6 +258,7 @@ def _shard(number: int, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, w
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, room: int = REMEMBERED) -> None:
     """Encode the text of docs and write shards to folder (a place that Spark can write)."""
     spark = docs.sparkSession
+    small_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -274,6 +275,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, room: i
             if held >= SHARD_TOKENS or n >= SHARD_DOCS:
                 yield _shard(number, np.concatenate(keys), np.concatenate(counts), np.concatenate(ids), enc.width)
                 keys, counts, ids, held, n, number = [], [], [], 0, 0, number + 1
+                pa.default_memory_pool().release_unused()
         if n:
             yield _shard(number, np.concatenate(keys), np.concatenate(counts), np.concatenate(ids), enc.width)
 
