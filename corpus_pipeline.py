@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from snapweave.llm import decontam, mixing, near, quality, tokens
-from snapweave.llm.common import new_folder
+from snapweave.llm.common import new_folder, small_batches
 
 
 #: Pieces that a worker of the token stage remembers: fewer than by itself, as executors hold what the stages before left.
@@ -24,11 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id (five words, 0.8)."""
+    small_batches(spark)
     return near.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
