@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import quoted, whole_row
 
-#: Words of a window whose repeat within a text counts.
+#: Words of a window whose repeat within a text counts: a power of two.
 REPEAT_WORDS = 8
 
 #: Frequent words of the four languages of the corpus (fixed values).
@@ -27,6 +27,11 @@ STOP_WORDS = (
 ).split()
 
 
+#: Octets of the longest. No form of theirs is longer: only k, å and ß have a longer one in upper case, and they hold none.
+STOP_OCTETS = max(len(w.encode()) for w in STOP_WORDS)
+assert not set("kåß") & set("".join(STOP_WORDS))
+
+
 class Rule(NamedTuple):
     name: str
     measure: str  # SQL over the measures
@@ -53,8 +58,12 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     base = docs.select(whole_row(docs).alias("doc"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("t"))
     split = base.select("*", F.expr(f"array_remove(split(t, '{white}+'), '')").alias("w"), F.expr("filter(split(t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("l"))
     hashed = split.select("*", F.size("w").alias("n"), F.expr("transform(w, x -> xxhash64(x))").alias("h"))
-    at = ", ".join(f"get(h, i + {k})" for k in range(REPEAT_WORDS))
-    gram = hashed.select("*", F.expr(f"if(n < {REPEAT_WORDS}, array(), transform(sequence(0, greatest(n - {REPEAT_WORDS}, 0)), i -> xxhash64({at})))").alias("g"))
+    # hashes of twice as many words from two of half as many: three steps a window, not eight
+    gram, span = hashed.select("*", F.col("h").alias("g")), 1
+    while span < REPEAT_WORDS:
+        gram = gram.withColumn("g", F.expr(f"transform(g, (x, i) -> xxhash64(x, get(g, i + {span})))"))
+        span *= 2
+    gram = gram.withColumn("g", F.expr(f"if(n < {REPEAT_WORDS}, array(), slice(g, 1, greatest(n - {REPEAT_WORDS - 1}, 0)))"))
     some = gram.select("*", (F.size(F.array_distinct("g")) < F.size("g")).alias("some"))
     # sorted windows stand beside their equals; only texts that have any are sorted
     ranked = some.select("*", F.expr("if(some, sort_array(transform(g, (x, i) -> struct(x as g, i))), array())").alias("s"))
@@ -62,7 +71,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "*",
         F.expr("if(some, sort_array(transform(filter(transform(s, (x, i) -> struct(x.i as at, coalesce(get(s, i - 1).g = x.g, false) or coalesce(get(s, i + 1).g = x.g, false) as hit)), x -> x.hit), x -> x.at)), array())").alias("r"),
     )
-    # stop words are looked for in a text that is put in lower case at once: word by word costs more than all other measures
+    # only words as short as a stop word are put in lower case, which costs more than all else about a word
+    stop = f"filter(w, x -> octet_length(x) <= {STOP_OCTETS} and lower(x) in ({', '.join(repr(w) for w in sorted(set(STOP_WORDS)))}))"
     measures = {
         "n_words": "cast(n as bigint)",
         "word_chars": "cast(char_length(array_join(w, '')) as bigint)",
@@ -70,7 +80,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": "cast(size(l) as bigint)",
         "n_dup_lines": "cast(size(l) - size(array_distinct(l)) as bigint)",
         "n_repeat_words": f"cast(if(some, aggregate(transform(r, (p, i) -> least({REPEAT_WORDS}, coalesce(get(r, i + 1) - p, {REPEAT_WORDS}))), 0L, (a, x) -> a + x), 0L) as bigint)",
-        "n_stop": f"cast(size(filter(split(lower(t), '{white}+'), x -> x in ({', '.join(repr(w) for w in sorted(set(STOP_WORDS)))}))) as bigint)",
+        "n_stop": f"cast(size({stop}) as bigint)",
         "n_pipes": "cast(char_length(t) - char_length(replace(t, '|', '')) as bigint)",
         "n_stutters": "cast(size(filter(h, (x, i) -> x = get(h, i - 1))) as bigint)",
         "n_shouts": "cast(size(filter(w, x -> endswith(x, '!!'))) as bigint)",
