@@ -14,7 +14,7 @@ from snapweave.llm.common import new_folder, small_batches
 
 
 #: Pieces that a worker of the token stage remembers: fewer than by itself, as executors hold what the stages before left.
-PIECES = 200_000
+PIECES = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

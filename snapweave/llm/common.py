@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from snapweave.functions.lineage import cut, new_folder, shared_folder
 
-__all__ = ["NULL_ID", "cut", "doc_id", "forget", "identified", "identity", "kept", "new_folder", "partitions", "quoted", "running", "shared_folder", "small_batches", "steps", "utf8", "whole_row"]
+__all__ = ["NULL_ID", "cut", "doc_id", "forget", "identified", "identity", "kept", "new_folder", "partitions", "quoted", "running", "shared_folder", "small_batches", "steps", "trim", "trimmed", "utf8", "whole_row"]
 
 #: Stands for a null doc_id inside joins, and so counts as the smallest id.
 NULL_ID = -(2**63)
@@ -45,6 +46,23 @@ def forget() -> None:
     _KEPT.clear()
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system, so that idle workers don't hold what their last task needed."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(_LIBC, "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and trim() after the last."""
+    yield from batches
+    trim()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, steps
+from .common import cut, steps, trimmed
 from .kernels import BY_LETTER, LOWER, Sums, words
 
 SHINGLE = 5
@@ -196,7 +196,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[d for _, d, _, _ in matches(sent.value, data, off)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lambda batches, clean=clean: trimmed(clean(batches)), docs.schema)
     return docs
 
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, STEP_BYTES, cut, forget, identified, identity, partitions, steps, whole_row
+from .common import NULL_ID, STEP_BYTES, cut, forget, identified, identity, partitions, steps, trimmed, whole_row
 from .kernels import BY_SPACE, LOWER, Sums, mixed, words
 
 TREES = 16
@@ -99,7 +99,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 blobs[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(n.astype(np.int32)), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), pa.array(blobs, pa.binary())], names=["did", "rid", "n", "set1", "set2", "signature"])
 
-    return docs.mapInArrow(sign, "did long, rid long, n int, set1 long, set2 long, signature binary")
+    return docs.mapInArrow(lambda batches: trimmed(sign(batches)), "did long, rid long, n int, set1 long, set2 long, signature binary")
 
 
 def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +195,9 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0, i : i + 50_000]), pa.array(pairs[1, i : i + 50_000])], names=["a", "b"])
                 held, rows = [], 0
 
-    trees = nodes.mapInArrow(_planted, "p0 long, p1 long, p2 long, did long, n int, s1 long, s2 long")
+    trees = nodes.mapInArrow(lambda batches: trimmed(_planted(batches)), "p0 long, p1 long, p2 long, did long, n int, s1 long, s2 long")
     dealt = trees.repartitionByRange(partitions(nodes.sparkSession), "p0", "p1", "p2", "did").sortWithinPartitions("p0", "p1", "p2", "did")
-    return dealt.mapInArrow(neighbours, "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: trimmed(neighbours(batches)), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -223,7 +223,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(texts.select(F.col("did").alias("b"), F.col("blob").alias("blob_b")), "b").join(texts.select(F.col("did").alias("a"), F.col("blob").alias("blob_a")), "a")
-    return both.select("a", "b", "blob_a", "blob_b").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "blob_a", "blob_b").mapInArrow(lambda batches: trimmed(compare(batches)), "a long, b long")
 
 
 def _opened(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -330,7 +330,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array([pack.compress(raw[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["id", "rid", "blob"])
 
     wanted = numbered.select("id", "rid", "did").join(met.select(F.explode(F.array("a", "b")).alias("did")).distinct(), "did", "left_semi")
-    blobs = docs.mapInArrow(packed, "id long, rid long, blob binary").join(wanted, ["id", "rid"])
+    blobs = docs.mapInArrow(lambda batches: trimmed(packed(batches)), "id long, rid long, blob binary").join(wanted, ["id", "rid"])
     texts = cut(blobs.groupBy("id", "rid", "did").agg(F.first("blob").alias("blob")).select("did", "blob"))
     stars = cut(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, k, percent))
     first = cut(components(stars))

@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_id, identified, kept, new_folder, partitions, small_batches, steps
+from .common import doc_id, identified, kept, new_folder, partitions, small_batches, steps, trim, trimmed
 from .kernels import mixed
 
 SHARD_TOKENS = 1 << 19
 SHARD_DOCS = 1 << 15
 #: Bytes of text encoded at a time.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 #: Pieces of text whose ids a Python worker remembers: the first it meets, and so the frequent ones.
 REMEMBERED = 500_000
 _SPACES = re.compile(r"\s ")
@@ -275,12 +275,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, room: i
             if held >= SHARD_TOKENS or n >= SHARD_DOCS:
                 yield _shard(number, np.concatenate(keys), np.concatenate(counts), np.concatenate(ids), enc.width)
                 keys, counts, ids, held, n, number = [], [], [], 0, 0, number + 1
-                pa.default_memory_pool().release_unused()
+                trim()
         if n:
             yield _shard(number, np.concatenate(keys), np.concatenate(counts), np.concatenate(ids), enc.width)
 
     dealt = identified(docs).repartitionByRange(partitions(spark), "did", "rid").sortWithinPartitions("did", "rid").select("did", "text")
-    dealt.mapInArrow(encode, SHARD_SCHEMA).write.parquet(folder)
+    dealt.mapInArrow(lambda batches: trimmed(encode(batches)), SHARD_SCHEMA).write.parquet(folder)
 
 
 def _opened(row: dict) -> tuple[Index, np.ndarray, np.ndarray, np.ndarray]:
@@ -312,7 +312,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     before = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select("shard", "block", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("in_block")).join(before, "block").select("shard", (F.col("base") + F.col("in_block")).alias("base"))
-    rows = spark.read.parquet(folder).select("shard", "width", "keys", "ends", "bits", "sizes", "ranks", "slots", "payload").mapInArrow(_read, "shard long, did long, at long, n_tokens long, ids_crc32 long")
+    rows = spark.read.parquet(folder).select("shard", "width", "keys", "ends", "bits", "sizes", "ranks", "slots", "payload").mapInArrow(lambda batches: trimmed(_read(batches)), "shard long, did long, at long, n_tokens long, ids_crc32 long")
     return rows.join(base, "shard").select(doc_id(), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
