@@ -49,6 +49,28 @@ def test_query(spark, db, name, fn, sql):
     assert rows(got.columns, values) == rows(names, wanted.fetchall())
 
 
+#: What deals with times: the answer may not hang on the session's zone.
+TIMED = ("transfer_rates", "stream_transfer_rates", "daily_saves", "long_report", "stream_daily_counts", "stream_fresh_events", "price_as_of", "version_delta")
+
+
+@pytest.mark.parametrize("name", TIMED)
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kathmandu"])
+def test_other_zones_and_more_rows(spark, name, zone):
+    data = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for table in ("events", "orders", "lineitem", "documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    fn, sql = next((fn, sql) for n, fn, sql in CASES if n == name)
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = fn(spark, data)
+        values = got.collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    wanted = con.execute(sql)
+    assert rows(got.columns, values) == rows([c[0] for c in wanted.description], wanted.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
