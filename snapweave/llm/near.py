@@ -41,6 +41,8 @@ NEIGHBOURS = 4
 REGION = 32
 #: Rows of a tree that a task takes at a time.
 LOT = 1 << 18
+#: Edges of the graph of links in a part of a round.
+EDGES = 100_000
 #: Buckets by which shingles of crowded nodes are counted; any count gives an order that is right, a good one short lists.
 BUCKETS = 1 << 20
 #: Rows of a shingle that one task pairs with all others of it.
@@ -288,14 +290,20 @@ def crowded_pairs(crowd: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that each node of edges (a, b) can reach."""
+    """(node, component): the least node that each node of edges (a, b) can reach.
+
+    A round's tables have no more rows than the edges at first, so they are kept in as many parts as these need (EDGES each), not in
+    one for every shuffle partition: most loops are over few rows, and each part is a file.
+    """
     edges, labels = cut(edges.select("a", "b").where("a <> b").distinct()), None
+    parts = min(partitions(edges.sparkSession), 1 + edges.count() // EDGES)
+    kept = lambda df: cut(df.coalesce(parts))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("p")))
+        parent = kept(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("p")))
         while True:  # pointer jumping: every node to its root
             above = parent.select(F.col("node").alias("p"), F.col("p").alias("q"))
-            jumped = cut(parent.join(above, "p", "left").select("node", F.coalesce("q", "p").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            jumped = kept(parent.join(above, "p", "left").select("node", F.coalesce("q", "p").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
             parent = jumped.select("node", "p")
             if jumped.where("moved").isEmpty():
                 break
@@ -303,9 +311,9 @@ def components(edges: DataFrame) -> DataFrame:
             labels = parent.select("node", F.col("p").alias("component"))
         else:
             up = parent.select(F.col("node").alias("component"), "p")
-            labels = cut(labels.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
+            labels = kept(labels.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         a, b = parent.select(F.col("node").alias("a"), F.col("p").alias("pa")), parent.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-        edges = cut(edges.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
+        edges = kept(edges.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
