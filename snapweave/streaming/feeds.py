@@ -7,10 +7,11 @@ checkpoint and output in the shared folder, so it can be started again after a f
 from __future__ import annotations
 
 import hashlib
-import json
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,40 @@ def fresh_events(messages: DataFrame, since: str, mine: str, names: tuple[str, .
     return once.where((F.col("at") >= F.lit(since).cast(messages.schema["at"].dataType)) & (F.col("author") != mine)).select("id", "at", type_.alias("type"))
 
 
+#: Lots that the keys of a feed are dealt into. It may not change between runs that go on from one state.
+LOTS = 4096
+
+
+def by_lots(rows: DataFrame, key: str, order: str, values: list[str], follow: Callable, output: str) -> DataFrame:
+    """Stateful work on each key's rows in order. Keys are dealt into lots, and a lot is one group to Spark with one row of state: a group costs
+    some milliseconds, whatever is in it, so that millions of keys as groups of their own would cost hours.
+
+    follow(key, rows, held, out) gets the values of a key's new rows in order and what it held (None at first), adds rows of the output to `out`,
+    and returns what to hold; None forgets the key.
+    """
+    kinds = {"string": "object", "long": "int64", "int": "int32", "double": "float64"}
+    fields = {name: kinds[kind] for name, kind in (f.split() for f in output.split(", "))}
+
+    def one_lot(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        frame = pd.concat(list(parts)).sort_values([key, order], kind="stable")
+        keys = frame[key].to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        keys, columns, out = frame[key].tolist(), [frame[v].tolist() for v in values], []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            kept = follow(keys[a], list(zip(*(c[a:b] for c in columns), strict=True)), held.pop(keys[a], None), out)
+            if kept is not None:
+                held[keys[a]] = kept
+        if held:
+            state.update((pickle.dumps(held),))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=list(fields)).astype(fields)
+
+    dealt = rows.select("*", F.pmod(F.xxhash64(key), F.lit(LOTS)).alias("lot"))
+    return dealt.groupBy("lot").applyInPandasWithState(one_lot, output, "held binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def fresh_saves(versions: DataFrame) -> DataFrame:
     """(project, sequence) of versions (project, sequence) newer than the last look; a project's first look reports none."""
 
@@ -75,28 +110,29 @@ def output_lines(parts: DataFrame, values: tuple[str, ...] = (), most: int = 64
     soon as it grows beyond, and the rest of it is passed over, so what is held of a stream is bounded.
     """
 
-    def assemble(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, omitting, n = state.get if state.exists else ("", False, 0)
-        out: list[tuple[int, str, str]] = []
-        for chunk, last in pd.concat(list(rows)).sort_values("seq")[["chunk", "last"]].itertuples(index=False):
+    def assemble(stream: int, rows: list[tuple], held: tuple | None, out: list) -> tuple:
+        pending, omitting, n = held or ("", False, 0)
+        for chunk, last in rows:
             for part in re.split(r"([\r\n])", chunk or ""):
                 if part in ("\r", "\n"):
                     if not omitting:
-                        out.append((n + len(out), pending, part))
+                        out.append((stream, n, pending, part))
+                        n += 1
                     pending, omitting = "", False
                 elif not omitting:
                     omitting = len(pending) + len(part) > most
                     pending = "" if omitting else pending + part
                     if omitting:
-                        out.append((n + len(out), OMITTED, "\n"))
+                        out.append((stream, n, OMITTED, "\n"))
+                        n += 1
             if last:
                 if pending:
-                    out.append((n + len(out), pending, ""))
+                    out.append((stream, n, pending, ""))
+                    n += 1
                 pending, omitting = "", False
-        state.update((pending, omitting, n + len(out)))
-        yield pd.DataFrame({"stream": [key[0]] * len(out), "number": [o[0] for o in out], "line": [o[1] for o in out], "ending": [o[2] for o in out]}).astype({"stream": "int64", "number": "int64", "line": "object", "ending": "object"})
+        return pending, omitting, n
 
-    lines = parts.groupBy("stream").applyInPandasWithState(assemble, "stream long, number long, line string, ending string", "pending string, omitting boolean, number long", "append", GroupStateTimeout.NoTimeout)
+    lines = by_lots(parts, "stream", "seq", ["chunk", "last"], assemble, "stream long, number long, line string, ending string")
     return lines.select("stream", "number", redacted(F.col("line"), values).alias("line"), "ending")
 
 
@@ -106,40 +142,44 @@ def trailing_rates(samples: DataFrame, span_ms: int = 5000, least_ms: int = 250)
     Only the samples of a span are held for each key.
     """
 
-    def follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
-        out = []
-        for at, size in pd.concat(list(rows)).sort_values("at_ms")[["at_ms", "bytes"]].itertuples(index=False):
-            held = [h for h in held if h[0] >= at - span_ms] + [[int(at), int(size)]]
+    def follow(key: int, rows: list[tuple], held: list | None, out: list) -> list:
+        held = held or []
+        for at, size in rows:
+            held = [h for h in held if h[0] >= at - span_ms] + [(at, size)]
             since = at - held[0][0]
-            out.append((key[0], at, (size - held[0][1]) * 1000 / since if since >= least_ms else 0.0))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["key", "at_ms", "rate"]).astype({"key": "int64", "at_ms": "int64", "rate": "float64"})
+            out.append((key, at, (size - held[0][1]) * 1000 / since if since >= least_ms else 0.0))
+        return held
+
+    return by_lots(samples, "key", "at_ms", ["at_ms", "bytes"], follow, "key long, at_ms long, rate double")
+
 
-    return samples.groupBy("key").applyInPandasWithState(follow, "key long, at_ms long, rate double", "held string", "append", GroupStateTimeout.NoTimeout)
+#: Parts of a file that are cut together.
+PARTS = 1024
 
 
 def streamed_chunks(parts: DataFrame, profile: Profile) -> DataFrame:
     """(path, position, start, length, sha256) of parts (path, seq, data, last): chunks of files that arrive part by part, the same as of whole files.
 
-    A chunk's end depends on nothing after it, so all chunks but the last come out at once; what is held of a file is less than a chunk of the greatest size.
+    A chunk's end depends on nothing after it, so all chunks but the last come out at once; what is held of a file is less than a chunk of the
+    greatest size, and nothing after its last part.
     """
 
-    def follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, start, n = state.get if state.exists else (b"", 0, 0)
-        out = []
-        for data, last in pd.concat(list(rows)).sort_values("seq")[["data", "last"]].itertuples(index=False):
-            tail = bytes(tail) + bytes(data or b"")
-            ends = cuts(tail, profile)
-            begin = 0
+    def follow(path: str, rows: list[tuple], held: tuple | None, out: list) -> tuple | None:
+        tail, start, n = held or (b"", 0, 0)
+        last, gathered = False, []
+        for i, (data, last) in enumerate(rows, 1):
+            gathered.append(bytes(data or b""))
+            if not last and i % PARTS and i < len(rows):
+                continue
+            tail, gathered = b"".join([tail, *gathered]), []
+            ends, begin = cuts(tail, profile), 0
             for end in ends if last else ends[:-1]:
-                out.append((key[0], n, start, end - begin, hashlib.sha256(tail[begin:end]).hexdigest()))
+                out.append((path, n, start, end - begin, hashlib.sha256(tail[begin:end]).hexdigest()))
                 n, start, begin = n + 1, start + end - begin, end
             tail = tail[begin:]
-        state.update((tail, start, n))
-        yield pd.DataFrame(out, columns=["path", "position", "start", "length", "sha256"]).astype({"path": "object", "position": "int32", "start": "int64", "length": "int64", "sha256": "object"})
+        return None if last else (tail, start, n)
 
-    return parts.groupBy("path").applyInPandasWithState(follow, "path string, position int, start long, length long, sha256 string", "tail binary, start long, position int", "append", GroupStateTimeout.NoTimeout)
+    return by_lots(parts, "path", "seq", ["data", "last"], follow, "path string, position int, start long, length long, sha256 string")
 
 
 def daily_counts(events: DataFrame, at: str, kind: str, late: str = "2 days") -> DataFrame:

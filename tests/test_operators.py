@@ -355,6 +355,20 @@ def test_output_lines_are_bounded(spark, tmp_path):
     assert [(r.stream, r.number, r.line, r.ending) for r in rows] == [(1, 0, "abc", "\r"), (1, 1, note, "\n"), (1, 2, "no", ""), (2, 0, note, "\n"), (2, 1, "", "\n")]
 
 
+def test_chunks_of_files_that_arrive_in_looks(spark, monkeypatch):
+    """Parts that come over two looks, in any order within each, make the chunks of the whole file; lots are few, so keys share them."""
+    monkeypatch.setattr(feeds, "LOTS", 3)
+    monkeypatch.setattr(feeds, "PARTS", 2)
+    files = [(p, bytes(d)) for p, d in contents_of(4)]
+    parts = [(p, i, d[i * 90 : i * 90 + 90], (i + 1) * 90 >= len(d)) for p, d in files for i in range(max(1, -(-len(d) // 90)))]
+    random.Random(5).shuffle(parts)
+    half = {p: len(d) // 180 for p, d in files}
+    looks = [spark.createDataFrame([r for r in parts if (r[1] < half[r[0]]) == first], "path string, seq long, data binary, last boolean") for first in (True, False)]
+    found = feeds.run_looks(looks, lambda rows: feeds.streamed_chunks(rows, TINY))
+    wanted = [(p, n, hashlib.sha256(raw).hexdigest()) for p, rows in layout_of(files).items() for n, (_, raw) in enumerate(rows)]
+    assert sorted((r.path, r.position, r.sha256) for r in found.collect()) == sorted(wanted)
+
+
 def test_folder_walk_rules_and_survey(spark, tmp_path):
     folder.write_rules(spark, str(tmp_path), {"": "*.log\n", "src": "!keep.log\ngen/\n"})
     for name in ("a.log", "b.txt", "src/keep.log", "src/gen/x", "src/y"):
