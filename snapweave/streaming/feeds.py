@@ -90,14 +90,14 @@ def by_lots(rows: DataFrame, key: str, order: str, values: list[str], follow: Ca
 def fresh_saves(versions: DataFrame) -> DataFrame:
     """(project, sequence) of versions (project, sequence) newer than the last look; a project's first look reports none."""
 
-    def look(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else None
-        numbers = sorted({int(x) for part in rows for x in part["sequence"]})
-        state.update((max([*numbers, seen or 0]),))
-        new = [n for n in numbers if seen is not None and n > seen]
-        yield pd.DataFrame({"project": [key[0]] * len(new), "sequence": new}).astype("int64")
-
-    return versions.groupBy("project").applyInPandasWithState(look, "project long, sequence long", "newest long", "append", GroupStateTimeout.NoTimeout)
+    def look(project: int, rows: list[tuple], seen: int | None, out: list) -> int:
+        numbers = sorted({n for (n,) in rows})
+        if seen is not None:
+            out += [(project, n) for n in numbers if n > seen]
+        return max(numbers[-1], numbers[-1] if seen is None else seen)
+
+    known = versions.where("project is not null and sequence is not null")
+    return by_lots(known, "project", "sequence", ["sequence"], look, "project long, sequence long")
 
 
 OMITTED = "[Oversized output line omitted]"

@@ -369,6 +369,17 @@ def test_chunks_of_files_that_arrive_in_looks(spark, monkeypatch):
     assert sorted((r.path, r.position, r.sha256) for r in found.collect()) == sorted(wanted)
 
 
+def test_fresh_saves_of_keys_that_share_lots(spark, monkeypatch):
+    """Lots are groups, not keys: a feed of many keys calls its function once a lot, and each key has its own state."""
+    monkeypatch.setattr(feeds, "LOTS", 2)
+    first, second = [(p, s) for p in range(40) for s in (1, p % 7)], [(p, s) for p in range(20, 60) for s in (3, 3, 5, 0)]
+    looks = [spark.createDataFrame(rows, "project long, sequence long") for rows in ([*first, (None, 1)], second, [(59, 6), (None, 9)])]
+    found = sorted(map(tuple, feeds.run_looks(looks, feeds.fresh_saves).collect()))
+    assert found == sorted([(p, s) for p in range(20, 40) for s in (3, 5) if s > max(1, p % 7)] + [(59, 6)])
+    plan = feeds.fresh_saves(spark.readStream.format("rate").load().selectExpr("value AS project", "value AS sequence"))
+    assert "lot" in plan._jdf.queryExecution().analyzed().toString()
+
+
 def test_folder_walk_rules_and_survey(spark, tmp_path):
     folder.write_rules(spark, str(tmp_path), {"": "*.log\n", "src": "!keep.log\ngen/\n"})
     for name in ("a.log", "b.txt", "src/keep.log", "src/gen/x", "src/y"):
