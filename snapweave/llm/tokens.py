@@ -20,6 +20,7 @@ key gives all of them. An empty table has no shards.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -130,6 +131,7 @@ class Encoder:
     pre-tokenizers always cut there, so pieces are encoded once and remembered. Other texts are encoded whole."""
 
     def __init__(self, path: str, room: int | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would cost more than they save
         from tokenizers import Tokenizer
 
         self.room = REMEMBERED if room is None else room
@@ -209,7 +211,7 @@ class Encoder:
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         # each different piece is looked up once, however often it stands here
         coded = lists.flatten().dictionary_encode()
-        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.cumsum(counts) - counts
         later = np.ones(len(index), bool)
         later[begin] = False

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -88,3 +92,19 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert tokens.written(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_encoding_starts_no_threads():
+    """A task has one core: the tokenizer works in the worker's own thread."""
+    code = """
+import os
+from snapweave.llm import tokens
+path, end = tokens.production_tokenizer()
+encoder = tokens.Encoder(path)
+before = len(os.listdir("/proc/self/task"))
+encoder.encode([f"word{i} other{i * 7}" for i in range(5000)], end)
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"RAYON_NUM_THREADS": "4"}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, cwd=Path(__file__).resolve().parents[2], check=True)
+    assert done.stdout.split() == ["0"]
