@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from snapweave.llm import near
@@ -40,3 +42,13 @@ def test_columns_of_any_name_pass_through(spark):
     assert got.schema == docs.schema
     out = got.collect()
     assert sorted(r.doc_id for r in out) == [1, 3, 4] and all(tuple(r)[2:] == tuple(range(len(names))) for r in out)
+
+
+def test_long_chain_keeps_size_estimates_short(spark):
+    """A chain of some twelve rounds: estimates of joined tables don't multiply from round to round, so the driver can hold them."""
+    ids = list(range(200))
+    random.Random(4).shuffle(ids)
+    edges = spark.createDataFrame([(min(x, y), max(x, y)) for x, y in zip(ids, ids[1:], strict=False)], "a long, b long")
+    labels = near.components(edges)
+    assert {(r.node, r.component) for r in labels.collect()} == {(i, 0) for i in range(200)}
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
