@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
+from snapweave.llm import near as near_module
 from snapweave.llm import tokens
 
 from .test_near import brute as brute_components
@@ -104,3 +105,14 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.collect() == []
+
+
+def test_near_dedup_stage_keeps_size_estimates_short(spark, monkeypatch):
+    """No table between steps of the stage has a size estimate beyond a long: the driver holds them, and loops multiply them."""
+    cut, seen = near_module.cut, []
+    monkeypatch.setattr(near_module, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[3 * i : 3 * i + 100])) for i in range(60)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, DATA).collect()] == [0]
+    assert len(seen) > 10
+    assert all(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63 for x in seen)
